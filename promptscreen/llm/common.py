@@ -51,6 +51,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def bounded_sample(df: DataFrame, rows: int, total: int, *keys: str) -> DataFrame:
+    """About rows of df's total rows, never more, by a hash of keys.
+
+    A row decides by itself, so no task sends more than its share to the driver.
+    """
+    if total <= rows:
+        return df.limit(rows)
+    part = F.pmod(F.xxhash64(*keys), F.lit(1 << 40)) < int((1 << 40) * 0.95 * rows / total)
+    return df.where(part).limit(rows)
+
+
 def small(df: DataFrame) -> DataFrame:
     """df with a broadcast hint if its counted rows are few, else df as it is."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -86,3 +97,64 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
             break
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
+
+
+def map_groups(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
+    """fn(arrow table of one group) -> arrow table or None, over groups of a bounded size.
+
+    Rows are dealt by keys and sorted, and groups are cut from the stream of
+    batches, so thousands of small groups cost little; a task holds one batch and
+    one group. The caller splits groups that could be large.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held: list[pa.Table] = []
+        last = None
+
+        def done():
+            out = fn(pa.concat_tables(held).combine_chunks())
+            held.clear()
+            return out.to_batches() if out is not None and out.num_rows else []
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            columns = [table.column(k).to_numpy() for k in keys]
+            change = np.zeros(table.num_rows, bool)
+            for c in columns:
+                change[1:] |= c[1:] != c[:-1]
+            cuts = [0, *np.flatnonzero(change).tolist(), table.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                key = tuple(c[lo] for c in columns)
+                if key != last and held:
+                    yield from done()
+                last = key
+                held.append(table.slice(lo, hi - lo))
+        if held:
+            yield from done()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def block_pairs(df: DataFrame, key: str, row_id: str, limit: int) -> DataFrame:
+    """Deals the rows of each key to pairs of blocks, so that any two rows of a key meet in exactly one group (key, bi, bj).
+
+    Adds bi, bj (bi <= bj) and side: 0 for the rows of block bi, 1 for those of bj
+    (all 0 if bi = bj). A key of up to limit rows is one block; a larger one has
+    blocks of about limit rows, and each row goes to as many groups as there are
+    blocks. Keys of one row are left out.
+    """
+    counts = materialize(df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"), "blocks")
+    blocks = F.ceil(F.col("__n") / F.lit(limit)).cast("int")
+    dealt = df.join(counts, key).withColumn("__nb", blocks).withColumn("__b", F.pmod(F.xxhash64(row_id), "__nb").cast("int"))
+    one = dealt.where("__nb = 1").withColumns({"bi": F.lit(0), "bj": F.lit(0), "side": F.lit(0)})
+    many = (
+        dealt.where("__nb > 1")
+        .withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__nb") - 1)))
+        .withColumns({"bi": F.least("__b", "__o"), "bj": F.greatest("__b", "__o"), "side": (F.col("__b") > F.col("__o")).cast("int")})
+    )
+    return one.unionByName(many.drop("__o")).drop("__n", "__nb", "__b")

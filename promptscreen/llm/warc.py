@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path
+from .common import bounded_sample, materialize, new_path
 
 #: Fixed values of the format.
 DICT_MAGIC = 0x184D2A5D
@@ -131,8 +131,8 @@ def write_archives(records: DataFrame, path: str) -> None:
     def row_bytes(r) -> bytes:
         return record(page_key(r.page_id), r.url or "", r.payload_digest, r.payload_bytes, r.record_type, page_key(r.refers_to), r.html.encode())
 
-    # A bounded sample, the same on each run: the smallest digests, cut to SAMPLE_BYTES.
-    sampled = records.where("record_type = 'response'").withColumn("html", F.substring("html", 1, SAMPLE_BYTES)).orderBy("payload_digest", "page_id").limit(SAMPLE_RECORDS)
+    # A bounded sample for the dictionary alone, by digest; the archives hold every payload whole.
+    sampled = bounded_sample(records.withColumn("html", F.substring("html", 1, SAMPLE_BYTES)), SAMPLE_RECORDS, records.count(), "payload_digest", "page_id")
     dictionary = spark.sparkContext.broadcast(train([row_bytes(r) for r in sampled.collect()]))
 
     def compress(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
