@@ -41,7 +41,7 @@ WINDOW, STRIDE = 56, 40
 #: with windows this short literals stay plain, and lengths differ by what is matched alone.
 ANCHOR = bytes(range(1, 9)) * 4
 OWN_BYTES, COMMON_BYTES = 2048, 16_384
-TABLE_BITS = 24
+TABLE_BITS = 22
 #: A byte string is a class's own if it is so many times as common there, with such a likelihood ratio at least.
 TIMES, CHANCE = 8.0, 30.0
 THRESHOLDS = (2, 4, 6)
@@ -142,7 +142,7 @@ class Counted:
         """Contents of the toxic and the ordinary dictionary."""
         n, m = max(1, len(self.toxic)), max(1, len(self.ordinary))
         own_t = own(self.ft, n, self.fo, m)
-        both = np.minimum(self.ft / n, self.fo / m)
+        both = np.minimum(self.ft / np.float32(n), self.fo / np.float32(m))
         both[own_t] = 0
         both[both < np.partition(both, -2000)[-2000]] = 0
         shared = segments(self.ordinary[:1000], both, COMMON_BYTES)
@@ -204,7 +204,9 @@ class Model:
             for i in np.flatnonzero(half != side):
                 x[i] = lengths.evidence(texts[i])
         self.weights = newton(x, y)
-        self.contents = counted[0].with_(counted[1]).train()
+        both = counted[0].with_(counted[1])
+        del counted
+        self.contents = both.train()
         self.lengths = None
 
     def score(self, text: str | None) -> float:
