@@ -206,21 +206,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: C
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(none), "id")
 
 
-def score_column(rows: DataFrame, model, text_col: str = "text") -> DataFrame:
-    """rows without their text, with score and predicted. model has score(text)."""
-    spark, names = rows.sparkSession, [c for c in rows.columns if c != text_col]
+def score_column(rows: DataFrame, model, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """rows, without their text unless it is kept, with score and predicted (__score and __predicted beside the text). model has score(text)."""
+    spark, names = rows.sparkSession, [c for c in rows.columns if keep_text or c != text_col]
     shipped = spark.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names) + ", score double, predicted int"
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names) + ", __score double, __predicted int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
         for b in batches:
             at = b.schema.get_field_index(text_col)
             scores = np.array([m.score(t.as_py()) for t in b.column(at)], np.float64)
-            kept = [b.column(i) for i in range(b.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
+            kept = [b.column(i) for i in range(b.num_columns) if keep_text or i != at]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*names, "__score", "__predicted"])
 
-    return rows.mapInArrow(run, schema)
+    scored = rows.mapInArrow(run, schema)
+    return scored if keep_text else scored.withColumnsRenamed({"__score": "score", "__predicted": "predicted"})
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> Model:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .covertree import OP9_SQL, op9_topk
+from .html_text import op3_html
 from .jaccard import OP8_SQL, op8_jaccard
 from .mixing import OP1_SQL, op1_mixing
 from .packing import op2_packing
@@ -12,5 +13,5 @@ from .toxicity import op4_toxicity
 from .vectors import OP5_SQL, op5_embedding_neardup
 from .warc import OP7_SQL, op7_warc
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op4_toxicity": op4_toxicity, "op5_embedding_neardup": op5_embedding_neardup, "op6_secrets": op6_secrets, "op7_warc": op7_warc, "op8_jaccard": op8_jaccard, "op9_topk": op9_topk, "op10_quality": op10_quality}
+QUERIES = {"op1_mixing": op1_mixing, "op2_packing": op2_packing, "op3_html": op3_html, "op4_toxicity": op4_toxicity, "op5_embedding_neardup": op5_embedding_neardup, "op6_secrets": op6_secrets, "op7_warc": op7_warc, "op8_jaccard": op8_jaccard, "op9_topk": op9_topk, "op10_quality": op10_quality}
 SQL = {"op1_mixing": OP1_SQL, "op5_embedding_neardup": OP5_SQL, "op7_warc": OP7_SQL, "op8_jaccard": OP8_SQL, "op9_topk": OP9_SQL}
