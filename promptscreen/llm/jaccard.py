@@ -43,39 +43,67 @@ TOLERANCE = 1e-9
 PART = 32
 BLOCK = 1024
 
-_SPACES = str.maketrans({c: " " for c in "\t\n\v\f\r"})
-
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values whose bits all depend on all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for the next time; forgotten when there are too many."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        out = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        return out
+@functools.cache
+def tables() -> tuple[np.ndarray, np.ndarray]:
+    """A random 64-bit value for each byte, and which bytes are white space."""
+    values = np.random.default_rng(20240131).integers(1, 1 << 63, 256, dtype=np.uint64)
+    space = np.zeros(256, bool)
+    space[[9, 10, 11, 12, 13, 32]] = True
+    return values, space
 
 
-HASHED = WordHashes()
+#: Bytes that are hashed at once, and the odd base of the powers.
+SLICE = 1 << 18
+BASE = 0x9E3779B97F4A7C15
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values whose bits all depend on all."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+@functools.lru_cache(2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse, modulo 2**64."""
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        p = np.full(n, np.uint64(base))
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return out[0], out[1]
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of a text's words: polynomials of their bytes, taken from running sums, so no word is cut out."""
+    b = np.frombuffer(data, np.uint8)
+    values, space = tables()
+    inside = np.concatenate([[False], ~space[b], [False]])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
+    out, i = np.zeros(len(start), np.uint64), 0
+    while i < len(start):
+        # Whole words of about SLICE bytes, one at least.
+        j = max(i + 1, int(np.searchsorted(end, start[i] + SLICE, side="right")))
+        lo, n = start[i], end[j - 1] - start[i]
+        up, down = powers(SLICE) if n <= SLICE else powers(int(n))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[b[lo : lo + n]] * up[:n], dtype=np.uint64)])
+        s, e = start[i:j] - lo, end[i:j] - lo
+        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        i = j
+    return out
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted hashes of a text's runs of words."""
-    w = [x for x in (text or "").translate(_SPACES).split(" ") if x]
-    if not w:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(HASHED.__getitem__, w), np.uint64, len(w))
-    n = min(words, len(w))
+    h = word_hashes((text or "").encode("utf-8", "surrogatepass"))
+    if not len(h):
+        return h
+    n = min(words, len(h))
     code = np.zeros(len(h) - n + 1, np.uint64)
     for i in range(n):
-        code = mix(code * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i])
+        code = mix(code * np.uint64(BASE) + h[i : len(h) - n + 1 + i])
     return np.unique(code)
 
 
@@ -181,29 +209,41 @@ def candidates(threshold: float):
     return run
 
 
-#: Up to so many pairs of a group are verified one by one; more by products of incidence matrices.
+#: Up to so many pairs of a group are verified one by one; more by products of incidence matrices, of so many cells
+#: and from so many elements at once.
 SINGLY = 64
-CELLS = 16 << 20
+CELLS, ELEMENTS = 8 << 20, 2 << 20
 
 
-def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of sets a and b, pair by pair."""
-    if len(a) <= SINGLY:
-        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b)], np.int64)
-    used = np.unique(np.concatenate([a, b]))
-    place = np.full(len(sets), -1)
-    place[used] = np.arange(len(used))
-    owner = np.repeat(np.arange(len(used)), [len(sets[i]) for i in used])
-    codes, column = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True)
+def _products(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    codes, column = np.unique(np.concatenate(sets), return_inverse=True)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    out, step = np.zeros((len(used), len(used)), np.float32), max(1, CELLS // len(used))
+    out, step = np.zeros((len(sets), len(sets)), np.float32), max(1, CELLS // len(sets))
     for lo in range(0, len(codes), step):
         s = slice(*np.searchsorted(column, [lo, lo + step]))
-        block = np.zeros((len(used), min(step, len(codes) - lo)), np.float32)
+        block = np.zeros((len(sets), min(step, len(codes) - lo)), np.float32)
         block[owner[s], column[s] - lo] = 1
         out += block @ block.T
-    return out[place[a], place[b]].astype(np.int64)
+    return out
+
+
+def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets a and b, pair by pair."""
+    out = np.zeros(len(a), np.int64)
+    # Sets are taken in parts of about ELEMENTS elements, a part with each other.
+    part = np.cumsum([len(x) for x in sets]) // ELEMENTS
+    pair = np.stack([np.minimum(part[a], part[b]), np.maximum(part[a], part[b])])
+    for p, q in np.unique(pair, axis=1).T:
+        at = np.flatnonzero((pair[0] == p) & (pair[1] == q))
+        if len(at) <= SINGLY:
+            out[at] = [len(np.intersect1d(sets[a[k]], sets[b[k]], assume_unique=True)) for k in at]
+            continue
+        used, place = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+        out[at] = _products([sets[i] for i in used])[place[: len(at)], place[len(at) :]]
+    return out
 
 
 def verified(threshold: float):
