@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import contains_any
+from ..functions.text import contains_any, fence
 
 #: Short names of the groups, in order.
 SIGNALS = ["training", "pii", "unfiltered", "jailbreak", "role", "disclosure"]
@@ -57,7 +57,7 @@ def behave(df: DataFrame, text_col: str = "normalized", patterns: bool = True) -
         risk, branch = risk.when(condition, score), branch.when(condition, name)
     out = out.withColumns({
         "has_combination": has["training"] & (has["pii"] | has["unfiltered"]),
-        "behavior_risk": risk.otherwise(0).cast("int"),
+        "behavior_risk": fence(risk.otherwise(0).cast("int")),
         "behavior_branch": branch.otherwise("no signal"),
     })
     groups = [F.when(has[s], F.struct(F.lit(c).alias("category"), F.lit(b).alias("behavior"))) for s, (c, b, _) in zip(SIGNALS, P.BEHAVIOURS)]

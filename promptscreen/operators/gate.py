@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import spans as S
-from ..functions.text import payload_digest
+from ..functions.text import fence, payload_digest
 
 
 def gate(
@@ -23,7 +23,7 @@ def gate(
     rules = policy or P.POLICY
     blocking = verdict.isin([v for v, a in rules.items() if a == "BLOCK"]) if any(a == "BLOCK" for a in rules.values()) else F.lit(False)
     out = df.withColumn("__all", S.all_spans(F.col(text_col)))
-    out = out.withColumn("spans", S.resolved(F.col("__all"))).drop("__all")
+    out = out.withColumn("spans", fence(S.resolved(F.col("__all")))).drop("__all")
     out = out.withColumn("redacted", S.redacted(F.col(text_col), F.col("spans")))
     n, key = F.size("spans"), F.exists("spans", lambda s: s["dtype"].isin(P.KEY_TYPES))
     cascade = [
@@ -34,7 +34,7 @@ def gate(
     action = reason = F.when(F.col(text_col).isNull(), None)
     for condition, name, why in cascade:
         action, reason = action.when(condition, name), reason.when(condition, why)
-    return out.withColumns({"action": action.otherwise("ALLOW"), "reason": reason.otherwise("Clean"), "n_findings": F.when(F.col(text_col).isNotNull(), n)})
+    return out.withColumns({"action": fence(action.otherwise("ALLOW")), "reason": reason.otherwise("Clean"), "n_findings": F.when(F.col(text_col).isNotNull(), n)})
 
 
 def audit_rows(decided: DataFrame, text_col: str = "text", snippets: str = "mask") -> DataFrame:

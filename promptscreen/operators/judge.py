@@ -114,14 +114,14 @@ def judge_from_env(provider: str | None = None, model: str | None = None, key: s
 
 
 def call_judge(df: DataFrame, text_col: str, judge: Callable[[str], str | None], instructions: str = INSTRUCTIONS, out_col: str = "reply") -> DataFrame:
-    """Adds the judge's reply to each row whose __ask is true, null where it failed or was not asked.
+    """Adds the judge's reply to each text, null where it failed or the text is null.
 
     Calls have effects: write the result before it is used twice.
     """
 
     @F.pandas_udf("string")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for prompts, ask in batches:
-            yield pd.Series([judge(p) if a and p is not None else None for p, a in zip(prompts, ask)], index=prompts.index, dtype=object)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for prompts in batches:
+            yield pd.Series([None if p is None else judge(p) for p in prompts], index=prompts.index, dtype=object)
 
-    return df.withColumn(out_col, run(judge_prompt(F.col(text_col), instructions), F.col("__ask")))
+    return df.withColumn(out_col, run(judge_prompt(F.col(text_col), instructions)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import contains_any
+from ..functions.text import contains_any, fence
 
 TECHNIQUES = ["special_char_insertion", "backtick_obfuscation", "space_separated_obfuscation", "latex_encoding", "leetspeak", "invisible_chars"]
 
@@ -39,7 +39,7 @@ def normalize(df: DataFrame, text_col: str = "text") -> DataFrame:
     steps = steps.withColumn("__n5", F.translate("__n4", *P.LEET)).withColumn("__n6", F.translate("__n5", P.INVISIBLE, ""))
     flags = [F.col("__h1"), F.col("__h2"), F.col("__h3"), F.col("__h4"), F.col("__n4") != F.col("__n5"), F.col("__n5") != F.col("__n6")]
     techniques = F.array_compact(F.array(*[F.when(f, n) for f, n in zip(flags, TECHNIQUES)]))
-    out = steps.withColumns({"normalized": F.col("__n6"), "techniques": F.when(t.isNotNull(), techniques)})
+    out = steps.withColumns({"normalized": fence(F.col("__n6")), "techniques": fence(F.when(t.isNotNull(), techniques))})
     out = out.withColumn("obfuscation_detected", F.size("techniques") > 0)
     out = out.withColumn("obfuscation_risk", F.when(t.isNotNull(), F.when(F.col("obfuscation_detected"), P.OBFUSCATION_RISK).otherwise(0)))
     return out.drop("__h1", "__n1", "__run", "__h2", "__n2", "__apart", "__h3", "__n3", "__h4", "__n4", "__n5", "__n6")

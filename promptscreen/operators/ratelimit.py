@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def decide(times: list[int], limit: int, window: int, held: deque) -> list[tuple[bool, int]]:
@@ -34,7 +35,7 @@ def admit(df: DataFrame, key_col: str, ts_col: str, order_col: str, limit: int,
     micros = F.unix_micros(F.col(ts_col).cast("timestamp"))
     rows = df.withColumn("__t", micros).withColumn("__new", F.coalesce(F.col("__t") - F.lag("__t").over(own) > window, F.lit(False)).cast("int"))
     rows = rows.withColumn("__run", F.sum("__new").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
-    schema = rows.drop("__t", "__run").schema.add("admitted", "boolean").add("used", "int")
+    schema = rows.drop("__t", "__run").schema.add("admitted", T.BooleanType()).add("used", T.IntegerType())
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

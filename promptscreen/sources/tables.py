@@ -39,7 +39,7 @@ def write_results(rows: DataFrame, path: str, with_correct: bool | None = None)
     if with_correct is None:
         with_correct = not rows.where(F.coalesce("expected_verdict", F.lit("")) != "").limit(1).isEmpty()
     shown = rows.withColumn("llm_used", F.when(F.col("llm_used"), "YES").otherwise("NO")).withColumn("latency_ms", F.bround("latency_ms").cast("long"))
-    (shown if with_correct else shown.drop("correct")).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    (shown if with_correct else shown.drop("correct")).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_audit(decided: DataFrame, path: str, text_col: str = "text", snippets: str = "mask") -> None:
