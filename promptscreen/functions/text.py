@@ -13,7 +13,7 @@ from . import patterns as P
 def fence(value: Column) -> Column:
     """value, but an expression that the optimizer does not copy: a filter on a column made of many others would else
     be pushed through all of them, each copied wherever it is named. The condition always holds."""
-    return F.when(F.monotonically_increasing_id() >= 0, value)
+    return F.when(F.rand(1) * 0.5 < 1, value)
 
 
 def contains_any(text: Column, words: list[str]) -> Column:

@@ -29,19 +29,16 @@ def classify(df: DataFrame, text_col: str, classifier: Callable[[list[str]], lis
     @F.pandas_udf("struct<ok: boolean, hit: boolean, confidence: double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            out = pd.DataFrame({"ok": False, "hit": False, "confidence": 0.0}, index=texts.index)
-            known = texts.notna()
+            known = [t for t in texts if t is not None]
             try:
-                got = classifier(texts[known].tolist()) if known.any() else []
-                out.loc[known, "hit"] = [label == P.INJECTION_LABEL for label, _ in got]
-                out.loc[known, "confidence"] = [float(c) for _, c in got]
-                out["ok"] = True
+                got = iter([(True, label == P.INJECTION_LABEL, float(c)) for label, c in (classifier(known) if known else [])])
+                rows = [(True, False, 0.0) if t is None else next(got) for t in texts]
             except Exception:  # the layer falls back, as it does without a model
-                out[["ok", "hit", "confidence"]] = False, False, 0.0
-            yield out
+                rows = [(False, False, 0.0)] * len(texts)
+            yield pd.DataFrame(rows, columns=["ok", "hit", "confidence"], index=texts.index)
 
     low = keyword_confidence(F.col(text_col))
-    got = df.withColumn("__c", run(text_col))
+    got = df.withColumn("__c", run.asNondeterministic()(text_col))
     return got.withColumns({
         "is_injection": F.when(F.col("__c.ok"), F.col("__c.hit")).otherwise(low > 0.5),
         "injection_confidence": F.when(F.col("__c.ok"), F.col("__c.confidence")).otherwise(low),

@@ -124,4 +124,4 @@ def call_judge(df: DataFrame, text_col: str, judge: Callable[[str], str | None],
         for prompts in batches:
             yield pd.Series([None if p is None else judge(p) for p in prompts], index=prompts.index, dtype=object)
 
-    return df.withColumn(out_col, run(judge_prompt(F.col(text_col), instructions)))
+    return df.withColumn(out_col, run.asNondeterministic()(judge_prompt(F.col(text_col), instructions)))

@@ -44,13 +44,11 @@ def embed(df: DataFrame, text_col: str, embedder: Callable[[list[str]], list], o
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            known = texts.notna()
-            out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-            if known.any():
-                out[known] = [[float(x) for x in v] for v in embedder(texts[known].tolist())]
-            yield out
+            known = [t for t in texts if t is not None]
+            got = iter([[float(x) for x in v] for v in embedder(known)] if known else [])
+            yield pd.Series([None if t is None else next(got) for t in texts], index=texts.index, dtype=object)
 
-    return df.withColumn(out_col, run(text_col))
+    return df.withColumn(out_col, run.asNondeterministic()(text_col))
 
 
 def intent_scores(vector: Column, intents: dict[str, dict[str, list[float]]]) -> dict[str, dict[str, Column]]:

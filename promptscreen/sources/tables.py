@@ -10,14 +10,17 @@ from ..operators.gate import audit_rows
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
-    """Prompts of a CSV file with a header: prompt, expected_verdict ('' where there is none), and what else it has, as text."""
+    """Prompts of a CSV file with a header: prompt, expected_verdict, and what else it has, as text.
+
+    Empty cells of these two are '': an empty prompt is a prompt. Cells that a short row lacks count as empty.
+    """
     df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', emptyValue="")
     if not df.columns or df.isEmpty():
         raise ValueError("CSV file is empty")
     if "prompt" not in df.columns:
         raise ValueError("CSV must have 'prompt' column")
     expected = F.coalesce(F.col("expected_verdict"), F.lit("")) if "expected_verdict" in df.columns else F.lit("")
-    return df.withColumn("expected_verdict", expected)
+    return df.withColumns({"prompt": F.coalesce("prompt", F.lit("")), "expected_verdict": expected})
 
 
 def single_prompt(spark: SparkSession, prompt: str) -> DataFrame:
