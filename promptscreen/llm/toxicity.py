@@ -183,7 +183,7 @@ def newton(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
-        w = w - step
+        w = w - step / max(1.0, np.abs(step).max() / 4)
         if np.abs(step).max() < 1e-7:
             break
     return w
@@ -196,7 +196,9 @@ class Model:
         if self.constant is not None:
             return
         cut = [t.encode("utf-8", "surrogatepass") for t in texts]
-        half = np.arange(len(y)) % 2
+        half = np.zeros(len(y), int)
+        for k in (0, 1):
+            half[y == k] = np.arange((y == k).sum()) % 2
         counted = [Counted(*(distinct([t for t, k, h in zip(cut, y, half) if k == label and h == side]) for label in (1, 0))) for side in (0, 1)]
         x = np.zeros((len(y), len(THRESHOLDS) + 2))
         for side in (0, 1):
