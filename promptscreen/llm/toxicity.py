@@ -36,15 +36,19 @@ SAMPLE_TOXIC, SAMPLE_ORDINARY = 4096, 6144
 #: Characters of a sampled text that the model is fit on; scoring reads all of a text.
 SAMPLE_TEXT = 1 << 14
 D = 6
-WINDOW, STRIDE = 56, 40
+WINDOW, STRIDE = 52, 36
 #: Both dictionaries end with it and every window begins with it, so that none is too short to be compressed at all;
 #: with windows this short literals stay plain, and lengths differ by what is matched alone.
 ANCHOR = bytes(range(1, 9)) * 4
+#: Ends every window: the last 8 bytes of what is compressed are never matched.
+TAIL = bytes(range(14, 22))
 OWN_BYTES, COMMON_BYTES = 2048, 16_384
+#: Between segments, which would else make strings that no text has; no UTF-8 text has it.
+APART = b"\xff"
 TABLE_BITS = 22
 #: A byte string is a class's own if it is so many times as common there, with such a likelihood ratio at least.
-TIMES, CHANCE = 8.0, 30.0
-THRESHOLDS = (2, 4, 6)
+TIMES, CHANCE = 8.0, 20.0
+THRESHOLDS = (1, 2, 4)
 LEVEL, MATCH = 3, 6
 
 
@@ -121,8 +125,8 @@ def segments(texts: list[bytes], counts: np.ndarray, limit: int) -> bytes:
             break
         if not any(s in k for k in kept[:512]):
             kept.append(s)
-            size += len(s)
-    return b"".join(reversed(kept))
+            size += len(s) + 1
+    return APART.join(reversed(kept)) + APART
 
 
 class Counted:
@@ -167,9 +171,9 @@ class Lengths:
 
     def evidence(self, text: str | None) -> np.ndarray:
         """Of a whole text: largest difference, sum beyond each threshold, and the like against its length, as logarithms."""
-        data = (text or "").encode("utf-8", "surrogatepass")
+        data = b" " + (text or "").encode("utf-8", "surrogatepass") + b" "
         toxic, ordinary = self.by
-        diff = np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in (ANCHOR + data[i : i + WINDOW] for i in range(0, max(1, len(data) - WINDOW + STRIDE), STRIDE))), np.int64)
+        diff = np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in (ANCHOR + data[i : i + WINDOW] + TAIL for i in range(0, max(1, len(data) - WINDOW + STRIDE), STRIDE))), np.int64)
         above = [np.log1p(np.maximum(diff - t + 1, 0).sum()) for t in THRESHOLDS]
         # The same against what a text of this length has by chance.
         rate = above[1] - np.log1p(len(diff) / 50)
