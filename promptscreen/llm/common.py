@@ -35,6 +35,19 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Rows and bytes of an Arrow batch of texts. Spark's own limits let a Python worker hold several times 64 MB.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m")}
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session gets smaller Arrow batches, where these settings are still Spark's own."""
+    conf = df.sparkSession.conf
+    for key, (default, value) in BATCH.items():
+        if conf.get(key, None) == default:
+            conf.set(key, value)
+    return df
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back.
 

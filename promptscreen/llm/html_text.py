@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import materialize, small, small_batches
 
 #: A subtree is template if it recurs across so many different articles of a host, and this share of them.
 TEMPLATE_PAGES, TEMPLATE_SHARE = 5, 0.02
@@ -253,7 +253,7 @@ def templates(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Dat
                     digest += [None if d is None else int.from_bytes(d, "little", signed=True) for d in found]
                 yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(digest, pa.int64()), pa.array(words, pa.int64())], names=["host", "digest", "article"])
 
-    rows = pages.select(url_col, html_col).mapInArrow(run, "host string, digest long, article long")
+    rows = small_batches(pages).select(url_col, html_col).mapInArrow(run, "host string, digest long, article long")
     counts = materialize(rows.distinct().groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n")).where(f"digest IS NULL OR n >= {TEMPLATE_PAGES}"), "subtrees")
     hosts = counts.where("digest IS NULL").select("host", F.col("n").alias("all"))
     kept = counts.where("digest IS NOT NULL").join(hosts, "host").where(F.col("n") >= F.col("all") * TEMPLATE_SHARE)
@@ -262,7 +262,7 @@ def templates(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Dat
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of each page."""
-    # At most 1 / TEMPLATE_SHARE subtrees of an article's size recur at that share, so a host's list is short.
+    # What recurs at TEMPLATE_SHARE is, for a host, at most 1 / TEMPLATE_SHARE times the containers of a page: a short list.
     lists = templates(pages, id_col, url_col, html_col).groupBy("host").agg(F.collect_list("digest").alias("template"))
     lists = small(materialize(lists, "templates"))
     schema = f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, `{url_col}` string, text string, n_chars long"

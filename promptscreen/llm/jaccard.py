@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, connected_components, map_groups, materialize, small
+from .common import block_pairs, connected_components, map_groups, materialize, small, small_batches
 
 WORDS = 5
 BANDS, ROWS = 32, 5
@@ -289,7 +289,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     keys.append(bands(s))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "sig", "keys"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, digest binary, sig binary, keys array<bigint>")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, digest binary, sig binary, keys array<bigint>")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:

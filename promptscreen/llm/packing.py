@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 CAPACITY = 2048
 OPEN_BINS = 4096
 #: Tokens in a window: as many as half the open bins hold.
@@ -186,7 +188,7 @@ def pack_documents(
         if held:
             yield from flush()
 
-    return docs.select(*keys, texts).mapInArrow(run, schema)
+    return small_batches(docs).select(*keys, texts).mapInArrow(run, schema)
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, small_batches
 
 BITS = 16
 FEATURES = 1 << BITS
@@ -220,7 +220,7 @@ def score_column(rows: DataFrame, model, text_col: str = "text", keep_text: bool
             kept = [b.column(i) for i in range(b.num_columns) if keep_text or i != at]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*names, "__score", "__predicted"])
 
-    scored = rows.mapInArrow(run, schema)
+    scored = small_batches(rows).mapInArrow(run, schema)
     return scored if keep_text else scored.withColumnsRenamed({"__score": "score", "__predicted": "predicted"})
 
 
@@ -233,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "f": [features(t) for t in pdf["text"]]})
 
-    got = sample.select(F.col("id").cast("string").alias("id"), "y", "text").mapInPandas(reduce, "id string, y int, f array<int>").toPandas()
+    got = small_batches(sample).select(F.col("id").cast("string").alias("id"), "y", "text").mapInPandas(reduce, "id string, y int, f array<int>").toPandas()
     got["k"] = [tuple(x[:64]) for x in got["f"]]
     got = got.sort_values(["id", "y", "k"], kind="stable")
     counts = dict(labels.where(learn & F.col("quality").isin(0, 1)).groupBy(F.col("quality").cast("int")).count().collect())

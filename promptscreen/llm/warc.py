@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, materialize, new_path
+from .common import bounded_sample, materialize, new_path, small_batches
 
 #: Fixed values of the format.
 DICT_MAGIC = 0x184D2A5D
@@ -148,7 +148,7 @@ def write_archives(records: DataFrame, path: str) -> None:
 
     names = ["page_id", "url", "payload_digest", "payload_bytes", "record_type", "refers_to", "html"]
     rows = records.select(*[F.col(c).cast("string") if c in ("page_id", "refers_to") else F.col(c) for c in names])
-    rows.mapInPandas(compress, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    small_batches(rows).mapInPandas(compress, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
 
 
 def read_archives(spark, path: str) -> DataFrame:
