@@ -24,6 +24,23 @@ DETECTORS = [
     ("SLACK_TOKEN", ANY_CASE + r"\bxox[baprs](?:-[A-Za-z0-9-]{10,})+"),
     ("SECRET_ASSIGN", ANY_CASE + r"\b(?:(?:api|secret|client|pass|user)_?)?(?:key|token|password|secret)\s*[:=]\s*\S+"),
 ]
+#: What a text must hold, in lower case, for a pattern to match at all: one of these. Searching for a literal is many
+#: times as fast as a pattern that ignores case, and most texts hold none. "digit" stands for any decimal digit.
+NEEDED = {
+    "CREDIT_CARD": ["digit"], "SSN": ["digit"], "IPV4": ["digit"], "EMAIL": ["@"], "AWS_KEY": ["akia", "asia"], "OPENAI_KEY": ["sk-"],
+    "GITHUB_KEY": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], "GOOGLE_KEY": ["aiza"], "SLACK_TOKEN": ["xox"], "SECRET_ASSIGN": ["key", "token", "password", "secret"],
+    "TR1": ["training"], "TR2": ["trained", "memoriz"], "TR3": ["dataset", "corpus", "knowledge"], "TR4": ["your"],
+    "PI1": ["card"], "PI2": ["ssn", "social"], "PI3": ["passport", "driver"], "PI4": ["pii", "personal", "financial"], "PI5": ["bank"],
+    "UN1": ["redact"], "UN2": ["redact", "censor", "filter"], "UN3": ["unfiltered", "uncensored", "raw", "unredacted"],
+    "JB1": ["ignore", "bypass", "override", "disregard"], "JB2": ["now"], "JB3": ["bypass"],
+    "RO1": ["act", "pretend", "roleplay", "now"], "RO2": ["dan", "jailbreak", "mode"], "RO3": ["unrestricted", "new"],
+    "DI1": ["prompt", "instruction"], "DI2": ["first"], "DI3": ["reveal"], "DI4": ["prompt", "instruction"],
+    "RETRIEVAL": ["show", "give", "provide", "list", "extract", "reproduce", "return", "get", "tell", "examples", "instances", "access", "reveal", "dump", "print", "output"],
+    "TARGET": ["training", "dataset", "corpus", "card", "ssn", "social", "passport", "email", "personal", "financial", "bank", "raw", "memorized", "prompt", "internal"],
+}
+#: Letters that a pattern takes for ASCII ones when it ignores case, and that lower() leaves as they are.
+FOLDED = ["\u017f", "\u0131"]
+
 KEY_TYPES = ["AWS_KEY", "OPENAI_KEY", "GITHUB_KEY", "GOOGLE_KEY", "SLACK_TOKEN", "SECRET_ASSIGN"]
 LUHN_DIGITS = (12, 19)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from .text import may_match
 
 SPAN = "struct<start: int, neg_len: int, ord: int, end: int, dtype: string, snippet: string>"
 
@@ -18,10 +19,10 @@ def _lengths(strings: Column, count: Column) -> Column:
     return F.aggregate(F.slice(strings, F.lit(1), count), F.lit(0), lambda a, x: a + F.char_length(x))
 
 
-def matches(text: Column, dtype: str, pattern: str, order: int) -> Column:
+def matches(text: Column, dtype: str, pattern: str, order: int, low: Column) -> Column:
     """All matches, left to right. Gaps between them are what split() leaves, so offsets are sums of lengths.
 
-    Most texts have no match: one search decides that, and nothing else is computed.
+    Most texts have no match: a literal, or else one search, decides that, and nothing else is computed. low: text in lower case.
     """
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
@@ -30,7 +31,7 @@ def matches(text: Column, dtype: str, pattern: str, order: int) -> Column:
         start = _lengths(gaps, i + 1) + _lengths(found, i)
         return F.struct(start.alias("start"), (-n).alias("neg_len"), F.lit(order).alias("ord"), (start + n).alias("end"), F.lit(dtype).alias("dtype"), m.alias("snippet"))
 
-    return F.when(text.rlike(pattern), F.transform(found, span)).when(text.isNotNull(), F.array().cast(f"array<{SPAN}>"))
+    return F.when(may_match(low, dtype) & text.rlike(pattern), F.transform(found, span)).when(text.isNotNull(), F.array().cast(f"array<{SPAN}>"))
 
 
 def luhn_ok(snippet: Column) -> Column:
@@ -39,16 +40,16 @@ def luhn_ok(snippet: Column) -> Column:
     return F.char_length(digits).between(low, high) & F.call_function("luhn_check", digits)
 
 
-def detector(text: Column, name: str) -> Column:
+def detector(text: Column, name: str, low: Column | None = None) -> Column:
     """Spans of one detector; cards only if their check digit holds."""
     order = [n for n, _ in P.DETECTORS].index(name)
-    spans = matches(text, name, P.DETECTORS[order][1], order)
+    spans = matches(text, name, P.DETECTORS[order][1], order, F.lower(text) if low is None else low)
     return F.filter(spans, lambda s: luhn_ok(s["snippet"])) if name == "CREDIT_CARD" else spans
 
 
-def all_spans(text: Column) -> Column:
-    """Spans of all detectors, in order."""
-    return F.array_sort(F.concat(*[detector(text, n) for n, _ in P.DETECTORS]))
+def all_spans(text: Column, low: Column | None = None) -> Column:
+    """Spans of all detectors, in order. low: text in lower case, if that is at hand."""
+    return F.array_sort(F.concat(*[detector(text, n, low) for n, _ in P.DETECTORS]))
 
 
 def resolved(spans: Column) -> Column:

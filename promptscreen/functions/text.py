@@ -20,6 +20,12 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
+def may_match(low: Column, name: str) -> Column:
+    """Whether a text, in lower case, can match a pattern: it holds what the pattern needs, or letters that fold to others."""
+    parts = [low.rlike(r"(?U)\d") if w == "digit" else low.contains(w) for w in P.NEEDED[name]]
+    return reduce(lambda a, b: a | b, [*parts, *[low.contains(c) for c in P.FOLDED]])
+
+
 def truncated(prompt: Column) -> Column:
     """First 100 characters, with dots if there are more."""
     return F.when(F.char_length(prompt) > 100, F.concat(F.substring(prompt, 1, 100), F.lit("..."))).otherwise(prompt)

@@ -2,42 +2,45 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import contains_any, fence
+from ..functions.text import contains_any, fence, may_match
 
 #: Short names of the groups, in order.
 SIGNALS = ["training", "pii", "unfiltered", "jailbreak", "role", "disclosure"]
 
 
-def first_pattern(text: Column, bodies: list[tuple[str, str]]) -> Column:
-    """Id of the first pattern that matches, null if none does."""
+def first_pattern(text: Column, low: Column, bodies: list[tuple[str, str]]) -> Column:
+    """Id of the first pattern that matches, null if none does. low: text in lower case."""
     out = None
     for name, body in bodies:
-        hit = text.rlike(P.ANY_CASE + body)
+        hit = may_match(low, name) & text.rlike(P.ANY_CASE + body)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out
 
 
-def flag(text: Column, bodies: list[tuple[str, str]]) -> Column:
-    """Whether any pattern matches: one alternation, one search."""
-    return text.rlike(P.ANY_CASE + "|".join(f"(?:{b})" for _, b in bodies))
+def flag(text: Column, low: Column, bodies: list[tuple[str, str]]) -> Column:
+    """Whether any pattern matches."""
+    return reduce(lambda a, b: a | b, [may_match(low, name) & text.rlike(P.ANY_CASE + body) for name, body in bodies])
 
 
 def behave(df: DataFrame, text_col: str = "normalized", patterns: bool = True) -> DataFrame:
     """Adds has_<signal>, has_retrieval, has_target, has_combination, behavior_risk, behavior_branch, behaviors and matched_patterns.
 
-    With patterns off only flags are searched for, a search a group.
+    With patterns off only flags are searched for.
     """
-    t = F.col(text_col)
+    t, low = F.col(text_col), F.col("__low")
+    df = df.withColumn("__low", F.lower(t))
     if patterns:
-        out = df.withColumns({f"__p_{s}": first_pattern(t, bodies) for s, (_, _, bodies) in zip(SIGNALS, P.BEHAVIOURS)})
+        out = df.withColumns({f"__p_{s}": first_pattern(t, low, bodies) for s, (_, _, bodies) in zip(SIGNALS, P.BEHAVIOURS)})
         out = out.withColumns({f"has_{s}": F.when(t.isNotNull(), F.col(f"__p_{s}").isNotNull()) for s in SIGNALS})
     else:
-        out = df.withColumns({f"has_{s}": flag(t, bodies) for s, (_, _, bodies) in zip(SIGNALS, P.BEHAVIOURS)})
-    out = out.withColumn("__low", F.lower(t)).withColumns({"has_retrieval": F.col("__low").rlike(P.RETRIEVAL), "has_target": F.col("__low").rlike(P.TARGET)})
+        out = df.withColumns({f"has_{s}": flag(t, low, bodies) for s, (_, _, bodies) in zip(SIGNALS, P.BEHAVIOURS)})
+    out = out.withColumns({"has_retrieval": may_match(low, "RETRIEVAL") & low.rlike(P.RETRIEVAL), "has_target": may_match(low, "TARGET") & low.rlike(P.TARGET)})
     has = {s: F.col(f"has_{s}") for s in [*SIGNALS, "retrieval", "target"]}
     strong = contains_any(F.col("__low"), P.STRONG_TARGETS)
     # Ordered: the first that holds. Nothing counts without a retrieval, role, disclosure or jailbreak signal.
