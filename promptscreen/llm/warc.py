@@ -124,15 +124,16 @@ def classify(pages: DataFrame) -> DataFrame:
     )
 
 
-def write_archives(records: DataFrame, path: str) -> None:
-    """Writes classified pages as archives of ARCHIVE_RECORDS at most, each of one partition's pages."""
+def write_archives(records: DataFrame, path: str, total: int | None = None) -> None:
+    """Writes classified pages as archives of ARCHIVE_RECORDS at most, each of one partition's pages. total: their number, if it is known."""
     spark = records.sparkSession
 
     def row_bytes(r) -> bytes:
         return record(page_key(r.page_id), r.url or "", r.payload_digest, r.payload_bytes, r.record_type, page_key(r.refers_to), r.html.encode())
 
-    # A bounded sample for the dictionary alone, by digest; the archives hold every payload whole.
-    sampled = bounded_sample(records.withColumn("html", F.substring("html", 1, SAMPLE_BYTES)), SAMPLE_RECORDS, records.count(), "payload_digest", "page_id")
+    # A bounded sample for the dictionary alone, by page, so that only its payloads are hashed; the archives hold every payload whole.
+    total = records.count() if total is None else total
+    sampled = bounded_sample(records, SAMPLE_RECORDS, total, "page_id", "url").withColumn("html", F.substring("html", 1, SAMPLE_BYTES))
     dictionary = spark.sparkContext.broadcast(train([row_bytes(r) for r in sampled.collect()]))
 
     def compress(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,7 +188,7 @@ def read_archives(spark, path: str) -> DataFrame:
 
 def archive_pages(pages: DataFrame, path: str) -> DataFrame:
     """Archives pages under path and returns the records read back."""
-    write_archives(classify(pages), path)
+    write_archives(classify(pages), path, pages.count())
     return read_archives(pages.sparkSession, path)
 
 
