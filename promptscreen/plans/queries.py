@@ -13,13 +13,13 @@ from ..operators import fusion, injection, judge, normalize, ratelimit, semantic
 from ..operators.behavior import SIGNALS, behave
 from ..operators.gate import audit_rows, gate
 from .analyze import analyze, screen
-from .corpus import PROMPTS, SECRETS, corpus
+from .corpus import PROMPTS, SECRETS, corpus, spread
 
 KEY = ["conv_id", "turn", "k"]
 
 
 def documents(spark, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def _detector(name: str):
