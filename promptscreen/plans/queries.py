@@ -62,7 +62,7 @@ def gate_prompts(spark, sf_dir: str) -> DataFrame:
 def gate_policy(spark, sf_dir: str) -> DataFrame:
     """Policy by verdict, unknown verdicts too, and a policy of one's own."""
     verdicts = F.element_at(F.array(*[F.lit(v) for v in ("SAFE", "MEDIUM_RISK", "HIGH_RISK", "BLOCKED", "WHATEVER")]), (F.pmod("doc_id", F.lit(5)) + 1).cast("int"))
-    docs = documents(spark, sf_dir).select("doc_id", F.substring("text", 1, 40).alias("text"), verdicts.alias("verdict"))
+    docs = documents(spark, sf_dir).select("doc_id", "text", verdicts.alias("verdict"))
     own = gate(docs, verdict_col="verdict", policy={"MEDIUM_RISK": "BLOCK"}).select("doc_id", F.col("action").alias("own_action"))
     return gate(docs, verdict_col="verdict").select("doc_id", "verdict", "action", "reason").join(own, "doc_id")
 
