@@ -8,7 +8,8 @@ full of it, and what is significantly commoner in toxic text. A window without t
 latter so has the same length under both, and the difference of lengths is evidence.
 
 A text's evidence (its largest difference, and how much all its windows differ by,
-at each of a few thresholds, also against its length) gives the score by a logistic curve. It is fit on rows
+at each of a few thresholds, also against its length) gives the score by a logistic curve. Its rows
+count by how many of their class the sample left out. It is fit on rows
 that no segment was picked from: half of the learning rows pick, the others
 calibrate, and the other way round, and the final dictionaries use both.
 
@@ -180,13 +181,13 @@ class Lengths:
         return np.array([diff.max(), *above, rate])
 
 
-def newton(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Weights of a logistic regression, the last the offset."""
+def newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+    """Weights of a logistic regression, the last the offset; weight: how much each row counts."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (p - y)) + ridge * w)
         w = w - step / max(1.0, np.abs(step).max() / 4)
         if np.abs(step).max() < 1e-7:
             break
@@ -194,7 +195,8 @@ def newton(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, texts: list[str], y: np.ndarray):
+    def __init__(self, texts: list[str], y: np.ndarray, shares: tuple[float, float] = (1.0, 1.0)):
+        """shares: what part of all labelled rows of class 0 and of class 1 the rows given are."""
         n1 = int(y.sum())
         self.constant = None if 0 < n1 < len(y) else (float(y.mean()) if len(y) else 0.0)
         if self.constant is not None:
@@ -209,7 +211,8 @@ class Model:
             lengths = Lengths(counted[side].train())
             for i in np.flatnonzero(half != side):
                 x[i] = lengths.evidence(texts[i])
-        self.weights = newton(x, y)
+        true = np.where(y == 1, 1 / shares[1], 1 / shares[0])
+        self.weights = newton(x, y, true / true.mean())
         both = counted[0].with_(counted[1])
         del counted
         self.contents = both.train()
@@ -227,7 +230,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_
     """learn: a condition on id_col that says which labelled rows may be learnt from."""
     sample = labelled_sample(docs, labels, "toxic", learn, (SAMPLE_ORDINARY, SAMPLE_TOXIC), id_col, text_col)
     got = sample.select("y", F.substring("text", 1, SAMPLE_TEXT).alias("text"), F.md5(F.concat_ws("/", "id", F.md5("text"))).alias("k")).toPandas().sort_values("k", kind="stable")
-    return Model([t or "" for t in got["text"]], got["y"].to_numpy(dtype=int))
+    counts = dict(labels.where(learn & F.col("toxic").isin(0, 1)).groupBy(F.col("toxic").cast("int")).count().collect())
+    y = got["y"].to_numpy(dtype=int)
+    shares = tuple(max(1e-9, float((y == k).sum()) / max(1, counts.get(k, 1))) for k in (0, 1))
+    return Model([t or "" for t in got["text"]], y, shares)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
