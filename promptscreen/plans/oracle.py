@@ -212,7 +212,7 @@ def build() -> dict[str, str]:
     named = ", ".join(f"CASE WHEN has_{s} THEN '{b}' END" for s, (_, b, _) in zip(SIGNALS, P.BEHAVIOURS))
     drop = "lambda x: x IS NOT NULL"
     blocking = "verdict IN ('BLOCKED', 'HIGH_RISK')"
-    policy = f"(SELECT doc_id, substr(text, 1, 40) AS text, {pick(['SAFE', 'MEDIUM_RISK', 'HIGH_RISK', 'BLOCKED', 'WHATEVER'], 'doc_id')} AS verdict FROM documents)"
+    policy = f"(SELECT doc_id, text, {pick(['SAFE', 'MEDIUM_RISK', 'HIGH_RISK', 'BLOCKED', 'WHATEVER'], 'doc_id')} AS verdict FROM documents)"
     screened = f"(SELECT conv_id, turn, k, text, verdict FROM {analyzed_sql(corpus_sql(PROMPTS + SECRETS))})"
     key = "substr(text, 1, CAST(doc_id % 20 AS INTEGER))"
     provider = "CASE WHEN c LIKE 'google%' THEN 'google' " + " ".join(f"WHEN c LIKE '{p}%' THEN '{p}'" for p in sorted(P.PROVIDERS, key=len, reverse=True)) + " ELSE 'google' END"
