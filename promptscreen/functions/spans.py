@@ -15,23 +15,58 @@ from .text import may_match
 SPAN = "struct<start: int, neg_len: int, ord: int, end: int, dtype: string, snippet: string>"
 
 
-def _lengths(strings: Column, count: Column) -> Column:
-    return F.aggregate(F.slice(strings, F.lit(1), count), F.lit(0), lambda a, x: a + F.char_length(x))
+#: Arrays are worked through in parts of so many elements. What an aggregate carries is copied at each step, so one that
+#: collects a long array takes the square of its length; parts are short, and only a number is carried from part to part.
+PART = 64
+
+
+def _once(value: Column, body) -> Column:
+    """body(value), with value computed once: within a function of array elements an outer expression is else computed for each."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _parts(items: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.size(items), F.lit(PART)), lambda i: F.slice(items, i, F.lit(PART)))
+
+
+def _scan(items: Column, advance, collect) -> Column:
+    """Spans of an array that is not empty, made in order with a number carried along, from 0.
+
+    advance(carried, item): the number after an item; collect(carried, spans, item): the spans with what the item adds.
+    """
+    carried = lambda part, first: F.aggregate(part, first, advance)
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def step(a: Column, x: Column) -> Column:
+        return F.struct(advance(a["at"], x).alias("at"), collect(a["at"], a["out"], x).alias("out"))
+
+    def one(z: Column) -> Column:
+        return F.aggregate(z["part"], F.struct(z["first"].alias("at"), none.alias("out")), step, lambda a: a["out"])
+
+    def all_parts(parts: Column) -> Column:
+        firsts = F.aggregate(parts, F.array(F.lit(0)), lambda a, part: F.concat(a, F.array(carried(part, F.element_at(a, -1)))))
+        pairs = F.slice(F.arrays_zip(parts.alias("part"), firsts.alias("first")), F.lit(1), F.size(parts))
+        return F.flatten(F.transform(pairs, one))
+
+    return _once(_once(items, _parts), all_parts)
 
 
 def matches(text: Column, dtype: str, pattern: str, order: int, low: Column) -> Column:
-    """All matches, left to right. Gaps between them are what split() leaves, so offsets are sums of lengths.
+    """All matches, left to right. Gaps between them are what split() leaves, so offsets are running sums of lengths.
 
     Most texts have no match: a literal, or else one search, decides that, and nothing else is computed. low: text in lower case.
     """
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    end = lambda at, x: at + F.char_length(x["gap"]) + F.char_length(F.coalesce(x["m"], F.lit("")))
 
-    def span(m: Column, i: Column) -> Column:
-        n = F.char_length(m)
-        start = _lengths(gaps, i + 1) + _lengths(found, i)
-        return F.struct(start.alias("start"), (-n).alias("neg_len"), F.lit(order).alias("ord"), (start + n).alias("end"), F.lit(dtype).alias("dtype"), m.alias("snippet"))
+    def add(at: Column, spans: Column, x: Column) -> Column:
+        n = F.char_length(x["m"])
+        start = at + F.char_length(x["gap"])
+        span = F.struct(start.alias("start"), (-n).alias("neg_len"), F.lit(order).alias("ord"), (start + n).alias("end"), F.lit(dtype).alias("dtype"), x["m"].alias("snippet"))
+        return F.when(x["m"].isNull(), spans).otherwise(F.concat(spans, F.array(span)))  # after the last gap comes no match
 
-    return F.when(may_match(low, dtype) & text.rlike(pattern), F.transform(found, span)).when(text.isNotNull(), F.array().cast(f"array<{SPAN}>"))
+    spans = _scan(F.arrays_zip(gaps.alias("gap"), found.alias("m")), end, add)
+    return F.when(may_match(low, dtype) & text.rlike(pattern), spans).when(text.isNotNull(), F.array().cast(f"array<{SPAN}>"))
 
 
 def luhn_ok(snippet: Column) -> Column:
@@ -54,19 +89,28 @@ def all_spans(text: Column, low: Column | None = None) -> Column:
 
 def resolved(spans: Column) -> Column:
     """Sorted spans without those that begin within the span kept last: leftmost first, the longest of one start. Touching spans stay."""
-    return F.aggregate(
-        spans,
-        F.slice(spans, 1, 0),
-        lambda kept, s: F.when((F.size(kept) > 0) & (s["start"] < F.element_at(kept, -1)["end"]), kept).otherwise(F.concat(kept, F.array(s))),
-    )
+    kept = _scan(spans, lambda last, s: F.when(s["start"] < last, last).otherwise(s["end"]), lambda last, out, s: F.when(s["start"] < last, out).otherwise(F.concat(out, F.array(s))))
+    return F.when(F.size(spans) > 0, kept).otherwise(spans)
 
 
 def redacted(text: Column, spans: Column, token: str = P.REDACTED) -> Column:
-    """text with each of its disjoint, sorted spans replaced."""
-    ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
-    parts = F.transform(spans, lambda s, i: F.concat(F.substring(text, F.get(ends, i) + 1, s["start"] - F.get(ends, i)), F.lit(token)))
-    tail = F.substring(text, F.element_at(ends, -1) + 1, F.char_length(text))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(text)
+    """text with each of its disjoint, sorted spans replaced.
+
+    A substring is looked for from the beginning, so PART spans at a time are cut out of a piece of the text that holds just these.
+    """
+    before = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
+    pairs = F.transform(F.slice(F.arrays_zip(before.alias("at"), spans.alias("s")), F.lit(1), F.size(spans)), lambda x: F.struct(x["at"].alias("at"), x["s"]["start"].alias("start"), x["s"]["end"].alias("end")))
+
+    def cut(z: Column) -> Column:
+        parts = F.transform(z["own"], lambda x: F.concat(F.substring(z["piece"], x["at"] - z["at"] + 1, x["start"] - x["at"]), F.lit(token)))
+        return F.array_join(parts, "")
+
+    def piece(own: Column) -> Column:
+        first, last = F.get(own, F.lit(0))["at"], F.element_at(own, -1)["end"]
+        return _once(F.struct(own.alias("own"), F.substring(text, first + 1, last - first).alias("piece"), first.alias("at")), cut)
+
+    tail = F.substring(text, F.element_at(spans, -1)["end"] + 1, F.char_length(text))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(F.transform(_once(pairs, _parts), piece), ""), tail)).otherwise(text)
 
 
 def findings(spans: Column) -> Column:
