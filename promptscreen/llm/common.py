@@ -112,12 +112,13 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 
 
-def map_groups(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
+def map_groups(df: DataFrame, keys: list[str], fn, schema: str, partitions: int | None = None) -> DataFrame:
     """fn(arrow table of one group) -> arrow table or None, over groups of a bounded size.
 
     Rows are dealt by keys and sorted, and groups are cut from the stream of
     batches, so thousands of small groups cost little; a task holds one batch and
-    one group. The caller splits groups that could be large.
+    one group. The caller splits groups that could be large. partitions: a fixed
+    number of tasks, for groups that take long for their size.
     """
 
     def run(batches):
@@ -150,7 +151,8 @@ def map_groups(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
         if held:
             yield from done()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    dealt = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def block_pairs(df: DataFrame, key: str, row_id: str, limit: int) -> DataFrame:
