@@ -203,7 +203,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: C
     none = known.limit(0)
     for y in (0, 1):
         none = none.unionByName(bounded_sample(known.where(F.col("y") == y), most[y], counts.get(y, 0), "id", "y"))
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(none), "id")
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(none), "id")
+    # An id may have come to many rows.
+    return bounded_sample(found, 2 * sum(most), found.count(), "id", "text")
 
 
 def score_column(rows: DataFrame, model, text_col: str = "text", keep_text: bool = False) -> DataFrame:

@@ -1,20 +1,22 @@
 """Toxicity by compression distance: which of two Zstandard dictionaries shortens a text's windows more.
 
-Two dictionaries of plain content are trained, one on toxic and one on ordinary
-text. Training picks segments as the usual trainer does, by how many documents
-have their byte strings of length D. The ordinary dictionary has what is frequent
-in ordinary text; the toxic one has that too, in the same place, for toxic text is
-full of it, and what is significantly commoner in toxic text. A window without the
-latter so has the same length under both, and the difference of lengths is evidence.
-
-A text's evidence (its largest difference, and how much all its windows differ by,
-at each of a few thresholds, also against its length) gives the score by a logistic curve. Its rows
-count by how many of their class the sample left out. It is fit on rows
-that no segment was picked from: half of the learning rows pick, the others
+Two dictionaries are trained by Zstandard's own trainer, one on what is peculiar to
+toxic text and one on what is peculiar to ordinary text: the places whose byte strings of length D are
+commoner in one class, by their rates over texts (a t statistic of T or more, and TIMES the
+other's rate). What both classes share is trained once, from all texts without those places, and
+stands in the same place in both dictionaries, so a window without anything peculiar
+has the same length under both: the difference of two lengths is evidence and no chance.
+
+A text's evidence (its largest difference, how much its windows differ by beyond
+each threshold, also against its length, and how much the other way) gives the score by a
+logistic curve. Thresholds are quantiles of the differences of ordinary text. Rows of the fit
+count by how many of their class the sample left out. Both, thresholds and curve, are calibrated on rows
+that no dictionary was trained on: half of the learning rows train, the others
 calibrate, and the other way round, and the final dictionaries use both.
 
-Learns from at most SAMPLE_TOXIC and SAMPLE_ORDINARY labelled rows, by hash; copies
-and near copies among them count once. Every window of every text is compared.
+Learns from at most SAMPLE_TOXIC and SAMPLE_ORDINARY labelled rows, by hash, of
+SAMPLE_BYTES together, whole texts all; copies and near copies among them count once.
+Every window of every text is compared.
 
 Defined results. A null or empty text has no evidence and gets the score of such a
 text. Labels other than 0 and 1, and null ones, are not learnt from. Without rows
@@ -25,7 +27,6 @@ table gives no rows. Columns not named are not read.
 
 from __future__ import annotations
 
-
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame
@@ -33,9 +34,7 @@ from pyspark.sql import functions as F
 
 from .quality import held_out, labelled_sample, score_column
 
-SAMPLE_TOXIC, SAMPLE_ORDINARY = 4096, 6144
-#: Characters of a sampled text that the model is fit on; scoring reads all of a text.
-SAMPLE_TEXT = 1 << 14
+SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 4096, 6144, 32 << 20
 D = 6
 WINDOW, STRIDE = 52, 36
 #: Both dictionaries end with it and every window begins with it, so that none is too short to be compressed at all;
@@ -43,14 +42,22 @@ WINDOW, STRIDE = 52, 36
 ANCHOR = bytes(range(1, 9)) * 4
 #: Ends every window: the last 8 bytes of what is compressed are never matched.
 TAIL = bytes(range(14, 22))
-OWN_BYTES, COMMON_BYTES = 2048, 16_384
-#: Between segments, which would else make strings that no text has; no UTF-8 text has it.
+OWN_BYTES, COMMON_BYTES = 4096, 16_384
+#: Ordinary text has little that is peculiar to it; its part is filled from ordinary text up to this share of the toxic part,
+#: and not farther, since whatever only one of the dictionaries has by chance blurs the differences.
+FILL = 1 / 8
+#: Lengths of the segments that the trainer picks, of what is peculiar and of other text.
+SEGMENT, PLAIN = 16, 32
+#: Between samples, which would else make strings that no text has; no UTF-8 text has it.
 APART = b"\xff"
 TABLE_BITS = 22
-#: A byte string is a class's own if it is so many times as common there, with such a likelihood ratio at least.
-TIMES, CHANCE = 8.0, 20.0
-THRESHOLDS = (1, 2, 4)
+#: A byte string is peculiar to a class if its rate is so many times the other's, with such a t statistic at least.
+TIMES, T = 3.0, 5.0
+#: Thresholds are these quantiles of the differences of ordinary windows.
+QUANTILES = (0.9, 0.99, 0.999)
 LEVEL, MATCH = 3, 6
+#: Zstandard's trainer makes no smaller dictionary.
+LEAST_BYTES = 256
 
 
 def grams(data: bytes) -> np.ndarray:
@@ -83,77 +90,88 @@ def distinct(texts: list[bytes]) -> list[bytes]:
     return out
 
 
-def frequencies(texts: list[bytes]) -> np.ndarray:
-    """Number of texts that have each string, by hash."""
-    counts = np.zeros(1 << TABLE_BITS, np.int32)
-    for t in texts:
-        counts[np.unique(grams(t))] += 1
-    return counts
-
-
-def own(mine: np.ndarray, n: int, other: np.ndarray, m: int) -> np.ndarray:
-    """Which strings are commoner in one class's texts by a likelihood ratio that chance does not reach."""
-    at = np.flatnonzero(mine >= 3)
-    a, b = mine[at].astype(float), other[at].astype(float)
-    p = (a + b) / (n + m)
-    ratio = 2 * (a * np.log(a / (n * p)) + b * np.log(np.maximum(b, 1e-9) / (m * p)))
-    out = np.zeros(len(mine), bool)
-    out[at[(ratio >= CHANCE) & (a / n > TIMES * (b + 0.5) / m)]] = True
+class Rates:
+    """Of each string, by hash, the sum over texts of its rate (in a thousand bytes), and of the rate's square."""
+
+    def __init__(self, texts: list[bytes]):
+        self.n = len(texts)
+        self.sum, self.square = (np.zeros(1 << TABLE_BITS, np.float32) for _ in range(2))
+        for t in texts:
+            at, times = np.unique(grams(t), return_counts=True)
+            rate = (times * (1000 / max(len(t), 500))).astype(np.float32)
+            self.sum[at] += rate
+            self.square[at] += rate * rate
+
+    def __add__(self, other: "Rates") -> "Rates":
+        out = Rates([])
+        out.n, out.sum, out.square = self.n + other.n, self.sum + other.sum, self.square + other.square
+        return out
+
+
+def peculiar(mine: Rates, other: Rates) -> np.ndarray:
+    """Which strings are commoner in one class's texts, more than chance or a few odd texts would make them."""
+    n, m = max(2, mine.n), max(2, other.n)
+    at = np.flatnonzero(mine.sum > TIMES * other.sum * (n / m))
+    a, b = mine.sum[at] / n, other.sum[at] / m
+    # The variance is that of all texts, so a string that the other class's few texts happen not to have is none.
+    mean = (mine.sum[at] + other.sum[at]) / (n + m)
+    spread = np.sqrt(np.maximum((mine.square[at] + other.square[at]) / (n + m) - mean * mean, 1e-12) * (1 / n + 1 / m))
+    out = np.zeros(len(mine.sum), bool)
+    out[at[a - b > T * spread]] = True
     return out
 
 
-def segments(texts: list[bytes], counts: np.ndarray, limit: int) -> bytes:
-    """Segments of texts, the most frequent last (nearest to what is compressed), up to limit bytes.
+def runs(text: bytes, marked: np.ndarray) -> list[tuple[int, int]]:
+    """Where a text has marked strings, from the first of a run of them to the end of the last."""
+    hit = marked[grams(text)]
+    if not hit.any():
+        return []
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+    return list(zip(edge[::2].tolist(), (edge[1::2] + D - 1).tolist()))
 
-    counts: of each string the number of texts, 0 for those not to be picked. Of a
-    run of picked strings those with half of its highest count at least are the
-    segment: what happens to stand around it is rarer.
-    """
-    tally: dict[bytes, int] = {}
-    for t in texts:
-        c = counts[grams(t)]
-        if not c.any():
-            continue
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], (c > 0).astype(np.int8), [0]])))
-        for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist()):
-            best = np.flatnonzero(2 * c[lo:hi] >= c[lo:hi].max())
-            s = t[lo + best[0] : min(lo + best[-1] + D, lo + best[0] + 32)]
-            tally[s] = tally.get(s, 0) + 1
-    kept: list[bytes] = []
-    size = 0
-    for s, _ in sorted(tally.items(), key=lambda x: (-x[1], x[0])):
-        if size + len(s) > limit:
-            break
-        if not any(s in k for k in kept[:512]):
-            kept.append(s)
-            size += len(s) + 1
-    return APART.join(reversed(kept)) + APART
+
+def content(samples: list[bytes], size: int, k: int) -> bytes:
+    """What Zstandard's trainer picks from samples, without the tables before it; the samples where they are too few to train on."""
+    if sum(map(len, samples)) > size:
+        try:
+            trained = zstandard.train_dictionary(size, samples, k=k, d=D, f=20, accel=1, split_point=1.0).as_bytes()
+            return trained[trained.index(b"\1\0\0\0\4\0\0\0\10\0\0\0") + 12 :]  # the offsets that end the tables
+        except zstandard.ZstdError:
+            pass
+    seen = dict.fromkeys(samples)
+    return b"".join(seen)[-size:]
 
 
 class Counted:
-    """Learning texts of both classes and their string frequencies."""
+    """Learning texts of both classes and the rates of their strings."""
 
     def __init__(self, toxic: list[bytes], ordinary: list[bytes]):
         self.toxic, self.ordinary = toxic, ordinary
-        self.ft, self.fo = frequencies(toxic), frequencies(ordinary)
+        self.rates = Rates(toxic), Rates(ordinary)
 
-    def with_(self, more: "Counted") -> "Counted":
+    def __add__(self, other: "Counted") -> "Counted":
         out = Counted([], [])
-        out.toxic, out.ordinary = self.toxic + more.toxic, self.ordinary + more.ordinary
-        out.ft, out.fo = self.ft + more.ft, self.fo + more.fo
+        out.toxic, out.ordinary = self.toxic + other.toxic, self.ordinary + other.ordinary
+        out.rates = tuple(a + b for a, b in zip(self.rates, other.rates))
         return out
 
     def train(self) -> tuple[bytes, bytes]:
         """Contents of the toxic and the ordinary dictionary."""
-        n, m = max(1, len(self.toxic)), max(1, len(self.ordinary))
-        own_t = own(self.ft, n, self.fo, m)
-        both = np.minimum(self.ft / np.float32(n), self.fo / np.float32(m))
-        both[own_t] = 0
-        both[both < np.partition(both, -2000)[-2000]] = 0
-        shared = segments(self.ordinary[:1000], both, COMMON_BYTES)
-        toxic = segments(self.toxic, np.where(own_t, self.ft, 0), OWN_BYTES)
-        # Of equal length and with what is shared in the same place, so that a window without toxic segments has one length.
-        return shared + toxic + ANCHOR, shared + b"\0" * len(toxic) + ANCHOR
+        own = [peculiar(self.rates[i], self.rates[1 - i]) for i in (0, 1)]
+        parts, plain = [], []
+        for texts, marked in zip((self.toxic, self.ordinary), own):
+            parts.append(content([t[s:e] + APART for t in texts for s, e in runs(t, marked)], OWN_BYTES, SEGMENT))
+            plain.append([])
+            for t in texts:
+                cuts = [0, *[x for run in runs(t, own[0] | own[1]) for x in run], len(t)]
+                plain[-1] += [t[s:e] + APART for s, e in zip(cuts[::2], cuts[1::2]) if e - s >= 2 * D]
+        fill = int(FILL * len(parts[0])) - len(parts[1])
+        if fill > 0:
+            parts[1] = content(plain[1], max(LEAST_BYTES, fill), SEGMENT)[-fill:] + APART + parts[1]
+        shared = content(plain[0] + plain[1], COMMON_BYTES, PLAIN)
+        # Of equal length and with what is shared in the same place, so that a window without what is peculiar has one length.
+        most = max(map(len, parts))
+        return tuple(shared + APART * (most - len(p) + 1) + p + ANCHOR for p in parts)
 
 
 class Lengths:
@@ -170,15 +188,24 @@ class Lengths:
             d.precompute_compress(compression_params=how)
             self.by.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress)
 
-    def evidence(self, text: str | None) -> np.ndarray:
-        """Of a whole text: largest difference, sum beyond each threshold, and the like against its length, as logarithms."""
+    def differences(self, text: str | None) -> np.ndarray:
+        """Of every window of a whole text how much shorter the toxic dictionary makes it."""
         data = b" " + (text or "").encode("utf-8", "surrogatepass") + b" "
         toxic, ordinary = self.by
-        diff = np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in (ANCHOR + data[i : i + WINDOW] + TAIL for i in range(0, max(1, len(data) - WINDOW + STRIDE), STRIDE))), np.int64)
-        above = [np.log1p(np.maximum(diff - t + 1, 0).sum()) for t in THRESHOLDS]
-        # The same against what a text of this length has by chance.
-        rate = above[1] - np.log1p(len(diff) / 50)
-        return np.array([diff.max(), *above, rate])
+        return np.fromiter((len(ordinary(w)) - len(toxic(w)) for w in (ANCHOR + data[i : i + WINDOW] + TAIL for i in range(0, max(1, len(data) - WINDOW + STRIDE), STRIDE))), np.int64)
+
+
+def evidence(diff: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
+    """Largest difference; sums beyond each threshold and the other way, as logarithms, and against what a text of this length has by chance."""
+    some = np.log1p(len(diff) / 50)
+    above = [np.log1p(np.maximum(diff - t + 1, 0).sum()) for t in thresholds]
+    return np.array([diff.max(), *above, *(x - some for x in above), np.log1p(np.maximum(-diff, 0).sum()) - some])
+
+
+def calibrated(diffs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Thresholds, 1 at least and rising, from the differences of ordinary texts' windows."""
+    every = np.concatenate([d for d, k in zip(diffs, y) if k == 0])
+    return np.maximum.accumulate(np.maximum(np.ceil(np.quantile(every, QUANTILES)), 1) + np.arange(len(QUANTILES)))
 
 
 def newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -206,14 +233,16 @@ class Model:
         for k in (0, 1):
             half[y == k] = np.arange((y == k).sum()) % 2
         counted = [Counted(*(distinct([t for t, k, h in zip(cut, y, half) if k == label and h == side]) for label in (1, 0))) for side in (0, 1)]
-        x = np.zeros((len(y), len(THRESHOLDS) + 2))
+        diffs: list = [None] * len(y)
         for side in (0, 1):
             lengths = Lengths(counted[side].train())
             for i in np.flatnonzero(half != side):
-                x[i] = lengths.evidence(texts[i])
+                diffs[i] = lengths.differences(texts[i])
+        self.thresholds = calibrated(diffs, y)
+        x = np.array([evidence(d, self.thresholds) for d in diffs])
         true = np.where(y == 1, 1 / shares[1], 1 / shares[0])
         self.weights = newton(x, y, true / true.mean())
-        both = counted[0].with_(counted[1])
+        both = counted[0] + counted[1]
         del counted
         self.contents = both.train()
         self.lengths = None
@@ -222,14 +251,19 @@ class Model:
         if self.constant is not None:
             return self.constant
         self.lengths = self.lengths or Lengths(self.contents)
-        m = self.lengths.evidence(text) @ self.weights[:-1] + self.weights[-1]
+        m = evidence(self.lengths.differences(text), self.thresholds) @ self.weights[:-1] + self.weights[-1]
         return float(1 / (1 + np.exp(-np.clip(m, -30, 30))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """learn: a condition on id_col that says which labelled rows may be learnt from."""
     sample = labelled_sample(docs, labels, "toxic", learn, (SAMPLE_ORDINARY, SAMPLE_TOXIC), id_col, text_col)
-    got = sample.select("y", F.substring("text", 1, SAMPLE_TEXT).alias("text"), F.md5(F.concat_ws("/", "id", F.md5("text"))).alias("k")).toPandas().sort_values("k", kind="stable")
+    keyed = sample.select("y", "text", F.md5(F.concat_ws("/", "id", F.md5("text"))).alias("k"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
+    sizes = keyed.select("k", "n").toPandas().sort_values("k", kind="stable")
+    fits = sizes["n"].cumsum() <= SAMPLE_BYTES
+    if not fits.all():
+        keyed = keyed.where(F.col("k") <= sizes["k"][fits].max()) if fits.any() else keyed.limit(0)
+    got = keyed.select("y", "text", "k").toPandas().sort_values("k", kind="stable")
     counts = dict(labels.where(learn & F.col("toxic").isin(0, 1)).groupBy(F.col("toxic").cast("int")).count().collect())
     y = got["y"].to_numpy(dtype=int)
     shares = tuple(max(1e-9, float((y == k).sum()) / max(1, counts.get(k, 1))) for k in (0, 1))

@@ -70,7 +70,7 @@ def test_compression_tells_apart():
     toxic = lambda: " ".join(rng.choice(["blastard", "grumpkin"]) if i % 12 == 5 else word() for i in range(60))
     texts, y = [toxic() if i % 4 == 0 else plain() for i in range(400)], np.array([int(i % 4 == 0) for i in range(400)])
     model = toxicity.Model(texts, y)
-    assert b"blastard" in model.contents[0] and b"blastard" not in model.contents[1]
+    assert b"blasta" in model.contents[0] and b"blasta" not in model.contents[1]
     assert np.mean([model.score(toxic()) >= 0.5 for _ in range(100)]) > 0.95
     assert np.mean([model.score(plain()) >= 0.5 for _ in range(100)]) < 0.02
     # The whole of a text counts, its end too.
