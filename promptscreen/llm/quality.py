@@ -64,19 +64,23 @@ def _classes() -> np.ndarray:
 
 CLASSES = _classes()
 SIGNS = 96  # more than there are classes, doubled marks and the sign of a repeated word
-#: Bytes are reduced in slices, so that a text of any length needs little memory.
-SLICE = 1 << 20
+#: Bytes are reduced in slices, so that a text of any length needs little memory beside itself.
+SLICE, LONGEST = 1 << 20, 5
 
 
-def signs(data: bytes) -> np.ndarray:
-    """Signs of a text: runs of a class as one; a run of two or more of one mark is a sign of its own."""
-    raw = CLASSES[np.frombuffer(data, np.uint8)]
+def signs(data: bytes, lo: int, hi: int) -> np.ndarray:
+    """Signs of the runs of a text that begin in data[lo:hi]: a run of a class as one; a run of two or more of one mark is a sign of its own."""
+    # One byte before tells whether a run begins, and one after whether the last run is long.
+    raw = CLASSES[np.frombuffer(data[max(0, lo - 1) : hi + 1], np.uint8)]
     if not len(raw):
-        return raw
-    starts = np.flatnonzero(np.concatenate([[True], raw[1:] != raw[:-1]]))
-    long = np.diff(np.append(starts, len(raw))) > 1
-    out = raw[starts]
-    return np.where(long & (out >= MARK), out + 40, out).astype(np.int64)
+        return raw.astype(np.int64)
+    begins = np.concatenate([[lo == 0], raw[1:] != raw[:-1]])
+    long = np.concatenate([raw[1:] == raw[:-1], [False]])
+    begins[: min(lo, 1)] = False
+    if hi < len(data):
+        begins[-1] = False
+    out = raw[begins]
+    return np.where(long[begins] & (out >= MARK), out + 40, out).astype(np.int64)
 
 
 def features(text: str | None) -> np.ndarray:
@@ -84,16 +88,19 @@ def features(text: str | None) -> np.ndarray:
     data = (text or "").encode("utf-8", "surrogatepass")
     hit = np.zeros(FEATURES, bool)
     counts = np.zeros(SIGNS, np.int64)
+    before = np.zeros(0, np.int64)  # the last signs of earlier slices: n-grams go on across a cut
     for lo in range(0, max(len(data), 1), SLICE):
-        s = signs(data[lo : lo + SLICE])
-        counts += np.bincount(s, minlength=SIGNS)
+        new = signs(data, lo, min(lo + SLICE, len(data)))
+        counts += np.bincount(new, minlength=SIGNS)
+        s = np.concatenate([before, new])
         code = np.zeros(len(s), np.uint64)
-        for n in range(1, 6):
+        for n in range(1, LONGEST + 1):
             if len(s) < n:
                 break
             code = code[: len(s) - n + 1] * np.uint64(SIGNS) + s[n - 1 :].astype(np.uint64)
             mixed = (code * np.uint64(8) + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
             hit[(mixed >> np.uint64(64 - BITS)).astype(np.int64)] = True
+        before = s[-(LONGEST - 1) :]
     words = (text or "").split()
     counts[SIGNS - 1] = sum(map(eq, words, islice(words, 1, None)))
     # How often a sign comes, against the number of words: an indicator of each power of two.
