@@ -224,9 +224,9 @@ def vector_rows(n, seed, dim=8):
 ODD_VECTORS = [(900, None), (901, []), (902, [0.0] * 8), (903, [1.0, None] + [0.0] * 6), (904, [float("nan")] * 8), (905, [float("inf")] + [1.0] * 7), (906, [1.0, 2.0]), (907, [2.0, 4.0]), (None, [1.0, 2.0]), (908, [1e30] * 8), (909, [1e-30] * 8), (906, [1.0, 2.0])]
 
 
-@pytest.mark.parametrize("few", [0, 10_000])
-def test_vectors(spark, monkeypatch, few):
-    monkeypatch.setattr(vectors, "FEW", few)
+@pytest.mark.parametrize("per", [8, 10_000])
+def test_vectors(spark, monkeypatch, per):
+    monkeypatch.setattr(vectors, "PER", per)
     monkeypatch.setattr(vectors, "BLOCK", 16)
     rows = ODD_VECTORS + vector_rows(150, 2)
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, n_links int").repartition(3)
