@@ -102,10 +102,10 @@ class Rates:
             self.sum[at] += rate
             self.square[at] += rate * rate
 
-    def __add__(self, other: "Rates") -> "Rates":
-        out = Rates([])
-        out.n, out.sum, out.square = self.n + other.n, self.sum + other.sum, self.square + other.square
-        return out
+    def add(self, other: "Rates") -> None:
+        self.n += other.n
+        self.sum += other.sum
+        self.square += other.square
 
 
 def peculiar(mine: Rates, other: Rates) -> np.ndarray:
@@ -149,11 +149,10 @@ class Counted:
         self.toxic, self.ordinary = toxic, ordinary
         self.rates = Rates(toxic), Rates(ordinary)
 
-    def __add__(self, other: "Counted") -> "Counted":
-        out = Counted([], [])
-        out.toxic, out.ordinary = self.toxic + other.toxic, self.ordinary + other.ordinary
-        out.rates = tuple(a + b for a, b in zip(self.rates, other.rates))
-        return out
+    def add(self, other: "Counted") -> None:
+        self.toxic, self.ordinary = self.toxic + other.toxic, self.ordinary + other.ordinary
+        for a, b in zip(self.rates, other.rates):
+            a.add(b)
 
     def train(self) -> tuple[bytes, bytes]:
         """Contents of the toxic and the ordinary dictionary."""
@@ -242,8 +241,9 @@ class Model:
         x = np.array([evidence(d, self.thresholds) for d in diffs])
         true = np.where(y == 1, 1 / shares[1], 1 / shares[0])
         self.weights = newton(x, y, true / true.mean())
-        both = counted[0] + counted[1]
-        del counted
+        both, other = counted
+        both.add(other)
+        del counted, other
         self.contents = both.train()
         self.lengths = None
 
