@@ -80,6 +80,19 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+#: A node of so many edges is a hub. There are fewer hubs than edges over this, so theirs is a small table.
+HUB = 2000
+
+
+def with_least(e: DataFrame, least: Column) -> DataFrame:
+    """Rows u, v of e with m, the least of each u's rows. A hub's rows stay where they are and get theirs by broadcast; no task gathers them."""
+    low = e.groupBy("u").agg(least.alias("m"), F.count(F.lit(1)).alias("__c"))
+    hubs = materialize(low.where(F.col("__c") > HUB).select("u", F.col("m").alias("__m")), "hubs")
+    met = e.join(F.broadcast(hubs), "u", "left")
+    few = met.where("__m IS NULL").drop("__m").join(low.where(F.col("__c") <= HUB).select("u", "m"), "u")
+    return few.select("u", "v", "m").union(met.where("__m IS NOT NULL").select("u", "v", F.col("__m").alias("m")))
+
+
 def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
     """Smallest node reachable from each node.
 
@@ -87,20 +100,17 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
     Returns node, component, for nodes with an edge. Alternating large-star and
     small-star steps; each round halves paths, and goes through a table in the
     shared folder, so lineage stays short and a lost executor costs one round.
-    No row of a hub is gathered: both steps are a grouped minimum and a join that
-    adaptive execution splits where skewed.
+    No row of a hub is gathered: minima are partial in each task, and hubs get theirs by broadcast.
     """
     spark = edges.sparkSession
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
     while True:
         # Large star: every larger neighbour of x is linked to the smallest of x's neighbourhood.
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = with_least(both, F.least(F.min("v"), F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: every smaller neighbour, and the node itself, is linked to the smallest.
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low2, "u")
-        star = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v"))).distinct()
+        joined = with_least(materialize(large, label), F.min("v"))
+        star = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).distinct()
         nxt = materialize(star, label)
         # A forest of stars: nobody has two parents, and no parent has a parent.
         chained = nxt.join(nxt.select(F.col("u").alias("p")), F.col("v") == F.col("p"), "left_semi").limit(1).count()
@@ -155,21 +165,44 @@ def map_groups(df: DataFrame, keys: list[str], fn, schema: str, partitions: int
     return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def block_pairs(df: DataFrame, key: str, row_id: str, limit: int) -> DataFrame:
+def every_block(count: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+
+def own_block(row_id: str, count: str) -> Column:
+    return F.pmod(F.xxhash64(row_id), F.col(count)).cast("int")
+
+
+def blocks_of(df: DataFrame, key: str, limit: int, weight: str | None = None, most: int = 1) -> Column:
+    """Number of blocks of a key's rows: about limit rows in each, and about most of the sum of weight."""
+    by_rows = F.ceil(F.count(F.lit(1)) / F.lit(limit))
+    return (by_rows if weight is None else F.greatest(by_rows, F.ceil(F.sum(weight) / F.lit(most)))).cast("int")
+
+
+def block_pairs(df: DataFrame, key: str, row_id: str, limit: int, weight: str | None = None, most: int = 1) -> DataFrame:
     """Deals the rows of each key to pairs of blocks, so that any two rows of a key meet in exactly one group (key, bi, bj).
 
     Adds bi, bj (bi <= bj) and side: 0 for the rows of block bi, 1 for those of bj
-    (all 0 if bi = bj). A key of up to limit rows is one block; a larger one has
-    blocks of about limit rows, and each row goes to as many groups as there are
+    (all 0 if bi = bj). A key of up to limit rows, and most of weight, is one block; a larger one has
+    blocks of about that, and each row goes to as many groups as there are
     blocks. Keys of one row are left out.
     """
-    counts = materialize(df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1"), "blocks")
-    blocks = F.ceil(F.col("__n") / F.lit(limit)).cast("int")
-    dealt = df.join(counts, key).withColumn("__nb", blocks).withColumn("__b", F.pmod(F.xxhash64(row_id), "__nb").cast("int"))
+    counts = materialize(df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), blocks_of(df, key, limit, weight, most).alias("__nb")).where("__n > 1"), "blocks")
+    dealt = df.join(counts, key).withColumn("__b", own_block(row_id, "__nb"))
     one = dealt.where("__nb = 1").withColumns({"bi": F.lit(0), "bj": F.lit(0), "side": F.lit(0)})
     many = (
         dealt.where("__nb > 1")
-        .withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__nb") - 1)))
+        .withColumn("__o", every_block("__nb"))
         .withColumns({"bi": F.least("__b", "__o"), "bj": F.greatest("__b", "__o"), "side": (F.col("__b") > F.col("__o")).cast("int")})
     )
     return one.unionByName(many.drop("__o")).drop("__n", "__nb", "__b")
+
+
+def block_meetings(left: DataFrame, right: DataFrame, key: str, row_id: str, limit: int, weight: str | None = None, most: int = 1) -> DataFrame:
+    """Deals the rows of each key, of left (side 0) and right (side 1), to pairs of blocks (key, bi, bj), in which every row of one
+    meets every row of the other once. Keys that only one of them has are left out."""
+    sizes = lambda df, name: df.groupBy(key).agg(blocks_of(df, key, limit, weight, most).alias(name))
+    both = materialize(sizes(left, "__a").join(sizes(right, "__b"), key), "blocks")
+    one = left.join(both, key).withColumn("bi", own_block(row_id, "__a")).withColumn("bj", every_block("__b")).withColumn("side", F.lit(0))
+    other = right.join(both, key).withColumn("bj", own_block(row_id, "__b")).withColumn("bi", every_block("__a")).withColumn("side", F.lit(1))
+    return one.unionByName(other).drop("__a", "__b")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, bounded_sample, connected_components, map_groups, materialize
+from .common import block_meetings, block_pairs, bounded_sample, connected_components, map_groups, materialize
 
 #: k-means is fit on so many vectors at most.
 SAMPLE = 32_768
@@ -157,17 +157,6 @@ def assign(vectors: DataFrame, centroids: np.ndarray, margin: float, core: float
     return vectors.select("cid", "n", "vec").mapInArrow(run, f"cid long, n long, vec {kind}, cell int, home int, member boolean, core boolean, cells array<int>")
 
 
-def core_and_others(core: DataFrame, others: DataFrame, limit: int) -> DataFrame:
-    """Deals each cell's core (side 0) and its other rows (side 1) to pairs of blocks, in which every row of one meets every one of the other."""
-    blocks = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias(name))
-    sizes = materialize(blocks(core, "__a").join(blocks(others, "__b"), "cell"), "blocks")  # a row for a cell
-    own = lambda count: F.pmod(F.xxhash64("cid"), F.col(count)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-    one = core.join(F.broadcast(sizes), "cell").withColumn("bi", own("__a")).withColumn("bj", every("__b")).withColumn("side", F.lit(0))
-    other = others.join(F.broadcast(sizes), "cell").withColumn("bj", own("__b")).withColumn("bi", every("__a")).withColumn("side", F.lit(1))
-    return one.unionByName(other).drop("__a", "__b")
-
-
 def found_links(vectors: DataFrame, threshold: float, exact: bool) -> list[DataFrame]:
     """Tables cid, links, peer of the links found between classes of one vector length."""
     m = vectors.count()
@@ -186,7 +175,7 @@ def found_links(vectors: DataFrame, threshold: float, exact: bool) -> list[DataF
     # Guests meet others only where there are members.
     used = others.where("member").select("cell").distinct()
     among = block_pairs(others.join(F.broadcast(used), "cell", "left_semi"), "cell", "cid", BLOCK).withColumn("kind", F.lit(0))
-    across = core_and_others(core, others, BLOCK).withColumn("kind", F.lit(1))
+    across = block_meetings(core, others, "cell", "cid", BLOCK).withColumn("kind", F.lit(1))
     groups = among.unionByName(across.select(*among.columns))
     out.append(map_groups(groups, ["cell", "kind", "bi", "bj"], link_rows(threshold, len(centroids)), LINKS))
     return [materialize(t, "links") for t in out]
