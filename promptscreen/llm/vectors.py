@@ -40,8 +40,8 @@ from .common import block_meetings, block_pairs, bounded_sample, connected_compo
 
 #: k-means is fit on so many vectors at most.
 SAMPLE = 32_768
-PER, CELLS = 256, 4096
-MARGIN = 2.5
+PER, CELLS = 1024, 4096
+MARGIN = 2.0
 BLOCK = 2048
 ROUNDING = 1e-9
 
