@@ -2,16 +2,20 @@
 
 A document is the set of its runs of five words (of all its words, if it has fewer).
 Copies (equal sets) are one class, so they are never compared. Representatives get
-MinHash signatures, and meet where a band of their signature is equal. Pairs that
+MinHash signatures, eight bits of each value, and meet in buckets, where a band of their signatures is equal. Pairs that
 meet are compared signature part by part; a pair goes as soon as the posterior
 probability that its similarity reaches the threshold, given the agreements so far
-and a uniform prior, is below TOLERANCE. Survivors connect documents to candidate
-groups; within each group all pairs pass the same test, and what is left is
-verified exactly on the whole sets.
+and a uniform prior, is below TOLERANCE. Of the buckets in which two documents meet the one of the first band
+counts the pair, and verifies it exactly on the whole sets, which go to buckets with
+surviving pairs only.
 
 With BANDS bands of ROWS values a pair at a similarity of 0.8 fails to meet with a
 probability of 3e-6, at 0.85 of 2e-8.
 
+Large groups of near copies. In a bucket of more than BLOCK documents the smallest is a leader, and its set is
+compared with those of the rest. Jaccard distance is a metric, so any two documents within half of the link distance of one
+leader link: this core is counted, not compared, and in buckets only the others meet it and each other.
+
 Nothing is a list of all pairs: a task compares the rows of one bucket, or of two
 blocks of a large one, and returns for each row a count and one row it is
 connected with.
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_pairs, connected_components, map_groups, materialize, small, small_batches
+from .common import block_meetings, block_pairs, connected_components, map_groups, materialize, small, small_batches
 
 WORDS = 5
 BANDS, ROWS = 32, 5
@@ -41,7 +45,9 @@ HASHES = BANDS * ROWS
 TOLERANCE = 1e-9
 #: Signature values are compared in parts of so many.
 PART = 32
-BLOCK = 1024
+#: Documents of a block, and elements of their sets together, about.
+BLOCK, BLOCK_ELEMENTS = 512, 4 << 20
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose bits all depend on all."""
@@ -123,10 +129,10 @@ def signature(sh: np.ndarray) -> np.ndarray:
 
 
 def bands(sig: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each band."""
+    """A 64-bit key of each band of a signature's low bits, so that two keys are equal where these are."""
     key = np.arange(BANDS, dtype=np.uint64)
     for r in range(ROWS):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig.reshape(BANDS, ROWS)[:, r].astype(np.uint64))
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + (sig & np.uint32(255)).reshape(BANDS, ROWS)[:, r].astype(np.uint64))
     return key.astype(np.int64)
 
 
@@ -195,16 +201,29 @@ def bytes_matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
+def counted_here(sig: np.ndarray, core: np.ndarray, band: int, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a bucket's rows that survive, meet in no earlier band, and are not of one core."""
+    a, b = surviving(sig, *pairs_of(side), threshold)
+    new = (core[a] != core[b]) | (core[a] < 0)
+    a, b = a[new], b[new]
+    first = np.zeros(len(a), np.int64)
+    for lo in range(0, len(a), 1 << 16):
+        s = slice(lo, lo + (1 << 16))
+        first[s] = (sig[a[s]] == sig[b[s]]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+    return a[first == band], b[first == band]
+
+
+GROUP = ["key", "kind", "bi", "bj"]
+TOUCHED = "key long, kind int, bi int, bj int, side int, band int, rep long, n long, core long, sig binary"
+
+
 def candidates(threshold: float):
-    """For a bucket: each row that survives with another, and one row it is connected with."""
+    """For a bucket, or two blocks of one: its rows that are of a pair to be verified here."""
 
     def run(table: pa.Table) -> pa.Table | None:
-        sig, rep, side = bytes_matrix(table.column("sig")), table.column("rep").to_numpy(), table.column("side").to_numpy()
-        a, b = surviving(sig, *pairs_of(side), threshold)
-        if not len(a):
-            return None
-        some = np.unique(np.concatenate([a, b]))
-        return pa.table({"a": rep[some], "b": rep[roots(len(rep), a, b)[some]]})
+        sig, side, core = bytes_matrix(table.column("sig")), table.column("side").to_numpy(), table.column("core").to_numpy()
+        a, b = counted_here(sig, core, table.column("band")[0].as_py(), side, threshold)
+        return table.take(pa.array(np.unique(np.concatenate([a, b])))).select([x.split()[0] for x in TOUCHED.split(", ")]) if len(a) else None
 
     return run
 
@@ -246,20 +265,24 @@ def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray
     return out
 
 
-def verified(threshold: float):
-    """For (blocks of) a candidate group: each row's links, weighted by copies, and one row it is connected with."""
-    # As whole numbers, so that a similarity of just the threshold counts.
+def similar(size: np.ndarray, a: np.ndarray, b: np.ndarray, both: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether pairs of sets reach the threshold, in whole numbers, so that a similarity of just that counts."""
     top, bottom = round(threshold * 10_000), 10_000
+    return bottom * both >= top * (size[a] + size[b] - both)
+
+
+def sets_in(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+
+
+def verified(threshold: float):
+    """For (blocks of) a bucket: each row's links, weighted by copies, and one row it is connected with."""
 
     def run(table: pa.Table) -> pa.Table | None:
-        sig, rep, side, n = bytes_matrix(table.column("sig")), *(table.column(c).to_numpy() for c in ("rep", "side", "n"))
-        a, b = surviving(sig, *pairs_of(side), threshold)
-        if not len(a):
-            return None
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
-        size = np.array([len(x) for x in sets])
-        both = overlaps(sets, a, b)
-        ok = bottom * both >= top * (size[a] + size[b] - both)
+        sig, rep, side, n, core = bytes_matrix(table.column("sig")), *(table.column(c).to_numpy() for c in ("rep", "side", "n", "core"))
+        a, b = counted_here(sig, core, table.column("band")[0].as_py(), side, threshold)
+        sets = sets_in(table)
+        ok = similar(np.array([len(x) for x in sets]), a, b, overlaps(sets, a, b), threshold)
         a, b = a[ok], b[ok]
         if not len(a):
             return None
@@ -270,16 +293,30 @@ def verified(threshold: float):
     return run
 
 
+def near_leader(distance: float):
+    """For a leader (side 0) and documents of its bucket: those within that distance of it."""
+
+    def run(table: pa.Table) -> pa.Table | None:
+        sets, side, rep = sets_in(table), table.column("side").to_numpy(), table.column("rep").to_numpy()
+        lead, rest = int(np.flatnonzero(side == 0)[0]), np.flatnonzero(side == 1)
+        both = np.array([len(np.intersect1d(sets[lead], sets[i], assume_unique=True)) for i in rest], np.int64)
+        close = rest[similar(np.array([len(x) for x in sets]), np.full(len(rest), lead), rest, both, 1 - distance)] if len(rest) else rest
+        return pa.table({"rep": rep[close], "core": np.full(len(close), rep[lead])}) if len(close) else None
+
+    return run
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, digest of the set (null without words), sig (8 bits of each value) and keys of bands of each document."""
+    """id, digest of the set (null without words), its size m, sig (8 bits of each value) and keys of bands of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                digests, sigs, keys = [], [], []
+                digests, sigs, keys, sizes = [], [], [], []
                 for t in part.column(1):
                     sh = shingles(t.as_py())
+                    sizes.append(len(sh))
                     if not len(sh):
                         digests.append(None), sigs.append(None), keys.append(None)
                         continue
@@ -287,24 +324,49 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     digests.append(hashlib.blake2b(sh.tobytes(), digest_size=16).digest())
                     sigs.append((s & np.uint32(255)).astype(np.uint8).tobytes())
                     keys.append(bands(s))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "sig", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "digest", "m", "sig", "keys"])
 
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, digest binary, sig binary, keys array<bigint>")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, digest binary, m long, sig binary, keys array<bigint>")
 
 
-def sets_of(docs: DataFrame) -> DataFrame:
-    """rep, comp, n, sig and set of rows rep, comp, n, sig, digest, text whose text has that digest."""
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rep, set of the rows rep, id, digest of wanted, from docs (id, text). An id that several texts have brings them all; the one of that digest is meant."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                raw = [shingles(t.as_py()).tobytes() for t in part.column(5)]
-                own = [i for i, (x, d) in enumerate(zip(raw, part.column(4))) if hashlib.blake2b(x, digest_size=16).digest() == d.as_py()]
-                kept = part.take(pa.array(own, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*kept.columns[:4], pa.array([raw[i] for i in own], pa.binary())], names=["rep", "comp", "n", "sig", "set"])
+                raw = [shingles(t.as_py()).tobytes() for t in part.column(2)]
+                own = [i for i, (x, d) in enumerate(zip(raw, part.column(1))) if hashlib.blake2b(x, digest_size=16).digest() == d.as_py()]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own, pa.int64())), pa.array([raw[i] for i in own], pa.binary())], names=["rep", "set"])
+
+    wanted = materialize(wanted.select("rep", "id", "digest"), "wanted")
+    found = docs.join(small(wanted), "id").select("rep", "digest", "text").mapInArrow(run, "rep long, set binary")
+    sets = materialize(found, "sets")
+    # Copies that share an id bring a set twice.
+    return sets if sets.count() <= wanted.count() else materialize(sets.dropDuplicates(["rep"]), "sets")
 
-    return docs.select("rep", "comp", "n", "sig", "digest", "text").mapInArrow(run, "rep long, comp long, n long, sig binary, set binary")
+
+def cores(met: DataFrame, reps: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame | None, DataFrame | None]:
+    """rep, core of documents that are so near to the leader of a large bucket that any two of one leader's link, and the sets read for that.
+
+    A document tries the leader of its first large bucket alone.
+    """
+    sizes = materialize(met.groupBy("key", "band").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("lead")).where(F.col("c") > BLOCK), "large")
+    if not sizes.count():
+        return None, None
+    own = met.join(small(sizes.select("key", "lead")), "key").groupBy("rep").agg(F.min_by("lead", "band").alias("lead"))
+    own = materialize(own.join(reps.select("rep", "id", "digest", "m"), "rep"), "led")
+    leaders = own.select(F.col("lead").alias("rep")).distinct()
+    sets = sets_of(texts, own)
+    rest = own.where("rep <> lead").select("lead", "rep", "m").join(sets, "rep")
+    first = leaders.join(sets, "rep").select(F.col("rep").alias("lead"), "rep", F.octet_length("set").cast("long").alias("m"), "set")
+    tried = block_meetings(first.select("lead", "rep", "m", "set"), rest.select("lead", "rep", "m", "set"), "lead", "rep", BLOCK, "m", BLOCK_ELEMENTS)
+    near = materialize(map_groups(tried, ["lead", "bi", "bj"], near_leader((1 - threshold) / 2), "rep long, core long"), "core")
+    # A leader that follows another is of that one's core, or of none.
+    followers = near.join(leaders.withColumnRenamed("rep", "core"), "core")
+    alone = leaders.join(near, "rep", "left_anti").select("rep", F.col("rep").alias("core")).join(near.select("core").distinct(), "core").select("rep", "core")
+    return materialize(followers.select("rep", "core").unionByName(alone), "cores"), sets
 
 
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,25 +381,44 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
     first = F.min(F.struct("id", "row"))
     copies = materialize(known.groupBy("digest").agg(first.alias("f"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", F.col("f.row").alias("first"), "copies"), "copies")
     reps = known.join(small(copies), "digest", "left").where("first IS NULL OR first = row")
-    reps = materialize(reps.select(F.col("row").alias("rep"), F.coalesce("copies", F.lit(1)).alias("n"), "id", "digest", "sig", "keys"), "reps")
+    reps = materialize(reps.select(F.col("row").alias("rep"), F.coalesce("copies", F.lit(1)).alias("n"), "id", "digest", "m", "sig", "keys"), "reps")
 
     # Buckets with company; only their rows carry a signature.
-    rows = reps.select("rep", F.explode("keys").alias("key"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    rows = reps.select("rep", F.posexplode("keys").alias("band", "key"))
     shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    met = materialize(rows.join(shared, "key").join(reps.select("rep", "sig"), "rep"), "met")
-    edges = map_groups(block_pairs(met, "key", "rep", BLOCK), ["key", "bi", "bj"], candidates(threshold), "a long, b long")
-    groups = connected_components(edges, "candidates").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-    members = materialize(groups.join(reps.drop("keys"), "rep"), "members")
-
-    # Texts of candidates alone. An id that several texts have brings them all; sets_of keeps the one meant.
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = materialize(sets_of(texts.join(small(members), "id")), "sets")
-    if sets.count() > members.count():
-        sets = materialize(sets.dropDuplicates(["rep"]), "sets")
-    found = materialize(map_groups(block_pairs(sets, "comp", "rep", BLOCK // 2), ["comp", "bi", "bj"], verified(threshold), "rep long, links long, peer long"), "verified")
+    met = materialize(rows.join(shared, "key").join(reps.select("rep", "n", "m", "sig"), "rep"), "met")
+    core, sets = cores(met, reps, texts, threshold)
+    found = []
+    if core is None:
+        groups = block_pairs(met.withColumn("core", F.lit(-1).cast("long")), "key", "rep", BLOCK, "m", BLOCK_ELEMENTS).withColumn("kind", F.lit(0))
+    else:
+        met = materialize(met.join(core, "rep", "left").withColumn("core", F.coalesce("core", F.lit(-1).cast("long"))), "met")
+        # All of a core link with each other.
+        counted = core.join(reps.select("rep", "n"), "rep")
+        sums = counted.groupBy("core").agg(F.sum("n").alias("all"))
+        found.append(counted.join(small(sums), "core").select("rep", (F.col("all") - F.col("n")).alias("links"), F.col("core").alias("peer")))
+        # In each bucket its largest core meets the others, and these each other.
+        main = met.where("core >= 0").groupBy("key", "core").count().groupBy("key").agg(F.max_by("core", "count").alias("main"))
+        parts = met.join(small(materialize(main, "main")), "key", "left").withColumn("mine", F.coalesce(F.col("core") == F.col("main"), F.lit(False))).drop("main")
+        ours, others = parts.where("mine").drop("mine"), parts.where("NOT mine").drop("mine")
+        among = block_pairs(others, "key", "rep", BLOCK, "m", BLOCK_ELEMENTS).withColumn("kind", F.lit(0))
+        across = block_meetings(ours, others, "key", "rep", BLOCK, "m", BLOCK_ELEMENTS).withColumn("kind", F.lit(1))
+        groups = among.unionByName(across.select(*among.columns))
+    touched = materialize(map_groups(groups, GROUP, candidates(threshold), TOUCHED), "touched")
+
+    # Texts of candidates alone.
+    wanted = touched.select("rep").distinct()
+    if sets is not None:
+        more = sets_of(texts, wanted.join(sets.select("rep"), "rep", "left_anti").join(reps.select("rep", "id", "digest"), "rep"))
+        sets = sets.unionByName(more)
+    else:
+        sets = sets_of(texts, wanted.join(reps.select("rep", "id", "digest"), "rep"))
+    found.append(map_groups(touched.join(sets, "rep"), GROUP, verified(threshold), "rep long, links long, peer long"))
+    found = materialize(functools.reduce(DataFrame.unionByName, found), "verified")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("peer").alias("b")), "links").select(F.col("node").alias("rep"), "component")
-    linked = members.select("rep", "id", "n", "digest").join(parts, "rep").join(links, "rep", "left")
+    linked = parts.join(reps.select("rep", "id", "digest"), "rep").join(links, "rep", "left")
     least = linked.groupBy("component").agg(F.min("id").alias("class_id"))
     linked = linked.join(least, "component").select("digest", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
