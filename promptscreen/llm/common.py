@@ -18,17 +18,48 @@ BROADCAST_ROWS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where that is unset (tests), one of our own."""
+    """This application's folder in spark.checkpoint.dir; it goes when the driver ends.
+
+    Where that is unset a local session (tests) gets one of our own; a cluster, whose executors share no local folder, an error.
+    """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(shared_dir, "own", None)
         if base is None:
             base = shared_dir.own = tempfile.mkdtemp(prefix="promptscreen-")
             atexit.register(shutil.rmtree, base, True)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(base)
-    return f"{base}/promptscreen-{sc.applicationId}"
+    path = f"{base}/promptscreen-{sc.applicationId}"
+    if path not in _ours:
+        _ours.add(path)
+        atexit.register(_delete, spark, path)
+    return path
+
+
+_ours: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ours, on whatever store it is; does nothing if the session has ended."""
+    sc = spark.sparkContext
+    if sc._jsc is None:
+        return
+    try:
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # noqa: BLE001 - the driver is ending, or the table has gone already
+        return
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of materialize() that nothing to come reads: what was made of them has been written."""
+    for t in tables:
+        if t is not None and (path := getattr(t, "stored", None)):
+            _delete(t.sparkSession, path)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -56,7 +87,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored = path
+    return out
 
 
 def word_count(text: Column) -> Column:
@@ -109,12 +142,14 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = with_least(both, F.least(F.min("v"), F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: every smaller neighbour, and the node itself, is linked to the smallest.
-        joined = with_least(materialize(large, label), F.min("v"))
+        large = materialize(large, label)
+        joined = with_least(large, F.min("v"))
         star = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).distinct()
         nxt = materialize(star, label)
         # A forest of stars: nobody has two parents, and no parent has a parent.
         chained = nxt.join(nxt.select(F.col("u").alias("p")), F.col("v") == F.col("p"), "left_semi").limit(1).count()
         twice = 0 if chained else nxt.groupBy("u").count().where("count > 1").limit(1).count()
+        discard(e, large)
         e = nxt
         if not chained and not twice:
             break

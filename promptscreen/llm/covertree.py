@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_groups, materialize
+from .common import bounded_sample, discard, map_groups, materialize
 from .vectors import rows_of
 
 #: Rows of a block, and queries that meet it in one group, about.
@@ -352,6 +352,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id", "uid")
     found = materialize(found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1).drop("r"), "best")
+    discard(data)
     own = rows.where("query").select("h", "vec", F.col("uid").alias("me"), F.col("vid").alias("query_id"))
     mine = own.join(asks.select("h", "vec", "qid"), ["h", "vec"]).select("me", "query_id", "qid").join(found, "qid").where("uid <> me")
     place = Window.partitionBy("me").orderBy(F.desc("score"), "vec_id", "uid")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_meetings, block_pairs, connected_components, map_groups, materialize, small, small_batches
+from .common import block_meetings, block_pairs, connected_components, discard, map_groups, materialize, small, small_batches
 
 WORDS = 5
 BANDS, ROWS = 32, 5
@@ -416,6 +416,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
         sets = sets_of(texts, wanted.join(reps.select("rep", "id", "digest"), "rep"))
     found.append(map_groups(touched.join(sets, "rep"), GROUP, verified(threshold), "rep long, links long, peer long"))
     found = materialize(functools.reduce(DataFrame.unionByName, found), "verified")
+    discard(met, touched, sets)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("peer").alias("b")), "links").select(F.col("node").alias("rep"), "component")
     linked = parts.join(reps.select("rep", "id", "digest"), "rep").join(links, "rep", "left")
@@ -427,7 +428,9 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
     per_class = alone.join(linked, "digest", "full").select(
         "digest", F.coalesce("class_id", "id").alias("class_id"), (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
-    per_class = small(materialize(per_class, "jaccard-classes"))
+    per_class = materialize(per_class, "jaccard-classes")
+    discard(reps, copies, found)
+    per_class = small(per_class)
     ids = sketch.select("id", F.when(F.col("id").isNotNull(), F.col("digest")).alias("digest"))
     out = ids.join(per_class, "digest", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return out.select(F.col("id").alias(id_col), "class_id", "n_links", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))

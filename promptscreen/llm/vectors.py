@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_meetings, block_pairs, bounded_sample, connected_components, map_groups, materialize
+from .common import block_meetings, block_pairs, bounded_sample, connected_components, discard, map_groups, materialize
 
 #: k-means is fit on so many vectors at most.
 SAMPLE = 32_768
@@ -178,7 +178,9 @@ def found_links(vectors: DataFrame, threshold: float, exact: bool) -> list[DataF
     across = block_meetings(core, others, "cell", "cid", BLOCK).withColumn("kind", F.lit(1))
     groups = among.unionByName(across.select(*among.columns))
     out.append(map_groups(groups, ["cell", "kind", "bi", "bj"], link_rows(threshold, len(centroids)), LINKS))
-    return [materialize(t, "links") for t in out]
+    done = [materialize(t, "links") for t in out]
+    discard(sent)
+    return done
 
 
 def near_duplicate_vectors(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", exact: bool = False) -> DataFrame:
