@@ -154,9 +154,10 @@ def test_warc_round_trip(spark):
     out = {(r.page_id, r.url): r for r in warc.archive_pages(pages, new_path(spark, "t")).collect()}
     assert len(out) == len(rows)
     assert out[1, "http://a/"].record_type == "response" == out[1, "again"].record_type
-    assert (out[2, ""].record_type, out[2, ""].refers_to) == ("revisit", 1) == (out[None, "n"].record_type, out[None, "n"].refers_to)
+    assert (out[2, None].record_type, out[2, None].refers_to) == ("revisit", 1) == (out[None, "n"].record_type, out[None, "n"].refers_to)
     assert out[5, "u"].record_type == out[6, "u"].record_type == "response"
-    assert bytes(out[1, "again"].payload) == page.encode() and out[2, ""].payload_bytes == len(page.encode())
+    assert bytes(out[1, "again"].payload) == page.encode() and out[2, None].payload_bytes == len(page.encode())
+    assert out[3, "http://b/\r\nX: y"].record_type == "response"
     assert out[4, "u"].payload_bytes == 0 and len(out[9, "u"].payload) == 300_000
     assert warc.archive_pages(pages.limit(0), new_path(spark, "t")).count() == 0
 
@@ -173,6 +174,61 @@ def test_archive_is_plain_zstandard(spark, tmp_path):
     assert plain.count(b"WARC/1.1\r\n") == 300
 
 
+def records_of(folder):
+    """Fields and bodies of all records, read by the standard's grammar alone."""
+    import zstandard
+
+    for f in folder.glob("part-*"):
+        data = f.read_bytes()
+        size = int.from_bytes(data[4:8], "little")
+        known = zstandard.ZstdCompressionDict(data[8 : 8 + size]) if size else None
+        at = zstandard.ZstdDecompressor(dict_data=known).stream_reader(data, read_across_frames=True).read()
+        while at:
+            head, _, rest = at.partition(b"\r\n\r\n")
+            version, *lines = head.decode().split("\r\n")
+            fields = dict(x.split(": ", 1) for x in lines)
+            length = int(fields["Content-Length"])
+            assert version == "WARC/1.1" and rest[length : length + 4] == b"\r\n\r\n"
+            yield f, fields, rest[:length]
+            at = rest[length + 4 :]
+
+
+def test_warc_fields(spark, tmp_path):
+    """What the standard asks of every record, of a response and of a revisit; ids are unique though page ids repeat."""
+    import re
+
+    page = "<p>" + "x" * 200
+    rows = [(1, "http://a/p q?x=%20#f", page), (1, "http://a/", page), (1, "http://a/", page), (2, "http://b/é", page), (3, None, "c"), (None, "", "d")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    warc.write_archives(warc.classify(pages), str(tmp_path / "w"))
+    seen = [(fields, body) for _, fields, body in records_of(tmp_path / "w")]
+    assert len(seen) == len(rows) and len({f["WARC-Record-ID"] for f, _ in seen}) == len(rows)
+    for f, body in seen:
+        assert re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", f["WARC-Record-ID"]) and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", f["WARC-Date"])
+        assert f["WARC-Type"] in ("response", "revisit") and not re.search(r"\s", f["WARC-Target-URI"]) and f["Content-Type"].startswith("application/http")
+        assert body.startswith(b"HTTP/1.1 200 OK\r\n") and re.fullmatch("sha256:[0-9a-f]{64}", f["WARC-Payload-Digest"])
+        assert (f["WARC-Type"] == "revisit") == ("WARC-Profile" in f)
+    (again,) = [f for f, _ in seen if f["WARC-Type"] == "revisit"]
+    assert again["X-Page-ID"] == "2" and again["X-Refers-To-Page"] == "1" and again["WARC-Refers-To-Target-URI"].startswith("http://a/")
+    back = {(r.page_id, r.url) for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
+    assert back == {(i, u) for i, u, _ in rows}
+
+
+def test_archives_are_bounded(spark, tmp_path, monkeypatch):
+    """Archives have few runs of few bytes, a record longer than that has a run of its own, and all comes back; ids may be text."""
+    monkeypatch.setattr(warc, "RUN_BYTES", 2000)
+    monkeypatch.setattr(warc, "ARCHIVE_RUNS", 3)
+    rng = random.Random(5)
+    text = lambda n: "".join(chr(rng.randrange(33, 0x2000)) for _ in range(n))
+    rows = [(f"p/{i} {'é' if i % 2 else ''}", f"http://h/{i}", text(20_000 if i == 17 else 300)) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string").coalesce(1)
+    warc.write_archives(warc.classify(pages), str(tmp_path / "w"))
+    sizes = {f: f.stat().st_size - 8 - int.from_bytes(f.read_bytes()[4:8], "little") for f, _, _ in records_of(tmp_path / "w")}
+    assert len(sizes) > 5 and sum(s > 3 * 2000 + 100 for s in sizes.values()) <= 1
+    back = {(r.page_id, bytes(r.payload).decode()) for r in warc.read_archives(spark, str(tmp_path / "w"), "string").collect()}
+    assert back == {(i, t) for i, _, t in rows}
+
+
 # Components, vectors
 
 
