@@ -113,16 +113,18 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-#: A node of so many edges is a hub. There are fewer hubs than edges over this, so theirs is a small table.
-HUB = 2000
+#: A node of HUB edges and of one in HUBS of all edges is a hub: so there are no more than HUBS hubs, and their table may be broadcast,
+#: and what any other node brings to one task is no more than that share.
+HUB, HUBS = 1000, 100_000
 
 
 def with_least(e: DataFrame, least: Column) -> DataFrame:
     """Rows u, v of e with m, the least of each u's rows. A hub's rows stay where they are and get theirs by broadcast; no task gathers them."""
+    most = max(HUB, e.count() // HUBS)
     low = e.groupBy("u").agg(least.alias("m"), F.count(F.lit(1)).alias("__c"))
-    hubs = materialize(low.where(F.col("__c") > HUB).select("u", F.col("m").alias("__m")), "hubs")
+    hubs = materialize(low.where(F.col("__c") > most).select("u", F.col("m").alias("__m")), "hubs")
     met = e.join(F.broadcast(hubs), "u", "left")
-    few = met.where("__m IS NULL").drop("__m").join(low.where(F.col("__c") <= HUB).select("u", "m"), "u")
+    few = met.where("__m IS NULL").drop("__m").join(low.where(F.col("__c") <= most).select("u", "m"), "u")
     return few.select("u", "v", "m").union(met.where("__m IS NOT NULL").select("u", "v", F.col("__m").alias("m")))
 
 

@@ -4,7 +4,8 @@ Bounded-space online best-fit: at most OPEN_BINS bins are open; a bitset has a
 bit for each free space that some open bin has, so the bin that fits best is
 found by a shift and the lowest set bit; when one bin too many would be open,
 the fullest closes first. Each task packs what it has read, so nothing is
-shuffled. Pieces are placed in windows, longest first in each, and bins stay open
+shuffled. Pieces come to the bins by windows of WINDOW_TOKENS tokens, the longest of a window first: that much
+is known before a piece is placed, so it is online by windows, not by pieces. Bins stay open
 from window to window.
 
 Ids are those of the tokenizer file. Where that file is a plain byte-level BPE
@@ -111,9 +112,10 @@ def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
         for text in texts:
             try:
                 out.append(ranked.encode_ordinary(text))
-            except (KeyboardInterrupt, SystemExit):
-                raise
-            except BaseException:  # its regex engine gives up on some very long runs
+            except BaseException as e:
+                # Its regex engine gives up on some very long runs, by a panic, which is no Exception; anything else is an error.
+                if type(e).__name__ != "PanicException":
+                    raise
                 out += slow([text])
         return out
 
