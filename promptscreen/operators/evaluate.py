@@ -32,14 +32,12 @@ def evaluate(df: DataFrame, expected: str = "expected_verdict", actual: str = "a
 
 
 def report(row) -> str:
-    """The evaluation as text."""
-    out = ["BATCH TEST METRICS REPORT", "=" * 80, f"Test Cases: {row['n']} prompts", ""]
+    """The evaluation as text: a line for each number, quality first where there are expectations."""
+    share = lambda x: f"{100 * x:.1f} %"
+    out = [f"evaluated prompts    {row['n']}"]
     if row["has_expected"]:
-        out += ["PERFORMANCE METRICS", "-" * 80]
-        out += [f"{name + ':':<14}{100 * row[name.split()[0].lower()]:.1f}%" for name in ("Accuracy", "Precision", "Recall", "F1 Score")]
-        out += ["", "CONFUSION MATRIX", "-" * 80, f"{'':16}Predicted", f"{'':14}SAFE  ATTACK", f"Actual  SAFE   {row['tn']:3d}    {row['fp']:3d}", f"        ATTACK {row['fn']:3d}    {row['tp']:3d}", ""]
-    out += ["LLM USAGE", "-" * 80]
-    out += [f"{name:<17}{row[k]}  ({100 * row[k + '_share']:.1f}%)" for name, k in (("LLM Used:", "llm_used"), ("LLM Skipped:", "llm_skipped"))]
-    out += ["", "LATENCY ANALYSIS", "-" * 80, f"Overall Average:  {row['avg_latency_ms']:.0f}ms"]
-    out += [f"Without LLM:      {row['avg_latency_without_llm']:.0f}ms (n={row['llm_skipped']})", f"With LLM:         {row['avg_latency_with_llm']:.0f}ms (n={row['llm_used']})"]
+        out += [f"{name:<21}{share(row[name])}" for name in ("accuracy", "precision", "recall", "f1")]
+        out += [f"{name:<21}{row[k]}" for name, k in (("attacks found", "tp"), ("attacks missed", "fn"), ("harmless let pass", "tn"), ("harmless stopped", "fp"))]
+    out += [f"{name:<21}{row[k]} ({share(row[k + '_share'])})" for name, k in (("judged", "llm_used"), ("not judged", "llm_skipped"))]
+    out += [f"{name:<21}{row[k]:.0f}" for name, k in (("mean ms", "avg_latency_ms"), ("mean ms, judged", "avg_latency_with_llm"), ("mean ms, not judged", "avg_latency_without_llm"))]
     return "\n".join(out)

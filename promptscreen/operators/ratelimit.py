@@ -6,10 +6,13 @@ from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import written
+
 
 def decide(times: list[int], limit: int, window: int, held: deque) -> list[tuple[bool, int]]:
     """(admitted, requests then in the window) of sorted times; held carries the admitted times of the window."""
@@ -23,34 +26,70 @@ def decide(times: list[int], limit: int, window: int, held: deque) -> list[tuple
     return out
 
 
+def _runs(rows: DataFrame, key_col: str, order_col: str, window: int) -> DataFrame:
+    """rows (with __t) and the run that each is of, as owner partition and number there.
+
+    A run is a stretch of a key's requests without a pause longer than the window. Rows are dealt by ranges of
+    (key, time), so that a key of any size is spread; each task numbers the runs that it sees, and where
+    a run goes on from one range to the next is told from the ends of ranges, two rows for each.
+    """
+    own = [key_col, "__t", order_col]
+    spread = rows.repartitionByRange(*own).sortWithinPartitions(*own)
+    schema = T.StructType(rows.schema.fields).add("__part", T.IntegerType()).add("__run", T.LongType())
+    names = [f.name for f in schema]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, run, last = TaskContext.get().partitionId(), -1, None
+        for b in batches:
+            runs = []
+            for key, t in zip(b.column(names.index(key_col)).to_pylist(), b.column(names.index("__t")).to_pylist()):
+                if last is None or key != last[0] or t is None or last[1] is None or t - last[1] > window:
+                    run += 1
+                last = (key, t)
+                runs.append(run)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * len(runs), pa.int32()), pa.array(runs, pa.int64())], names=names)
+
+    numbered = written(spread.mapInArrow(number, schema), "requests")
+    at = F.struct("__run", "__t", F.col(order_col).alias("o"), F.col(key_col).alias("k"))
+    ends = numbered.groupBy("__part").agg(F.min(at).alias("a"), F.max(at).alias("z")).orderBy("__part").collect()  # two rows for each range
+    goes_on, before, owner = [], None, None
+    for e in ends:
+        if before is not None and e.a.k == before.k and e.a["__t"] is not None and before["__t"] is not None and e.a["__t"] - before["__t"] <= window:
+            goes_on.append((e["__part"], 0, *owner))
+            owner = owner if e.z["__run"] == 0 else (e["__part"], e.z["__run"])
+        else:
+            owner = (e["__part"], e.z["__run"])
+        before = e.z
+    joined = numbered.sparkSession.createDataFrame(goes_on, "__part int, __run long, __owner int, __first long")
+    out = numbered.join(F.broadcast(joined), ["__part", "__run"], "left")
+    return out.withColumns({"__part": F.coalesce("__owner", "__part"), "__run": F.coalesce("__first", "__run")}).drop("__owner", "__first")
+
+
 def admit(df: DataFrame, key_col: str, ts_col: str, order_col: str, limit: int, seconds: float) -> DataFrame:
     """Adds admitted and used.
 
     After a pause longer than the window a key begins anew, so its requests are cut at
-    pauses into runs, and tasks get runs, not keys. They are read as a sorted stream: a
-    task holds the admitted times of one window.
+    pauses into runs, and tasks get runs, not keys: no step gathers a key. A run is read as a sorted stream, as its requests depend on
+    each other one by one; a task holds the admitted times of one window. A request without a time is of no run: it is admitted, and counts for nobody.
     """
     window = int(seconds * 1_000_000)
-    own = Window.partitionBy(key_col).orderBy(ts_col, order_col)
-    micros = F.unix_micros(F.col(ts_col).cast("timestamp"))
-    rows = df.withColumn("__t", micros).withColumn("__new", F.coalesce(F.col("__t") - F.lag("__t").over(own) > window, F.lit(False)).cast("int"))
-    rows = rows.withColumn("__run", F.sum("__new").over(own.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
-    schema = rows.drop("__t", "__run").schema.add("admitted", T.BooleanType()).add("used", T.IntegerType())
+    rows = _runs(df.withColumn("__t", F.unix_micros(F.col(ts_col).cast("timestamp"))), key_col, order_col, window)
+    columns = [*df.columns, "__t", "__part", "__run"]
+    schema = T.StructType(df.schema.fields).add("admitted", T.BooleanType()).add("used", T.IntegerType())
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: deque = deque()
-        last = object()
+        last = None
         for b in batches:
-            keys = list(zip(b.column(names.index(key_col)).to_pylist(), b.column(len(b.schema) - 1).to_pylist()))
-            times, got = b.column(len(b.schema) - 2).to_pylist(), []
-            for key, t in zip(keys, times):
+            got = []
+            for t, *key in zip(*(b.column(b.num_columns - i).to_pylist() for i in (3, 2, 1))):
                 if key != last:
                     held, last = deque(), key
-                got += decide([t], limit, window, held)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array([a for a, _ in got], pa.bool_()), pa.array([u for _, u in got], pa.int32())], names=names)
+                got += decide([t], limit, window, held) if t is not None else [(True, 0)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array([a for a, _ in got], pa.bool_()), pa.array([u for _, u in got], pa.int32())], names=names)
 
-    dealt = rows.repartition(key_col, "__run").sortWithinPartitions(key_col, "__run", "__t", order_col)
+    dealt = rows.select(*columns).repartition("__part", "__run").sortWithinPartitions("__part", "__run", "__t", order_col)
     return dealt.mapInArrow(run, schema)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from ..functions import patterns as P
 from ..operators.behavior import SIGNALS
+from ..operators.fusion import TRIAGE
 from ..operators.normalize import TECHNIQUES
 from .corpus import PROMPTS, SECRETS, corpus_sql
 from .queries import LABELS, NAMES, REPLIES
@@ -178,8 +179,8 @@ def pick(values: list, by: str) -> str:
 
 RISKS = f"(SELECT event_id, {pick([0, 15], 'event_id')} AS o, {pick([0, 65, 70, 72, 78], 'event_id // 2')} AS b, {pick([0, 55, 60, 90, 95], 'event_id // 10')} AS s, {pick(['0.5', '0.6', '0.75', '0.85'], 'event_id // 50')}::DOUBLE AS sc, {pick([0, 60, 80], 'event_id // 200')} AS t, {pick(['0.3', '0.55', '0.9'], 'event_id // 600')}::DOUBLE AS tc FROM events)"
 LABELLED = f"(SELECT event_id, {pick(NAMES, 'event_id')} AS expected_verdict, {pick(NAMES, 'event_id // 14')} AS actual_verdict, event_id % 3 = 0 AS llm_used, round(value, 2) AS latency_ms FROM events)"
-REASONS = """CASE WHEN risk >= 85 AND confidence = 'HIGH' THEN 'Confident block (risk >= 85, confidence HIGH) - LLM not needed' WHEN risk >= 85 THEN 'High risk but low confidence - LLM verification needed'
- WHEN risk <= 20 THEN 'Low risk - LLM final verification (safe-looking can hide attacks)' ELSE 'Uncertain case (20 < risk < 85) - LLM consulted' END"""
+REASONS = f"""CASE WHEN risk >= 85 AND confidence = 'HIGH' THEN {q(TRIAGE['block'])} WHEN risk >= 85 THEN {q(TRIAGE['confirm'])}
+ WHEN risk <= 20 THEN {q(TRIAGE['last look'])} ELSE {q(TRIAGE['decide'])} END"""
 KEYS = "conv_id, turn, CAST(k AS INTEGER) AS k"
 UNIT = """WITH m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i) GROUP BY label, i),
 c AS (SELECT label, list(m ORDER BY i) AS v, sqrt(sum(m * m)) AS n FROM m GROUP BY label)"""
