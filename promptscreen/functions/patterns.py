@@ -151,3 +151,5 @@ PROVIDERS = {
 JUDGE_SCORE = r'risk_score["\s:]+(\d+)'
 JUDGE_DEFAULTS = (50, "MEDIUM_RISK", "LLM analysis")
 RATE_LIMIT, RATE_SECONDS = 15, 60
+#: Tokens that the injection classifier reads of a text.
+CLASSIFIER_TOKENS = 512

@@ -43,3 +43,24 @@ def classify(df: DataFrame, text_col: str, classifier: Callable[[list[str]], lis
         "is_injection": F.when(F.col("__c.ok"), F.col("__c.hit")).otherwise(low > 0.5),
         "injection_confidence": F.when(F.col("__c.ok"), F.col("__c.confidence")).otherwise(low),
     }).drop("__c")
+
+
+def transformer_classifier(path: str, max_tokens: int = P.CLASSIFIER_TOKENS) -> Callable[[list[str]], list[tuple[str, float]]] | None:
+    """A classifier of a model in a folder, loaded once in each worker; None where its library is not installed.
+
+    A text is read up to max_tokens tokens: the model takes no more.
+    """
+    try:
+        import transformers  # noqa: F401
+    except ImportError:
+        return None
+    held: dict = {}
+
+    def classifier(texts: list[str]) -> list[tuple[str, float]]:
+        if not held:
+            from transformers import pipeline
+
+            held["model"] = pipeline("text-classification", model=path)
+        return [(x["label"], x["score"]) for x in held["model"](texts, truncation=True, max_length=max_tokens)]
+
+    return classifier

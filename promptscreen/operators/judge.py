@@ -8,7 +8,7 @@ import time
 import urllib.request
 import warnings
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -108,16 +108,17 @@ class Judge:
             return None
 
 
-def judge_from_env(provider: str | None = None, model: str | None = None, key: str | None = None, rate_limit: int = P.RATE_LIMIT) -> Judge | None:
-    """A judge by arguments, or by the environment: LLM_PROVIDER, LLM_MODEL, and the first provider whose key is set. None without a key."""
-    provider = provider or os.environ.get("LLM_PROVIDER") or next((p for p, (_, _, env) in P.PROVIDERS.items() if os.environ.get(env)), None)
+def judge_from_env(provider: str | None = None, model: str | None = None, key: str | None = None, rate_limit: int = P.RATE_LIMIT, env: Mapping[str, str] | None = None) -> Judge | None:
+    """A judge by arguments, or by the environment (env, if given): LLM_PROVIDER, LLM_MODEL, and the first provider whose key is set. None without a key."""
+    env = os.environ if env is None else env
+    provider = provider or env.get("LLM_PROVIDER") or next((p for p, (_, _, name) in P.PROVIDERS.items() if env.get(name)), None)
     if provider is None:
         return None
     if provider not in P.PROVIDERS:
         warnings.warn(f"unknown judge provider {provider!r}: taking google", stacklevel=2)
         provider = "google"
-    key = key or os.environ.get(P.PROVIDERS[provider][2], "")
-    return Judge(provider, key, model or os.environ.get("LLM_MODEL", ""), rate_limit) if key else None
+    key = key or env.get(P.PROVIDERS[provider][2], "")
+    return Judge(provider, key, model or env.get("LLM_MODEL", ""), rate_limit) if key else None
 
 
 class Budget:
@@ -135,14 +136,17 @@ def call_judge(df: DataFrame, text_col: str, judge: Callable[[str], str | None],
     """Adds the judge's reply to each text, null where it failed or the text is null, and limited: whether the rate limit kept it from being asked.
 
     limit: calls a minute, the judge's own (rate_limit) if not given; none if it has none. It holds for the whole job: each task has its share
-    of it, so a stage with more tasks than the limit asks in some of them only. Calls have effects: write the result before it is used twice.
+    of it by the plan's number of tasks (one that adaptive execution adds has none), so a stage with more tasks than the limit asks in some of them only.
+    Calls have effects: write the result before it is used twice.
     """
+    # Planned, not run: df.rdd would run the stages before.
+    tasks = max(1, df._jdf.queryExecution().executedPlan().outputPartitioning().numPartitions())
     limit = getattr(judge, "rate_limit", None) if limit is None else limit
 
     @F.pandas_udf("struct<reply: string, limited: boolean>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        here = TaskContext.get()
-        budget = None if limit is None else Budget(limit, here.partitionId(), here.numPartitions())
+        here = TaskContext.get().partitionId()
+        budget = None if limit is None else Budget(limit if here < tasks else 0, here, tasks)
         for prompts in batches:
             rows = []
             for p in prompts:

@@ -87,3 +87,21 @@ def top_two(scores: dict[str, Column]) -> Column:
     """The two best intents of a dimension, by falling score, as name=0.000."""
     ranked = F.array_sort(F.array(*[F.struct((-c).alias("s"), F.lit(n).alias("n")) for n, c in scores.items()]))
     return F.array_join(F.transform(F.slice(ranked, 1, 2), lambda e: F.concat(e["n"], F.lit("="), F.format_string("%.3f", -e["s"]))), ", ")
+
+
+def sentence_embedder(path: str) -> Callable[[list[str]], list] | None:
+    """An embedder of a sentence model in a folder, scaled to length 1 and loaded once in each worker; None where its library is not installed."""
+    try:
+        import sentence_transformers  # noqa: F401
+    except ImportError:
+        return None
+    held: dict = {}
+
+    def embedder(texts: list[str]) -> list:
+        if not held:
+            from sentence_transformers import SentenceTransformer
+
+            held["model"] = SentenceTransformer(path)
+        return held["model"].encode(texts, normalize_embeddings=True).tolist()
+
+    return embedder

@@ -10,6 +10,7 @@ from ..functions import patterns as P
 from ..operators.behavior import SIGNALS
 from ..operators.fusion import TRIAGE
 from ..operators.normalize import TECHNIQUES
+from .analyze import EARLY, NO_JUDGE
 from .corpus import PROMPTS, SECRETS, corpus_sql
 from .queries import LABELS, NAMES, REPLIES
 
@@ -203,6 +204,44 @@ SELECT {KEYS}, CAST(coalesce(w, lo) AS INTEGER) AS risk_score, CASE WHEN w IS NO
  CAST(CASE WHEN w IS NOT NULL THEN coalesce(json_array_length(j, '$.detected_threats'), 0) ELSE 0 END AS INTEGER) AS threats FROM s"""
 
 
+def explained_sql(rows: str) -> str:
+    """The reported layers of analyzed rows."""
+    drop = "lambda x: x IS NOT NULL"
+    named = ", ".join("CASE " + " ".join(f"WHEN {hit('normalized', b)} THEN {q(f'{category}: {name} by {i}')}" for i, b in bodies) + " END" for category, name, bodies in P.BEHAVIOURS)
+    flags = " || ' ' || ".join(f"'{s}=' || CASE WHEN has_{s} THEN 'True' ELSE 'False' END" for s in ("retrieval", "target", *SIGNALS))
+    layers = [
+        "'obfuscation|' || o || '|' || CASE WHEN len(techniques) > 0 THEN array_to_string(techniques, ', ') ELSE 'none' END || '|' || array_to_string(['read as: ' || substr(normalized, 1, 80)] || list_transform(techniques, lambda x: 'undone: ' || x), ';')",
+        f"'behaviour|' || b || '|' || len(named) || ' found|' || array_to_string(named || ['signals: ' || {flags}, 'decided by: ' || behavior_branch || ', risk ' || b], ';')",
+    ]
+    more = ["'semantic|' || s || '|0 rules hold|'", "'injection|0|' || CASE WHEN tc > 0.5 THEN 'likely' ELSE 'unlikely' END || '|' || printf('certainty %.3f', tc)"]
+    return f"""(SELECT *, CASE WHEN early THEN array_to_string([{', '.join(layers)}], chr(10)) ELSE array_to_string([{', '.join(layers + more)}], chr(10)) END AS report
+ FROM (SELECT *, list_filter([{named}], {drop}) AS named FROM {rows}))"""
+
+
+def fusion_reason_sql() -> str:
+    pairs = [("o", "0.8::DOUBLE"), ("b", "0.85::DOUBLE"), ("s", "sc"), ("t", "tc")]
+    each = ", ".join(f"CASE WHEN {r} > 0 THEN printf('risk=%d@conf=%.2f', CAST({r} AS INTEGER), CAST({c} AS DOUBLE)) END" for r, c in pairs)
+    return f"CASE WHEN top = 0 THEN 'all layers silent' ELSE '[' || array_to_string(list_filter([{each}], lambda x: x IS NOT NULL), ', ') || '] -> ' || risk || ', ' || confidence END"
+
+
+def report_sql() -> str:
+    share = lambda c: f"printf('%.1f %%', 100 * {c})"
+    pad = lambda name: q(f"{name:<21}")
+    lines = ["'evaluated prompts    ' || n"] + [f"{pad(c)} || {share(c)}" for c in ("accuracy", "precision", "recall", "f1")]
+    lines += [f"{pad(name)} || {c}" for name, c in (("attacks found", "tp"), ("attacks missed", "fn"), ("harmless let pass", "tn"), ("harmless stopped", "fp"))]
+    lines += [f"{pad(name)} || {c} || ' (' || {share(c + '_share')} || ')'" for name, c in (("judged", "llm_used"), ("not judged", "llm_skipped"))]
+    lines += [f"{pad(name)} || printf('%.0f', {c})" for name, c in (("mean ms", "avg_latency_ms"), ("mean ms, judged", "avg_latency_with_llm"), ("mean ms, not judged", "avg_latency_without_llm"))]
+    return f"SELECT CAST(i - 1 AS INTEGER) AS i, lines[i] AS line FROM (SELECT [{', '.join(lines)}] AS lines FROM {evaluated_sql(LABELLED)}), unnest(range(1, {len(lines) + 1})) AS u(i)"
+
+
+#: What each environment of the query gives, written out.
+JUDGES = """SELECT * FROM (VALUES (CAST(0 AS INTEGER), NULL, NULL, '', NULL),
+ (1, 'openai', 'https://api.openai.com/v1/chat/completions', 'Authorization', '{"messages": [{"content": "hi", "role": "user"}], "model": "gpt-4o-mini", "temperature": 0.2}'),
+ (2, 'google', 'https://generativelanguage.googleapis.com/v1beta/models/gemini-2.5-flash:generateContent', 'x-goog-api-key', '{"contents": [{"parts": [{"text": "hi"}]}]}'),
+ (3, NULL, NULL, '', NULL),
+ (4, 'anthropic', 'https://api.anthropic.com/v1/messages', 'anthropic-version,x-api-key', '{"max_tokens": 1024, "messages": [{"content": "hi", "role": "user"}], "model": "m"}')) AS v(i, provider, url, headers, payload)"""
+
+
 def build() -> dict[str, str]:
     prompts, secrets = corpus_sql(PROMPTS), corpus_sql(SECRETS)
     docs, analyzed = gated_sql("documents", "*"), analyzed_sql(prompts)
@@ -266,6 +305,29 @@ def build() -> dict[str, str]:
         "results_rows": f"SELECT text AS prompt, {pick(NAMES, 'k')} AS expected_verdict, verdict AS actual_verdict, risk_score, sure_of AS confidence, FALSE AS llm_used, CASE WHEN {pick(NAMES, 'k')} <> '' THEN {normal(pick(NAMES, 'k'))} = verdict OR ({normal(pick(NAMES, 'k'))} = 'BLOCKED' AND verdict = 'HIGH_RISK') END AS correct FROM {analyzed}",
         "csv_roundtrip": f"SELECT text AS prompt, 'SAFE' AS expected_verdict FROM {prompts}",
     }
+    found = f"list_transform(k, lambda x: {kinds}[x.o + 1] || ':' || x.s || ':' || x.e || ':' || sha256(substr(text, x.s + 1, x.e - x.s)) || ':HIGH')"
+    audited = f"SELECT sha256(text) AS payload_sha256, {action_sql()}, sha256(redacted) AS redacted_sha256, array_to_string({found}, ',') AS findings, 'SAFE' AS intent_verdict, CAST(0 AS INTEGER) AS risk_score, FALSE AS llm_used FROM {docs}"
+    one = "(VALUES " + ", ".join(f"({q(p)})" for p in SECRETS[:2] + PROMPTS[:2]) + ") AS v(text)"
+    best = lambda own: "(SELECT array_to_string(list_transform(list_sort([" + ", ".join(f"{{'s': -{c}, 'n': {q(n)}}}" for n, c in own.items()) + "])[1:2], lambda e: e.n || '=' || printf('%.3f', -e.s)), ', '))"
+    dims, at = {}, 0
+    for d, own in P.INTENTS.items():
+        dims[d] = {i: f"s{at + n}" for n, i in enumerate(own)}
+        at += len(own)
+    out |= {
+        "analyze_explained": f"SELECT CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS prompt, CAST(risk_score AS INTEGER) AS risk_score, report, CASE WHEN early THEN 'skipped' ELSE {fusion_reason_sql()} END AS fusion, CASE WHEN early THEN {q(EARLY)} WHEN {ask} THEN {REASONS} || {q(NO_JUDGE)} ELSE {REASONS} END AS triage, FALSE AS llm_used FROM {explained_sql(analyzed)}",
+        "results_sink": f"SELECT sha256(text) AS prompt_sha256, 'SAFE' AS expected_verdict, verdict AS actual_verdict, CAST(risk_score AS VARCHAR) AS risk_score, sure_of AS confidence, 'NO' AS llm_used, '12' AS latency_ms, CASE WHEN verdict = 'SAFE' THEN 'true' ELSE 'false' END AS correct FROM {analyzed_sql('documents')}",
+        "audit_sink": audited,
+        "stream_audit": audited,
+        "findings_json": f"SELECT doc_id, CAST(to_json(list_transform(k, lambda x: {{'dtype': {kinds}[x.o + 1], 'start': x.s, 'end': x.e, 'snippet': substr(text, x.s + 1, x.e - x.s), 'confidence': 'HIGH'}})) AS VARCHAR) AS findings FROM {docs}",
+        "metrics_report": report_sql(),
+        "single_prompts": f"SELECT text AS prompt, CAST(risk_score AS INTEGER) AS risk_score, verdict FROM {analyzed_sql(f'(SELECT * FROM {one})')}",
+        "judge_environments": JUDGES,
+        "sem_embed": "SELECT doc_id, " + ", ".join(f"CAST(length(text) - length(replace(text, '{c}', '')) AS BIGINT) AS e{i}" for i, c in enumerate("aeo")) + " FROM documents",
+        "sem_top_two": f"{SCORED.replace(', 6), 0)', ', 9), 0)')} SELECT vec_id, " + ", ".join(f"{best(own)} AS {d}" for d, own in dims.items() if len(own) > 1) + " FROM s",
+        "fusion_reasons": f"SELECT event_id, {fusion_reason_sql()} AS reason FROM {fused_sql(RISKS)}",
+        "stream_screen": f"SELECT doc_id, verdict, {action_sql(block=blocking)} FROM {gated_sql('(SELECT doc_id, text, verdict FROM ' + analyzed_sql('documents') + ')')}",
+        "stream_limit": out["rate_limit"],
+    }
     return out
 
 

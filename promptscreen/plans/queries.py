@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,9 @@ from ..operators import evaluate as E
 from ..operators import fusion, injection, judge, normalize, ratelimit, semantic
 from ..operators.behavior import SIGNALS, behave
 from ..operators.gate import audit_rows, gate
+from ..sources import tables
+from ..sources.shared import shared_folder
+from ..streaming.screening import admit_stream, audit_stream, screen_stream
 from .analyze import analyze, screen
 from .corpus import PROMPTS, SECRETS, corpus, spread
 
@@ -147,12 +153,12 @@ def sem_centroid(spark, sf_dir: str) -> DataFrame:
     return c.select("label", "i", F.round("x", 6).alias("x"))
 
 
-def _scored(spark, sf_dir: str) -> tuple[DataFrame, dict]:
+def _scored(spark, sf_dir: str, places: int = 6) -> tuple[DataFrame, dict]:
     """Similarity of each vector to the centroids of labels 0 to 4, which stand for the five intents."""
     c = semantic.centroids(_vectors(spark, sf_dir).where("label BETWEEN 0 AND 4"), "label", "embedding")
     wide = c.groupBy().pivot("label", [0, 1, 2, 3, 4]).agg(F.first("centroid"))  # one row: five vectors
     rows = _vectors(spark, sf_dir).join(F.broadcast(wide))
-    rows = rows.select("vec_id", *[F.coalesce(F.round(semantic.cosine(F.col("embedding"), F.col(str(k))), 6), F.lit(0.0)).alias(f"s{k}") for k in range(5)])
+    rows = rows.select("vec_id", *[F.coalesce(F.round(semantic.cosine(F.col("embedding"), F.col(str(k))), places), F.lit(0.0)).alias(f"s{k}") for k in range(5)])
     names = [(d, i) for d, own in P.INTENTS.items() for i in own]
     scores: dict = {d: {} for d in P.INTENTS}
     for k, (d, i) in enumerate(names):
@@ -206,10 +212,12 @@ def analyze_summary(spark, sf_dir: str) -> DataFrame:
 
 
 def analyze_explained(spark, sf_dir: str) -> DataFrame:
-    """The reported form of an analysis, as JSON."""
+    """The reported form of an analysis: a line for each layer, and why the judge was or was not asked."""
     from .analyze import result
 
-    return result(analyze(corpus(spark, sf_dir, PROMPTS))).select("prompt", "risk_score", F.to_json(F.struct("layers", "llm_status", "layer_reasoning")).alias("report"))
+    out = result(analyze(corpus(spark, sf_dir, PROMPTS)))
+    line = lambda x: F.concat_ws("|", x["name"], x["risk"].cast("string"), x["details"], F.array_join(x["reasoning"], ";"))
+    return out.select("prompt", "risk_score", F.array_join(F.transform("layers", line), "\n").alias("report"), F.col("layer_reasoning.fusion").alias("fusion"), F.col("layer_reasoning.triage").alias("triage"), F.col("llm_status.used").alias("llm_used"))
 
 
 def screen_prompts(spark, sf_dir: str) -> DataFrame:
@@ -306,24 +314,131 @@ def prompt_truncate(spark, sf_dir: str) -> DataFrame:
 
 def results_rows(spark, sf_dir: str) -> DataFrame:
     """Rows of a batch as the results table has them."""
-    from ..sources.tables import results
-
     rows = corpus(spark, sf_dir, PROMPTS).withColumnRenamed("text", "prompt").withColumn("expected_verdict", F.element_at(F.array(*[F.lit(v) for v in NAMES]), (F.col("k") % len(NAMES) + 1).cast("int")))
-    out = results(analyze(rows, "prompt", explain=False))
+    out = tables.results(analyze(rows, "prompt", explain=False))
     return out.select("prompt", "expected_verdict", "actual_verdict", "risk_score", "confidence", "llm_used", "correct")
 
 
+def _new_folder(spark, label: str) -> str:
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def csv_roundtrip(spark, sf_dir: str) -> DataFrame:
     """Prompts written as CSV and read back by the source."""
-    import tempfile
+    path = _new_folder(spark, "csv")
+    prompts = corpus(spark, sf_dir, PROMPTS).select(F.col("text").alias("prompt"), F.lit("SAFE").alias("expected_verdict"))
+    prompts.write.csv(path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return tables.read_prompts(spark, path).select("prompt", "expected_verdict")
 
-    from ..sources.tables import read_prompts
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="promptscreen-")
-    path = f"{base}/promptscreen-csv/{spark.sparkContext.applicationId}"
-    prompts = corpus(spark, sf_dir, PROMPTS).select(F.col("text").alias("prompt"), F.lit("SAFE").alias("expected_verdict"))
-    prompts.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return read_prompts(spark, path).select("prompt", "expected_verdict")
+def results_sink(spark, sf_dir: str) -> DataFrame:
+    """Results of documents as the CSV sink writes them, read back as text."""
+    rows = analyze(documents(spark, sf_dir).select(F.col("text").alias("prompt"), F.lit("SAFE").alias("expected_verdict")), "prompt", explain=False)
+    path = _new_folder(spark, "results")
+    tables.write_results(tables.results(rows, F.lit(12.5)), path)
+    back = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return back.select(T.payload_digest(F.col("prompt")).alias("prompt_sha256"), "expected_verdict", "actual_verdict", "risk_score", "confidence", "llm_used", "latency_ms", "correct")
+
+
+def audit_sink(spark, sf_dir: str) -> DataFrame:
+    """Audit records as the sink writes them, read back; all but their time."""
+    path = _new_folder(spark, "audit")
+    tables.write_audit(_gated(spark, sf_dir), path, snippets="sha256")
+    return _audited(spark.read.schema(AUDIT).json(path))
+
+
+AUDIT = "ts string, payload_sha256 string, action string, reason string, redacted string, findings array<struct<dtype: string, start: int, end: int, snippet: string, confidence: string>>, intent_verdict string, risk_score int, llm_used boolean"
+
+
+def _audited(records: DataFrame) -> DataFrame:
+    found = F.array_join(F.transform("findings", lambda f: F.concat_ws(":", f["dtype"], f["start"], f["end"], f["snippet"], f["confidence"])), ",")
+    return records.select("payload_sha256", "action", "reason", T.payload_digest(F.col("redacted")).alias("redacted_sha256"), found.alias("findings"), "intent_verdict", "risk_score", "llm_used")
+
+
+def findings_json(spark, sf_dir: str) -> DataFrame:
+    """Findings in the form in which they are handed on."""
+    return _gated(spark, sf_dir).select("doc_id", F.to_json(S.findings(F.col("spans"))).alias("findings"))
+
+
+def metrics_report(spark, sf_dir: str) -> DataFrame:
+    """The evaluation as text: a row for each line. It is made of one row."""
+    row = E.evaluate(_labelled(spark, sf_dir)).head()
+    return spark.createDataFrame([(i, x) for i, x in enumerate(E.report(row.asDict()).split("\n"))], "i int, line string")
+
+
+def single_prompts(spark, sf_dir: str) -> DataFrame:
+    """Prompts given one at a time."""
+    rows = [analyze(tables.single_prompt(spark, p), "prompt", explain=False).select("prompt", "risk_score", "verdict") for p in SECRETS[:2] + PROMPTS[:2]]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
+ENVIRONMENTS = [{}, {"OPENAI_API_KEY": "a"}, {"OPENROUTER_API_KEY": "b", "GEMINI_API_KEY": "c"}, {"LLM_PROVIDER": "anthropic", "OPENAI_API_KEY": "a"}, {"LLM_PROVIDER": "anthropic", "ANTHROPIC_API_KEY": "d", "LLM_MODEL": "m"}]
+
+
+def judge_environments(spark, sf_dir: str) -> DataFrame:
+    """The judge that each of a few environments asks for, and what it would send."""
+    rows = []
+    for i, env in enumerate(ENVIRONMENTS):
+        j = judge.judge_from_env(env=env)
+        url, headers, payload = j.request("hi") if j else (None, {}, None)
+        rows.append((i, j and j.provider, url, ",".join(sorted(headers)), payload and json.dumps(payload, sort_keys=True)))
+    return spark.createDataFrame(rows, "i int, provider string, url string, headers string, payload string")
+
+
+def sem_embed(spark, sf_dir: str) -> DataFrame:
+    """Embeddings by a function of batches of texts: here a count of a few letters."""
+    seen = semantic.embed(documents(spark, sf_dir).select("doc_id", "text"), "text", lambda texts: [[t.count(c) for c in "aeo"] for t in texts], "e")
+    return seen.select("doc_id", *[F.col("e")[i].cast("long").alias(f"e{i}") for i in range(3)])
+
+
+def sem_top_two(spark, sf_dir: str) -> DataFrame:
+    """The best two of each dimension's intents that has two."""
+    rows, scores = _scored(spark, sf_dir, places=9)
+    return rows.select("vec_id", *[semantic.top_two(own).alias(d) for d, own in scores.items() if len(own) > 1])
+
+
+def fusion_reasons(spark, sf_dir: str) -> DataFrame:
+    rows = _risks(spark, sf_dir).withColumn("e", fusion.signals(*[F.col(c) for c in ("o", "b", "s", "sc", "t", "tc")]))
+    return rows.select("event_id", fusion.fusion_reason(F.col("e"), *fusion.fused(F.col("e"))).alias("reason"))
+
+
+def _stream(spark, sf_dir: str, table: str) -> DataFrame:
+    """A table's files as a stream."""
+    return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{table}.parquet").schema).parquet(f"{sf_dir}/{table}.parquet*")
+
+
+def _finished(query) -> None:
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+
+
+def stream_screen(spark, sf_dir: str) -> DataFrame:
+    """Documents as a stream, screened; the batches' results together."""
+    out, ck = _new_folder(spark, "stream"), _new_folder(spark, "checkpoint")
+    seen = screen_stream(_stream(spark, sf_dir, "documents").select("doc_id", "text"), explain=False).select("doc_id", "verdict", "action", "reason")
+    _finished(seen.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start())
+    return spark.read.schema(seen.schema).parquet(out)
+
+
+def stream_audit(spark, sf_dir: str) -> DataFrame:
+    """Documents as a stream, gated, and their audit records appended."""
+    out, ck = _new_folder(spark, "stream-audit"), _new_folder(spark, "checkpoint")
+    _finished(audit_stream(gate(_stream(spark, sf_dir, "documents").select("text")), out, ck, snippets="sha256").trigger(availableNow=True).start())
+    return _audited(spark.read.schema(AUDIT).json(out))
+
+
+def stream_limit(spark, sf_dir: str) -> DataFrame:
+    """Events as a stream through the limiter with state."""
+    out, ck, key = _new_folder(spark, "stream-limit"), _new_folder(spark, "checkpoint"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        seen = admit_stream(_stream(spark, sf_dir, "events"), "event_type", "ts", "event_id", 15, 6 * 3600)
+        _finished(seen.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start())
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    return spark.read.schema(seen.schema).parquet(out).select(F.col("id").alias("event_id"), "admitted")
 
 
 def entry(spark, sf_dir: str) -> DataFrame:
@@ -337,5 +452,6 @@ QUERIES = {f"det_{n.lower()}": _detector(n) for n, _ in P.DETECTORS} | {
         beh_flags, beh_first_pattern, beh_score, sem_fallback, trf_fallback, trf_score, sem_centroid, sem_cosine, sem_rules, sem_confidence, fuse, triage, analyze_prompts,
         analyze_documents, analyze_summary, analyze_explained, screen_prompts, judge_parse, judge_prompts, judge_merge, mask_keys, provider_parse, rate_limit, rate_status,
         verdict_normalize, verdict_correct, eval_metrics, eval_latency, prompt_truncate, results_rows, csv_roundtrip,
+        results_sink, audit_sink, findings_json, metrics_report, single_prompts, judge_environments, sem_embed, sem_top_two, fusion_reasons, stream_screen, stream_audit, stream_limit,
     )
 } | {f"obf_{n}": _technique(n) for n in normalize.TECHNIQUES}

@@ -22,14 +22,19 @@ def test_entry(spark, sf):
 
 
 def test_entry_without_llm(tmp_path):
-    """The rest imports where the llm folders and the pipeline have been removed."""
+    """Where the llm folders and the pipeline have been removed the rest imports, and its queries run: the goldens and a few of each kind."""
     import os
     import shutil
     import subprocess
     import sys
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    shutil.copytree(f"{root}/promptscreen", tmp_path / "promptscreen", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    for part in ("promptscreen", "tests"):
+        shutil.copytree(f"{root}/{part}", tmp_path / part, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for f in ("__spark_entry__.py", "bench.py"):
+        shutil.copy(f"{root}/{f}", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'gate_decision' in q and not any(k.startswith('op') or k == 'pipeline' for k in q), q"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    env = {**os.environ, "PYTHONPATH": str(tmp_path)}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)
+    some = "test_gate or test_prompts or test_entry and not without or gate_decision or rate_limit or csv_roundtrip or stream_limit or judge_merge or analyze_explained"
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "-p", "no:cacheprovider", "tests/test_goldens.py", "tests/test_queries.py", "-k", some], cwd=tmp_path, check=True, env=env)
