@@ -51,22 +51,34 @@ def _scan(items: Column, advance, collect) -> Column:
     return _once(_once(items, _parts), all_parts)
 
 
-def matches(text: Column, dtype: str, pattern: str, order: int, low: Column) -> Column:
-    """All matches, left to right. Gaps between them are what split() leaves, so offsets are running sums of lengths.
+def _cut(text: Column, name: str, pattern: str, low: Column) -> Column:
+    """The gap before each match of a detector and the match, left to right, and the gap at the end; null where there is none.
 
     Most texts have no match: a literal, or else one search, decides that, and nothing else is computed. low: text in lower case.
     """
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    return F.when(may_match(low, name) & text.rlike(pattern), F.arrays_zip(gaps.alias("gap"), found.alias("m")))
+
+
+def _spans(cut: Column) -> Column:
+    """Spans of one detector's cuts (order, dtype, parts). Gaps are what split() leaves, so offsets are running sums of lengths."""
     end = lambda at, x: at + F.char_length(x["gap"]) + F.char_length(F.coalesce(x["m"], F.lit("")))
 
     def add(at: Column, spans: Column, x: Column) -> Column:
         n = F.char_length(x["m"])
         start = at + F.char_length(x["gap"])
-        span = F.struct(start.alias("start"), (-n).alias("neg_len"), F.lit(order).alias("ord"), (start + n).alias("end"), F.lit(dtype).alias("dtype"), x["m"].alias("snippet"))
+        span = F.struct(start.alias("start"), (-n).alias("neg_len"), cut["ord"].alias("ord"), (start + n).alias("end"), cut["dtype"].alias("dtype"), x["m"].alias("snippet"))
         return F.when(x["m"].isNull(), spans).otherwise(F.concat(spans, F.array(span)))  # after the last gap comes no match
 
-    spans = _scan(F.arrays_zip(gaps.alias("gap"), found.alias("m")), end, add)
-    return F.when(may_match(low, dtype) & text.rlike(pattern), spans).when(text.isNotNull(), F.array().cast(f"array<{SPAN}>"))
+    return _scan(cut["parts"], end, add)
+
+
+def matches(text: Column, detectors: list[tuple[str, str]], low: Column) -> Column:
+    """All matches of detectors (name, pattern), one detector after another."""
+    order = [n for n, _ in P.DETECTORS]
+    cuts = F.array(*[F.struct(F.lit(order.index(n)).alias("ord"), F.lit(n).alias("dtype"), _cut(text, n, pattern, low).alias("parts")) for n, pattern in detectors])
+    # One function for all detectors: an expression for each would take longer to plan than most texts to search.
+    return F.when(text.isNotNull(), F.flatten(F.transform(F.filter(cuts, lambda c: c["parts"].isNotNull()), _spans)))
 
 
 def luhn_ok(snippet: Column) -> Column:
@@ -75,16 +87,19 @@ def luhn_ok(snippet: Column) -> Column:
     return F.char_length(digits).between(low, high) & F.call_function("luhn_check", digits)
 
 
+def _checked(spans: Column) -> Column:
+    """Spans without cards whose check digit does not hold."""
+    return F.filter(spans, lambda s: (s["dtype"] != "CREDIT_CARD") | luhn_ok(s["snippet"]))
+
+
 def detector(text: Column, name: str, low: Column | None = None) -> Column:
     """Spans of one detector; cards only if their check digit holds."""
-    order = [n for n, _ in P.DETECTORS].index(name)
-    spans = matches(text, name, P.DETECTORS[order][1], order, F.lower(text) if low is None else low)
-    return F.filter(spans, lambda s: luhn_ok(s["snippet"])) if name == "CREDIT_CARD" else spans
+    return _checked(matches(text, [(n, p) for n, p in P.DETECTORS if n == name], F.lower(text) if low is None else low))
 
 
 def all_spans(text: Column, low: Column | None = None) -> Column:
     """Spans of all detectors, in order. low: text in lower case, if that is at hand."""
-    return F.array_sort(F.concat(*[detector(text, n, low) for n, _ in P.DETECTORS]))
+    return F.array_sort(_checked(matches(text, P.DETECTORS, F.lower(text) if low is None else low)))
 
 
 def resolved(spans: Column) -> Column:
