@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A side may be broadcast up to so many narrow rows (its count is checked first).
-BROADCAST_ROWS = 400_000
+#: A side may be broadcast up to so many rows and so many bytes of their values; both are counted first.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -109,8 +109,16 @@ def bounded_sample(df: DataFrame, rows: int, total: int, *keys: str) -> DataFram
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if its counted rows are few, else df as it is."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """df with a broadcast hint if its counted rows and bytes are few, else df as it is, to be joined by shuffle."""
+
+    def width(f) -> Column:
+        kind, c = f.dataType.typeName(), F.col(f.name)
+        if kind in ("string", "binary"):
+            return F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
+        return F.greatest(F.size(c), F.lit(0)).cast("long") * 16 if kind == "array" else F.lit(8).cast("long")
+
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(sum((width(f) for f in df.schema), F.lit(0).cast("long"))), F.lit(0))).head()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 #: A node of HUB edges and of one in HUBS of all edges is a hub: so there are no more than HUBS hubs, and their table may be broadcast,

@@ -95,3 +95,15 @@ def test_hubs(spark, monkeypatch):
             if a != b:
                 low[a] = low[b] = min(low[a], low[b])
     assert got == low
+
+
+def test_small_is_by_rows_and_bytes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    hinted = lambda df: "broadcast" in common.small(df)._jdf.queryExecution().logical().toString().lower()
+    df = spark.range(100).select("id", F.repeat(F.lit("x"), 50).alias("s"), F.array(F.lit(1)).alias("a"), F.lit(None).cast("binary").alias("b"))
+    assert hinted(df) and hinted(df.limit(0))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 7000)
+    assert not hinted(df) and hinted(df.limit(50))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 40)
+    assert not hinted(df.limit(50))
