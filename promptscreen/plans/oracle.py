@@ -42,23 +42,44 @@ RETRIEVAL = rf"(?s)(?:^|^[^{W}]|^.[^{W}]|(?:[^iI].|.[^nN])[^{W}]|..[^{W}\s])(?:"
 TARGET = P.TARGET.removeprefix(P.ANY_CASE)
 
 
-# Detectors. A card is a run of digits here: that is how the tables have them.
+# Detectors.
 def _re(name: str) -> str:
     return "(?i)" + dict(P.DETECTORS)[name].removeprefix(P.ANY_CASE)
 
 
+def cards_sql(text: str) -> str:
+    """A list of structs s, e, o of card numbers, with spaces and dashes.
+
+    RE2 cannot look around, so each character but digits is doubled: one half may be the end of one match and the other the
+    beginning of the next. Offsets count such a character as half.
+    """
+    low, high = P.LUHN_DIGITS
+    d = r"\p{Nd}"
+    pattern = q(rf"(?:^|[^{d}])(?:[0-9](?:  |--)?){{12,18}}[0-9](?:--)?{d}(?:$|[^{d}])")
+    twice = f"regexp_replace({text}, '([^{d}])', '\\1\\1', 'g')"
+    halves = lambda x: f"(length({x}) + length(regexp_replace({x}, '[^{d}]', '', 'g'))) // 2"
+    lead, trail = f"CASE WHEN regexp_matches(m, '^[^{d}]') THEN 1 ELSE 0 END", f"CASE WHEN regexp_matches(m, '[^{d}]$') THEN 1 ELSE 0 END"
+    digits = "regexp_replace(y, '[^0-9]', '', 'g')"
+    place = f"list_transform(range(1, length({digits}) + 1), lambda j: CAST(substr(reverse({digits}), j, 1) AS INT) * CASE WHEN j % 2 = 0 THEN 2 ELSE 1 END)"
+    ok = f"length({digits}) BETWEEN {low} AND {high} AND list_sum(list_transform({place}, lambda d: CASE WHEN d > 9 THEN d - 9 ELSE d END)) % 10 = 0"
+    found, gaps = f"regexp_extract_all({twice}, {pattern})", f"regexp_split_to_array({twice}, {pattern})"
+    before = f"array_to_string(list_transform(range(1, i + 1), lambda j: ({gaps})[j] || CASE WHEN j < i THEN ({found})[j] ELSE '' END), '')"
+    one = f"list_transform([({found})[i]], lambda m: {{'s': CAST({halves(f'({before} || substr(m, 1, {lead}))')} AS BIGINT), 'n': CAST({halves(f'substr(m, 1 + {lead}, length(m) - {lead} - {trail})')} AS BIGINT)}})[1]"
+    spans = f"list_transform(list_transform(range(1, len({found}) + 1), lambda i: {one}), lambda x: {{'s': x.s, 'e': x.s + x.n, 'o': 0}})"
+    checked = f"list_filter({spans}, lambda x: len(list_filter([substr({text}, x.s + 1, x.e - x.s)], lambda y: {ok})) > 0)"
+    return f"CASE WHEN regexp_matches({twice}, {pattern}) THEN {checked} ELSE [] END"
+
+
 def spans_sql(text: str, name: str) -> str:
     """A list of structs s, e, o of a detector's spans."""
+    if name == "CREDIT_CARD":
+        return cards_sql(text)
     order = [n for n, _ in P.DETECTORS].index(name)
-    pattern = q(_re(name)) if name != "CREDIT_CARD" else "'[0-9]+'"
+    pattern = q(_re(name))
     lens = lambda x, n: f"coalesce(list_sum(list_transform({x}[1:{n}], lambda z: length(z))), 0)"
     found, gaps = f"regexp_extract_all({text}, {pattern})", f"regexp_split_to_array({text}, {pattern})"
     spans = f"list_transform(range(1, len({found}) + 1), lambda i: {{'s': CAST({lens(gaps, 'i')} + {lens(found, 'i - 1')} AS BIGINT), 'e': CAST({lens(gaps, 'i')} + {lens(found, 'i')} AS BIGINT), 'o': {order}}})"
-    if name != "CREDIT_CARD":
-        return f"CASE WHEN regexp_matches({text}, {pattern}) THEN {spans} ELSE [] END"
-    digit = lambda m: f"list_transform(range(1, length({m}) + 1), lambda j: CAST(substr(reverse({m}), j, 1) AS INT) * CASE WHEN j % 2 = 0 THEN 2 ELSE 1 END)"
-    ok = f"list_sum(list_transform({digit('y')}, lambda d: CASE WHEN d > 9 THEN d - 9 ELSE d END)) % 10 = 0"
-    return f"list_filter({spans}, lambda x: x.e - x.s BETWEEN 14 AND 19 AND len(list_filter([substr({text}, x.s + 1, x.e - x.s)], lambda y: {ok})) > 0)"
+    return f"CASE WHEN regexp_matches({text}, {pattern}) THEN {spans} ELSE [] END"
 
 
 def detector_sql(name: str) -> str:
