@@ -172,11 +172,12 @@ def found_links(vectors: DataFrame, threshold: float, exact: bool) -> list[DataF
     # All of a core link with each other.
     sums = core.groupBy("cell").agg(F.sum("n").alias("all"), F.min("cid").alias("peer"), F.count(F.lit(1)).alias("c")).where("c > 1")  # a row for a cell
     out = [core.join(F.broadcast(sums), "cell").select("cid", (F.col("all") - F.col("n")).alias("links"), "peer")]
-    # Guests meet others only where there are members.
-    used = others.where("member").select("cell").distinct()
-    among = block_pairs(others.join(F.broadcast(used), "cell", "left_semi"), "cell", "cid", BLOCK).withColumn("kind", F.lit(0))
+    # Members meet each other and the guests; the core meets both. Guests do not meet here.
+    members, guests = others.where("member"), others.where("NOT member")
+    among = block_pairs(members, "cell", "cid", BLOCK).withColumn("kind", F.lit(0))
     across = block_meetings(core, others, "cell", "cid", BLOCK).withColumn("kind", F.lit(1))
-    groups = among.unionByName(across.select(*among.columns))
+    visits = block_meetings(members, guests, "cell", "cid", 2 * BLOCK).withColumn("kind", F.lit(2))
+    groups = among.unionByName(across.select(*among.columns)).unionByName(visits.select(*among.columns))
     out.append(map_groups(groups, ["cell", "kind", "bi", "bj"], link_rows(threshold, len(centroids)), LINKS))
     done = [materialize(t, "links") for t in out]
     discard(sent)
