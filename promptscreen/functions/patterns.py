@@ -153,3 +153,5 @@ JUDGE_DEFAULTS = (50, "MEDIUM_RISK", "LLM analysis")
 RATE_LIMIT, RATE_SECONDS = 15, 60
 #: Tokens that the injection classifier reads of a text.
 CLASSIFIER_TOKENS = 512
+#: Risks from which a bar is drawn as middling and as high.
+BAR_GRADES = (40, 70)

@@ -334,7 +334,17 @@ def build() -> dict[str, str]:
     for d, own in P.INTENTS.items():
         dims[d] = {i: f"s{at + n}" for n, i in enumerate(own)}
         at += len(own)
+    shown = "CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END"
+    safe = lambda x: f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    bar = lambda r: f"CASE WHEN {r} < 40 THEN 'low' WHEN {r} < 70 THEN 'middle' ELSE 'high' END"
+    four = [("obfuscation", "o", "CASE WHEN len(techniques) > 0 THEN array_to_string(techniques, ', ') ELSE 'none' END"), ("behaviour", "b", "len(named) || ' found'"), ("semantic", "s", "'0 rules hold'"), ("injection", "0", "CASE WHEN tc > 0.5 THEN 'likely' ELSE 'unlikely' END")]
+    items = [f"'<li class=\"' || {bar(r)} || '\">{n} ' || {r} || ': ' || {d} || '</li>'" for n, r, d in four]
+    rows4 = [f"chr(10) || '  {n} ' || {r} || ', ' || {d}" for n, r, d in four]
+    early_or = lambda x: f"{x[0]} || {x[1]} || CASE WHEN early THEN '' ELSE {x[2]} || {x[3]} END"
     out |= {
+        "view_html": f"SELECT {shown} AS prompt, '<article class=\"' || lower(verdict) || '\"><h2>' || verdict || ' ' || risk_score || '</h2><p>' || {safe(shown)} || '</p><ul>' || {early_or(items)} || '</ul></article>' AS html FROM {explained_sql(analyzed)}",
+        "view_trace": f"SELECT {shown} AS prompt, verdict || ', risk ' || risk_score || ', confidence ' || sure_of || {early_or(rows4)} AS lines FROM {explained_sql(analyzed)}",
+        "metrics_html": f"SELECT '<table>' || string_agg('<tr><th>' || trim(substr(line, 1, 21)) || '</th><td>' || trim(substr(line, 22)) || '</td></tr>', '' ORDER BY i) || '</table>' AS html FROM ({report_sql()})",
         "analyze_explained": f"SELECT CASE WHEN length(text) > 100 THEN substr(text, 1, 100) || '...' ELSE text END AS prompt, CAST(risk_score AS INTEGER) AS risk_score, report, CASE WHEN early THEN 'skipped' ELSE {fusion_reason_sql()} END AS fusion, CASE WHEN early THEN {q(EARLY)} WHEN {ask} THEN {REASONS} || {q(NO_JUDGE)} ELSE {REASONS} END AS triage, FALSE AS llm_used FROM {explained_sql(analyzed)}",
         "results_sink": f"SELECT sha256(text) AS prompt_sha256, 'SAFE' AS expected_verdict, verdict AS actual_verdict, CAST(risk_score AS VARCHAR) AS risk_score, sure_of AS confidence, 'NO' AS llm_used, '12' AS latency_ms, CASE WHEN verdict = 'SAFE' THEN 'true' ELSE 'false' END AS correct FROM {analyzed_sql('documents')}",
         "audit_sink": audited,

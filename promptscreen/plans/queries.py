@@ -18,6 +18,7 @@ from ..operators.gate import audit_rows, gate
 from ..sources import tables
 from ..sources.shared import shared_folder
 from ..streaming.screening import admit_stream, audit_stream, screen_stream
+from . import views
 from .analyze import analyze, screen
 from .corpus import PROMPTS, SECRETS, corpus, spread
 
@@ -372,6 +373,29 @@ def single_prompts(spark, sf_dir: str) -> DataFrame:
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
 
 
+def _reported(spark, sf_dir: str) -> DataFrame:
+    from .analyze import result
+
+    return result(analyze(corpus(spark, sf_dir, PROMPTS)))
+
+
+def view_html(spark, sf_dir: str) -> DataFrame:
+    """Analyses as people see them."""
+    seen = _reported(spark, sf_dir)
+    return seen.select("prompt", views.result_html(seen).alias("html"))
+
+
+def view_trace(spark, sf_dir: str) -> DataFrame:
+    seen = _reported(spark, sf_dir)
+    return seen.select("prompt", views.trace(seen).alias("lines"))
+
+
+def metrics_html(spark, sf_dir: str) -> DataFrame:
+    """The evaluation as a table of HTML, made of one row."""
+    row = E.evaluate(_labelled(spark, sf_dir)).head()
+    return spark.createDataFrame([(views.report_html(E.report(row.asDict())),)], "html string")
+
+
 ENVIRONMENTS = [{}, {"OPENAI_API_KEY": "a"}, {"OPENROUTER_API_KEY": "b", "GEMINI_API_KEY": "c"}, {"LLM_PROVIDER": "anthropic", "OPENAI_API_KEY": "a"}, {"LLM_PROVIDER": "anthropic", "ANTHROPIC_API_KEY": "d", "LLM_MODEL": "m"}]
 
 
@@ -452,6 +476,6 @@ QUERIES = {f"det_{n.lower()}": _detector(n) for n, _ in P.DETECTORS} | {
         beh_flags, beh_first_pattern, beh_score, sem_fallback, trf_fallback, trf_score, sem_centroid, sem_cosine, sem_rules, sem_confidence, fuse, triage, analyze_prompts,
         analyze_documents, analyze_summary, analyze_explained, screen_prompts, judge_parse, judge_prompts, judge_merge, mask_keys, provider_parse, rate_limit, rate_status,
         verdict_normalize, verdict_correct, eval_metrics, eval_latency, prompt_truncate, results_rows, csv_roundtrip,
-        results_sink, audit_sink, findings_json, metrics_report, single_prompts, judge_environments, sem_embed, sem_top_two, fusion_reasons, stream_screen, stream_audit, stream_limit,
+        results_sink, audit_sink, findings_json, metrics_report, single_prompts, judge_environments, sem_embed, sem_top_two, fusion_reasons, stream_screen, stream_audit, stream_limit, view_html, view_trace, metrics_html,
     )
 } | {f"obf_{n}": _technique(n) for n in normalize.TECHNIQUES}
