@@ -157,7 +157,7 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
         star = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).distinct()
         nxt = materialize(star, label)
         # A forest of stars: nobody has two parents, and no parent has a parent.
-        chained = nxt.join(nxt.select(F.col("u").alias("p")), F.col("v") == F.col("p"), "left_semi").limit(1).count()
+        chained = nxt.select("v").distinct().join(nxt.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
         twice = 0 if chained else nxt.groupBy("u").count().where("count > 1").limit(1).count()
         discard(e, large)
         e = nxt

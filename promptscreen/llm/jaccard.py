@@ -420,8 +420,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("peer").alias("b")), "links").select(F.col("node").alias("rep"), "component")
     linked = parts.join(reps.select("rep", "id", "digest"), "rep").join(links, "rep", "left")
-    least = linked.groupBy("component").agg(F.min("id").alias("class_id"))
-    linked = linked.join(least, "component").select("digest", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    least = materialize(linked.groupBy("component").agg(F.min("id").alias("class_id")), "least")
+    linked = linked.join(small(least), "component").select("digest", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
     # A class of copies without links is all there is to say of most copies.
     alone = copies.join(reps.select(F.col("rep").alias("first"), "id"), "first").select("digest", "copies", "id")

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_meetings, block_pairs, bounded_sample, connected_components, discard, map_groups, materialize
+from .common import block_meetings, block_pairs, bounded_sample, connected_components, discard, map_groups, materialize, small
 
 #: k-means is fit on so many vectors at most.
 SAMPLE = 32_768
@@ -204,7 +204,8 @@ def near_duplicate_vectors(df: DataFrame, threshold: float = 0.95, id_col: str =
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("cid").alias("a"), F.col("peer").alias("b")))
     low = parts.join(classes.select(F.col("cid").alias("node"), "low"), "node")
-    comps = low.join(low.groupBy("component").agg(F.min("low").alias("least")), "component").select(F.col("node").alias("cid"), "least")
+    least = materialize(low.groupBy("component").agg(F.min("low").alias("least")), "least")
+    comps = low.join(small(least), "component").select(F.col("node").alias("cid"), "least")
     per_class = materialize(
         classes.join(links, "cid", "left").join(comps, "cid", "left").select("vec", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "low").alias("component_id")),
         "vector-classes",
