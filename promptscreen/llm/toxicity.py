@@ -7,8 +7,8 @@ other's rate). What both classes share is trained once, from all texts without t
 stands in the same place in both dictionaries, so a window without anything peculiar
 has the same length under both: the difference of two lengths is evidence and no chance.
 
-A text's evidence (its largest difference, how much its windows differ by beyond
-each threshold, also against its length, and how much the other way) gives the score by a
+A text's evidence (how much its windows differ by beyond each threshold, also
+against its length, and how much the other way) gives the score by a
 logistic curve. Thresholds are quantiles of the differences of ordinary text. Rows of the fit
 count by how many of their class the sample left out. Both, thresholds and curve, are calibrated on rows
 that no dictionary was trained on: half of the learning rows train, the others
@@ -45,14 +45,14 @@ TAIL = bytes(range(14, 22))
 OWN_BYTES, COMMON_BYTES = 4096, 16_384
 #: Ordinary text has little that is peculiar to it; its part is filled from ordinary text up to this share of the toxic part,
 #: and not farther, since whatever only one of the dictionaries has by chance blurs the differences.
-FILL = 1 / 8
+FILL = 1 / 16
 #: Lengths of the segments that the trainer picks, of what is peculiar and of other text.
 SEGMENT, PLAIN = 16, 32
 #: Between samples, which would else make strings that no text has; no UTF-8 text has it.
 APART = b"\xff"
 TABLE_BITS = 22
 #: A byte string is peculiar to a class if its rate is so many times the other's, with such a t statistic at least.
-TIMES, T = 3.0, 5.0
+TIMES, T = 3.0, 6.0
 #: Thresholds are these quantiles of the differences of ordinary windows.
 QUANTILES = (0.9, 0.99, 0.999)
 LEVEL, MATCH = 3, 6
@@ -195,10 +195,10 @@ class Lengths:
 
 
 def evidence(diff: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
-    """Largest difference; sums beyond each threshold and the other way, as logarithms, and against what a text of this length has by chance."""
+    """Sums beyond each threshold, as logarithms; the same, and the sum the other way, against what a text of this length has by chance."""
     some = np.log1p(len(diff) / 50)
     above = [np.log1p(np.maximum(diff - t + 1, 0).sum()) for t in thresholds]
-    return np.array([diff.max(), *above, *(x - some for x in above), np.log1p(np.maximum(-diff, 0).sum()) - some])
+    return np.array([*above, *(x - some for x in above), np.log1p(np.maximum(-diff, 0).sum()) - some])
 
 
 def calibrated(diffs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -207,7 +207,7 @@ def calibrated(diffs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.maximum(np.ceil(np.quantile(every, QUANTILES)), 1) + np.arange(len(QUANTILES)))
 
 
-def newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> np.ndarray:
+def newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights of a logistic regression, the last the offset; weight: how much each row counts."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
