@@ -123,7 +123,7 @@ def small(df: DataFrame) -> DataFrame:
 
 #: A node of HUB edges and of one in HUBS of all edges is a hub: so there are no more than HUBS hubs, and their table may be broadcast,
 #: and what any other node brings to one task is no more than that share.
-HUB, HUBS = 1000, 100_000
+HUB, HUBS = 100, 100_000
 
 
 def with_least(e: DataFrame, least: Column) -> DataFrame:
