@@ -34,7 +34,7 @@ def test_entry_without_llm(tmp_path):
     for f in ("__spark_entry__.py", "bench.py"):
         shutil.copy(f"{root}/{f}", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'gate_decision' in q and not any(k.startswith('op') or k == 'pipeline' for k in q), q"
-    env = {**os.environ, "PYTHONPATH": str(tmp_path)}
+    env = {**os.environ, "PYTHONPATH": os.pathsep.join([str(tmp_path), os.environ.get("PYTHONPATH", "")])}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)
     some = "test_gate or test_prompts or test_entry and not without or gate_decision or rate_limit or csv_roundtrip or stream_limit or judge_merge or analyze_explained"
     subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "-p", "no:cacheprovider", "tests/test_goldens.py", "tests/test_queries.py", "-k", some], cwd=tmp_path, check=True, env=env)
