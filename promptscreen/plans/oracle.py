@@ -317,6 +317,7 @@ def build() -> dict[str, str]:
         "mask_keys": f"SELECT doc_id, CASE WHEN length({key}) = 0 THEN '<unset>' WHEN length({key}) <= 8 THEN repeat('*', length({key})) ELSE substr({key}, 1, 3) || '...' || right({key}, 4) END AS masked FROM documents",
         "provider_parse": f"SELECT doc_id, {provider} AS provider FROM (SELECT doc_id, {pick(LABELS, 'doc_id')} AS c FROM documents)",
         "rate_limit": f"{LIMITED} SELECT ids[i] AS event_id, list_contains(adm, i) AS admitted FROM a, unnest(range(1, len(ids) + 1)) AS u(i)",
+        "rate_limit_hot": f"{LIMITED.replace('GROUP BY event_type', '').replace('SELECT event_type, list(event_id', "SELECT 'all' AS event_type, list(event_id")} SELECT ids[i] AS event_id, list_contains(adm, i) AS admitted, CAST(len(list_filter(adm, lambda j: j <= i AND ts[i] - ts[j] <= 21600000000)) AS INTEGER) AS used FROM a, unnest(range(1, len(ids) + 1)) AS u(i)",
         "rate_status": f"{LIMITED}, u AS (SELECT event_type, CAST(len(list_filter(adm, lambda j: ts[len(ts)] - ts[j] <= 21600000000)) AS INTEGER) AS used FROM a) SELECT event_type, used AS requests_used, CAST(15 - used AS INTEGER) AS requests_remaining, used < 15 AS available FROM u",
         "verdict_normalize": f"SELECT event_id, {normal('expected_verdict')} AS label FROM {LABELLED}",
         "verdict_correct": f"SELECT event_id, CASE WHEN expected_verdict <> '' THEN {normal('expected_verdict')} = {normal('actual_verdict')} OR ({normal('expected_verdict')} = 'BLOCKED' AND {normal('actual_verdict')} = 'HIGH_RISK') END AS correct FROM {LABELLED}",

@@ -271,6 +271,12 @@ def rate_limit(spark, sf_dir: str) -> DataFrame:
     return ratelimit.admit(events, "event_type", "ts", "event_id", 15, 6 * 3600).select("event_id", "admitted")
 
 
+def rate_limit_hot(spark, sf_dir: str) -> DataFrame:
+    """All events as the requests of one key, at most 15 in any 6 hours: it is beyond the limit throughout, without a pause."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.lit("all").alias("key"), "ts")
+    return ratelimit.admit(events, "key", "ts", "event_id", 15, 6 * 3600).select("event_id", "admitted", "used")
+
+
 def rate_status(spark, sf_dir: str) -> DataFrame:
     """The limiter's state after each key's last request."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "ts")
@@ -453,16 +459,26 @@ def stream_audit(spark, sf_dir: str) -> DataFrame:
 
 
 def stream_limit(spark, sf_dir: str) -> DataFrame:
-    """Events as a stream through the limiter with state."""
-    out, ck, key = _new_folder(spark, "stream-limit"), _new_folder(spark, "checkpoint"), "spark.sql.streaming.stateStore.providerClass"
+    """Events as a stream through the limiter with state. They come in four batches, a tenth of each with the batch after, and a last one far ahead moves the watermark past all."""
+    source, out, ck = _new_folder(spark, "events"), _new_folder(spark, "stream-limit"), _new_folder(spark, "checkpoint")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    t = F.unix_micros("ts")
+    first, last = events.agg(F.min(t), F.max(t)).head()
+    step = (last - first) // 4 + 1
+    place = F.floor((t - first) / step) + (F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0).cast("int")
+    ahead = [spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit("ahead").alias("event_type"), F.timestamp_micros(F.lit(last + 20 * step * k)).alias("ts")) for k in (1, 2)]
+    for batch in [events.where(place == k) for k in range(5)] + ahead:
+        batch.coalesce(1).write.mode("append").parquet(source)
+    key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        seen = admit_stream(_stream(spark, sf_dir, "events"), "event_type", "ts", "event_id", 15, 6 * 3600)
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        seen = admit_stream(stream, "event_type", "ts", "event_id", 15, 6 * 3600, f"{step // 900 + 1} milliseconds", 6 * 3600)
         _finished(seen.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start())
     finally:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
-    return spark.read.schema(seen.schema).parquet(out).select(F.col("id").alias("event_id"), "admitted")
+    return spark.read.schema(seen.schema).parquet(out).where("id >= 0").select(F.col("id").alias("event_id"), "admitted")
 
 
 def entry(spark, sf_dir: str) -> DataFrame:
@@ -474,7 +490,7 @@ QUERIES = {f"det_{n.lower()}": _detector(n) for n, _ in P.DETECTORS} | {
     for f in (
         span_merge, span_redact, gate_decision, gate_prompts, gate_policy, gate_by_action, gate_by_lang_source, findings_by_type, audit_digest, obf_normalized, obf_documents,
         beh_flags, beh_first_pattern, beh_score, sem_fallback, trf_fallback, trf_score, sem_centroid, sem_cosine, sem_rules, sem_confidence, fuse, triage, analyze_prompts,
-        analyze_documents, analyze_summary, analyze_explained, screen_prompts, judge_parse, judge_prompts, judge_merge, mask_keys, provider_parse, rate_limit, rate_status,
+        analyze_documents, analyze_summary, analyze_explained, screen_prompts, judge_parse, judge_prompts, judge_merge, mask_keys, provider_parse, rate_limit, rate_limit_hot, rate_status,
         verdict_normalize, verdict_correct, eval_metrics, eval_latency, prompt_truncate, results_rows, csv_roundtrip,
         results_sink, audit_sink, findings_json, metrics_report, single_prompts, judge_environments, sem_embed, sem_top_two, fusion_reasons, stream_screen, stream_audit, stream_limit, view_html, view_trace, metrics_html,
     )

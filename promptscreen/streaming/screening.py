@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,28 +26,77 @@ def audit_stream(decided: DataFrame, path: str, checkpoint: str, text_col: str =
 
 
 class Limiter(StatefulProcessor):
-    """Times admitted in the window, by key. Requests of a batch are taken in the order of their times."""
+    """A key's requests wait in slices of time until the watermark has passed their slice, and are then decided in the order of their times.
 
-    def __init__(self, limit: int, seconds: float):
-        self.limit, self.window = limit, int(seconds * 1_000_000)
+    State of a key: the rows of each slice that waits, and the times admitted in the last window before the slices decided. A timer at each
+    slice's end decides it; another, a window after the last admitted time, forgets what is left. So a key
+    that is silent keeps no state. Requests older than the watermark are late: their slice may have been decided, so they are
+    denied, told as late, and count for nobody.
+    """
+
+    def __init__(self, limit: int, seconds: float, slice_seconds: float):
+        self.limit, self.window, self.size = limit, int(seconds * 1_000_000), int(slice_seconds * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.held = handle.getValueState("held", "times array<bigint>")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        from collections import deque
-
-        all_rows = pd.concat(list(rows)).sort_values(["t", "id"], kind="stable")
+        self.waiting = handle.getMapState("waiting", "slice bigint", "ts array<bigint>, ids array<bigint>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - the names Spark calls
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        for frame in rows:
+            timeless = frame["t"].isna()
+            late = ~timeless & (frame["t"] < watermark)
+            for some, admitted in ((frame[timeless], True), (frame[late], False)):
+                if len(some):
+                    yield self._out(key, some["id"], admitted, 0, not admitted)
+            wait = frame[~timeless & ~late].astype({"t": "int64"})
+            for k, some in wait.groupby(wait["t"] // (self.size * 1000)):
+                ts, ids = some["t"].tolist(), some["id"].tolist()
+                if self.waiting.containsKey((int(k),)):
+                    old = self.waiting.getValue((int(k),))
+                    ts, ids = list(old[0]) + ts, list(old[1]) + ids
+                else:
+                    self.handle.registerTimer((int(k) + 1) * self.size)
+                self.waiting.updateValue((int(k),), (ts, ids))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - the names Spark calls
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        # Whatever the order of timers, slices are decided in theirs.
+        due = sorted(k for (k,) in self.waiting.keys() if (k + 1) * self.size <= now)
         held = deque(self.held.get()[0] if self.held.exists() else [])
-        got = decide(all_rows["t"].tolist(), self.limit, self.window, held)
-        self.held.update((list(held),))
-        yield pd.DataFrame({"key": key[0], "id": all_rows["id"].to_numpy(), "admitted": [a for a, _ in got], "used": [u for _, u in got]})
+        for k in due:
+            ts, ids = self.waiting.getValue((k,))
+            rows = sorted(zip(ts, ids))
+            got = decide([t for t, _ in rows], self.limit, self.window, held)
+            self.waiting.removeKey((k,))
+            yield self._out(key, [i for _, i in rows], [a for a, _ in got], [u for _, u in got], False)
+        # What comes next is of the slice that now is in, or of later ones.
+        while held and now // self.size * self.size * 1000 - held[0] > self.window:
+            held.popleft()
+        if held:
+            self.held.update((list(held),))
+            self.handle.registerTimer(((held[-1] + self.window) // 1000 // self.size + 1) * self.size)
+        else:
+            self.held.clear()
+
+    @staticmethod
+    def _out(key, ids, admitted, used, late) -> pd.DataFrame:
+        out = pd.DataFrame({"key": key[0], "id": list(ids), "admitted": admitted, "used": used, "late": late})
+        return out.astype({"id": "int64", "admitted": "bool", "used": "int32", "late": "bool"})
 
     def close(self) -> None:
         pass
 
 
-def admit_stream(stream: DataFrame, key_col: str, ts_col: str, id_col: str, limit: int, seconds: float) -> DataFrame:
-    """key, id, admitted, used of a stream of requests. Needs the RocksDB state store."""
-    rows = stream.select(F.col(key_col).cast("string").alias("key"), F.col(id_col).cast("long").alias("id"), F.unix_micros(F.col(ts_col).cast("timestamp")).alias("t"))
-    return rows.groupBy("key").transformWithStateInPandas(Limiter(limit, seconds), "key string, id long, admitted boolean, used int", "append", "none")
+#: Rows of a limiter of streams.
+LIMITED = "key string, id long, admitted boolean, used int, late boolean"
+
+
+def admit_stream(stream: DataFrame, key_col: str, ts_col: str, id_col: str, limit: int, seconds: float, delay: str = "10 minutes", slice_seconds: float = 60) -> DataFrame:
+    """key, id, admitted, used, late of a stream of requests, each once, when the watermark (delay behind the latest time) has passed its slice.
+
+    In whatever order requests come within the delay, they are decided as the batch form does. Needs the RocksDB state store.
+    """
+    rows = stream.withWatermark(ts_col, delay).select(F.col(key_col).cast("string").alias("key"), F.col(id_col).cast("long").alias("id"), F.unix_micros(F.col(ts_col).cast("timestamp")).alias("t"))
+    return rows.groupBy("key").transformWithStateInPandas(Limiter(limit, seconds, slice_seconds), LIMITED, "append", "EventTime")

@@ -5,12 +5,13 @@ import sys
 import types
 from collections import defaultdict, deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from promptscreen.operators import injection, semantic
+from promptscreen.operators import injection, ratelimit, semantic
 from promptscreen.operators.judge import Budget, Judge, call_judge, judge_from_env
-from promptscreen.operators.ratelimit import admit, decide
+from promptscreen.operators.ratelimit import admit, decide, synced, transfer, walk
 from promptscreen.plans.analyze import FAILED, LIMITED, NO_JUDGE, Screening, analyze
 
 
@@ -28,17 +29,71 @@ def test_hot_key_by_ranges(spark):
     rows += [(5000 + i, k, 100 * i) for k in ("a", "b") for i in range(5)]
     rows = [(n, *r[1:]) for n, r in enumerate(rows)]
     got = {r.id: (r.admitted, r.used) for r in admit(requests(spark, rows), "k", "ts", "id", 3, 60).collect()}
-    by = defaultdict(list)
+    assert got == plain(rows, 3, 60)
+
+
+def plain(rows, limit, window):
+    """One pass over each key: id to (admitted, used)."""
+    by, out = defaultdict(list), {}
     for i, k, s in rows:
         by[k].append((s, i))
     for own in by.values():
         own.sort()
-        for (_, i), want in zip(own, decide([s * 1_000_000 for s, _ in own], 3, 60_000_000, deque())):
-            assert got[i] == want
+        out |= dict(zip([i for _, i in own], decide([s * 1_000_000 for s, _ in own], limit, window * 1_000_000, deque())))
+    return out
+
+
+GAPS = [[0, 1], [0, 0, 0, 1], [1], [0, 1, 2, 3], [0, 1, 5, 20], [1, 2], [3, 4, 5]]
+
+
+def test_transfer_of_any_stretch():
+    """Composed over stretches, walked with jumps, or known from the stretch alone: the state is that of one pass."""
+    rng, known = random.Random(1), 0
+    for _ in range(2000):
+        limit, window, gaps, t, ts = rng.choice([1, 2, 3, 5, 15]), rng.choice([1, 5, 10, 60]), rng.choice(GAPS), 0, []
+        for _ in range(rng.randint(1, 120)):
+            t += rng.choice(gaps)
+            ts.append(t)
+        cuts = sorted(rng.sample(range(len(ts) + 1), min(3, len(ts))))
+        state: list = []
+        for part in (ts[a:b] for a, b in zip([0, *cuts], [*cuts, len(ts)]) if b > a):
+            held = deque(state)
+            decide(part, limit, window, held)
+            want = [x for x in held if part[-1] - x <= window]
+            assert walk(part, limit, window, state) == want
+            assert transfer(np.array(part), limit, window, 10**6)(state, limit, window) == want
+            if (s := synced(np.array(part), limit, window)) is not None:
+                known += 1
+                assert walk(part[s[0] :], limit, window, s[1]) == want or s[0] == len(part) and [x for x in s[1] if part[-1] - x <= window] == want
+            state = want
+    assert known > 300
+    assert walk([1, 2, 3], 0, 5, []) == [] and synced(np.array([1, 2]), 0, 5) == (2, [])
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_hot_key_without_pauses(spark, monkeypatch, most):
+    """Requests of one key without any pause, far beyond the limit, over many ranges: by composed transfers, and by walks of ranges."""
+    if most is not None:
+        monkeypatch.setattr(ratelimit, "MOST_ROWS", most)
+        monkeypatch.setattr(ratelimit, "transfer", lambda t, limit, window, most=0: None)
+    rng, rows, t = random.Random(7), [], 0
+    for i in range(6000):
+        t += rng.choice([0, 0, 1, 2])
+        rows.append((i, "hot" if i % 10 else "other", t))
+    rows += [(9000 + i, "a", 100 * i) for i in range(5)] + [(9100 + i, "z", i) for i in range(50)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.id: (r.admitted, r.used) for r in admit(requests(spark, rows), "k", "ts", "id", 3, 60).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == plain(rows, 3, 60)
 
 
 def test_no_exchange_on_the_key(spark):
-    """Rows are dealt by ranges of key and time, and by runs: never by the key alone; no window over it."""
+    """Rows are dealt by ranges of key and time, and by these ranges: never by the key alone; no window over it."""
     plan = admit(requests(spark, [(1, "x", 1), (2, "x", 2)]), "k", "ts", "id", 3, 60)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "hashpartitioning(k" not in plan and "hashpartitioning(__part" in plan
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from promptscreen.operators.gate import gate
 from promptscreen.plans.analyze import analyze
 from promptscreen.sources import tables
-from promptscreen.streaming.screening import admit_stream, audit_stream, screen_stream
+from promptscreen.streaming.screening import audit_stream, screen_stream
 
 
 def test_read_prompts(spark, tmp_path):
@@ -46,17 +46,3 @@ def test_streams(spark, tmp_path):
     stream = screen_stream(spark.readStream.schema("text string").parquet(str(tmp_path / "in")), explain=False)
     audit_stream(stream, str(tmp_path / "out"), str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.action for r in spark.read.json(str(tmp_path / "out")).collect()) == ["ALLOW", "BLOCK", "REDACT"]
-
-
-def test_limiter_stream(spark, tmp_path):
-    seconds = [0, 10, 20, 60, 61, 70, 71]
-    want = [True, True, False, False, True, False, True]
-    schema = "id long, k string, ts timestamp"
-    for part in (seconds[:3], seconds[3:]):
-        base = 0 if part is not None and part[0] == 0 else 3
-        rows = spark.createDataFrame([(base + i, "x", s) for i, s in enumerate(part)], "id long, k string, s long")
-        rows.select("id", "k", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = admit_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "k", "ts", "id", 2, 60)
-        stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    got = {r.id: r.admitted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert [got[i] for i in range(7)] == want
