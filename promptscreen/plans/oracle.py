@@ -314,6 +314,7 @@ def build() -> dict[str, str]:
         "judge_parse": judged_sql(),
         "judge_prompts": f"SELECT {KEYS}, CAST(length('Assess:' || chr(10) || chr(10) || 'PROMPT TO ANALYZE:' || chr(10) || text) AS INTEGER) AS n FROM {corpus_sql(PROMPTS[:3])}",
         "judge_merge": f"SELECT {KEYS}, CASE WHEN {ask} THEN {judged} THEN 33 ELSE risk_score END ELSE risk_score END AS risk_score, CASE WHEN {ask} THEN {judged} THEN 'MEDIUM_RISK' ELSE verdict END ELSE verdict END AS verdict, sure_of AS confidence, {ask} AND ({judged} THEN TRUE ELSE FALSE END) AS llm_used FROM {analyzed}",
+        "judge_budget": f"WITH t AS (SELECT {KEYS}, text, row_number() OVER (PARTITION BY k % 2 ORDER BY conv_id, turn, k) AS i FROM {prompts}) SELECT conv_id, turn, k, k % 2 = 0 AND i > 15 AS limited, k % 2 = 0 AND i <= 15 AND length('Assess:' || chr(10) || chr(10) || 'PROMPT TO ANALYZE:' || chr(10) || text) % 2 = 1 AS answered FROM t",
         "mask_keys": f"SELECT doc_id, CASE WHEN length({key}) = 0 THEN '<unset>' WHEN length({key}) <= 8 THEN repeat('*', length({key})) ELSE substr({key}, 1, 3) || '...' || right({key}, 4) END AS masked FROM documents",
         "provider_parse": f"SELECT doc_id, {provider} AS provider FROM (SELECT doc_id, {pick(LABELS, 'doc_id')} AS c FROM documents)",
         "rate_limit": f"{LIMITED} SELECT ids[i] AS event_id, list_contains(adm, i) AS admitted FROM a, unnest(range(1, len(ids) + 1)) AS u(i)",

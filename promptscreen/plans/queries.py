@@ -252,6 +252,13 @@ def judge_merge(spark, sf_dir: str) -> DataFrame:
     return seen.select(*KEY, "risk_score", "verdict", "confidence", "llm_used")
 
 
+def judge_budget(spark, sf_dir: str) -> DataFrame:
+    """A judge that may be asked 15 times: which prompts it is asked about, and that it fails on some uses its budget too."""
+    rows = corpus(spark, sf_dir, PROMPTS).withColumn("asked", F.when(F.col("k") % 2 == 0, F.col("text")))
+    seen = judge.call_judge(rows, "asked", lambda p: "yes" if len(p) % 2 else None, "Assess:", limit=15, order=KEY)
+    return seen.select(*KEY, "limited", F.col("reply").isNotNull().alias("answered"))
+
+
 def mask_keys(spark, sf_dir: str) -> DataFrame:
     key = F.substring(F.col("text"), F.lit(1), F.pmod("doc_id", F.lit(20)).cast("int"))
     return documents(spark, sf_dir).select("doc_id", T.mask_key(key).alias("masked"))
@@ -490,7 +497,7 @@ QUERIES = {f"det_{n.lower()}": _detector(n) for n, _ in P.DETECTORS} | {
     for f in (
         span_merge, span_redact, gate_decision, gate_prompts, gate_policy, gate_by_action, gate_by_lang_source, findings_by_type, audit_digest, obf_normalized, obf_documents,
         beh_flags, beh_first_pattern, beh_score, sem_fallback, trf_fallback, trf_score, sem_centroid, sem_cosine, sem_rules, sem_confidence, fuse, triage, analyze_prompts,
-        analyze_documents, analyze_summary, analyze_explained, screen_prompts, judge_parse, judge_prompts, judge_merge, mask_keys, provider_parse, rate_limit, rate_limit_hot, rate_status,
+        analyze_documents, analyze_summary, analyze_explained, screen_prompts, judge_parse, judge_prompts, judge_merge, judge_budget, mask_keys, provider_parse, rate_limit, rate_limit_hot, rate_status,
         verdict_normalize, verdict_correct, eval_metrics, eval_latency, prompt_truncate, results_rows, csv_roundtrip,
         results_sink, audit_sink, findings_json, metrics_report, single_prompts, judge_environments, sem_embed, sem_top_two, fusion_reasons, stream_screen, stream_audit, stream_limit, view_html, view_trace, metrics_html,
     )

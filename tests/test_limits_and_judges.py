@@ -2,6 +2,7 @@
 
 import random
 import sys
+import time
 import types
 from collections import defaultdict, deque
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from promptscreen.operators import injection, ratelimit, semantic
-from promptscreen.operators.judge import Budget, Judge, call_judge, judge_from_env
+from promptscreen.operators.judge import Judge, call_judge, in_turn, judge_from_env
 from promptscreen.operators.ratelimit import admit, decide, synced, transfer, walk
 from promptscreen.plans.analyze import FAILED, LIMITED, NO_JUDGE, Screening, analyze
 
@@ -106,15 +107,26 @@ def test_limiter_on_odd_tables(spark):
     assert sorted((r.id, r.admitted) for r in out) == [(1, True), (2, False), (3, True), (4, False), (4, True)]
 
 
-def test_budget_shares():
-    """All tasks together never take more than the limit in a window, and what falls out of it comes back."""
-    now = [0.0]
-    for limit, tasks in ((2, 1), (2, 5), (15, 4), (0, 3)):
-        now[0] = 0.0
-        budgets = [Budget(limit, t, tasks, clock=lambda: now[0]) for t in range(tasks)]
-        assert sum(b.take() for b in budgets for _ in range(20)) == limit
-        now[0] = 61.0
-        assert sum(b.take() for b in budgets for _ in range(20)) == limit
+def test_rows_in_turn(spark):
+    """Numbers from 0 without gaps, in order, over many partitions, some of them empty; ties too."""
+    df = spark.createDataFrame([(i * 7919 % 1000, i) for i in range(1000)], "v int, i int").repartition(60).where("v % 3 = 0")
+    got = in_turn(df, ["v"]).collect()
+    assert [r.v for r in sorted(got, key=lambda r: r["__turn"])] == sorted(r.v for r in got) and sorted(r["__turn"] for r in got) == list(range(len(got))) and len(got) == 334
+    assert sorted(r["__turn"] for r in in_turn(df).collect()) == list(range(334))
+    assert in_turn(df.limit(0), ["v"]).collect() == []
+
+
+def test_budget_of_the_whole_job(spark):
+    """Of 500 rows in 211 tasks the first 15 in order are asked, no more and no fewer; with three minutes the first 45, each in its minute."""
+    seen = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([(i * 7919 % 500, f"line {i}") for i in range(500)], "v int, text string").repartition(211)
+    rows = call_judge(df, "text", Counting(seen, 15), order=["v"]).collect()
+    assert seen.value == 15 and sorted(r.v for r in rows if not r.limited) == list(range(15)) and len(rows) == 500
+    start = time.time()
+    rows = call_judge(df, "text", lambda p: str(time.time()), limit=15, order=["v"], minutes=3, seconds=2).collect()
+    took = {r.v: float(r.reply) - start for r in rows if not r.limited}
+    assert sorted(took) == list(range(45)) and all(took[v] >= v // 15 * 2 for v in took)
+    assert all(r.limited for r in call_judge(df, "text", Counting(seen, 0)).collect())
 
 
 class Counting:

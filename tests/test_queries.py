@@ -1,7 +1,6 @@
 import pytest
 
-from promptscreen.plans.oracle import SQL
-from promptscreen.plans.queries import QUERIES
+from promptscreen.plans.registry import QUERIES, SQL
 from tests.conftest import same_as_sql
 
 
