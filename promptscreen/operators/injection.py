@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,19 @@ def classify(df: DataFrame, text_col: str, classifier: Callable[[list[str]], lis
     }).drop("__c")
 
 
+def embedding_classifier(embedder: Callable[[list[str]], list], examples: list[str], least: float = 0.3) -> Callable[[list[str]], list[tuple[str, float]]]:
+    """A classifier by an embedder: an injection is a text whose embedding has a cosine above least to the examples' mean. Certainty is 0.5 at
+    least and grows with the distance from it."""
+    mean = np.mean(np.array(embedder(examples), np.float64), axis=0)
+    mean = mean / (np.linalg.norm(mean) or 1.0)
+
+    def classifier(texts: list[str]) -> list[tuple[str, float]]:
+        near = np.array(embedder(texts), np.float64).reshape(len(texts), -1) @ mean
+        return [(P.INJECTION_LABEL if x > least else "SAFE", min(1.0, 0.5 + abs(float(x) - least))) for x in near]
+
+    return classifier
+
+
 def transformer_classifier(path: str, max_tokens: int = P.CLASSIFIER_TOKENS) -> Callable[[list[str]], list[tuple[str, float]]] | None:
     """A classifier of a model in a folder, loaded once in each worker; None where its library is not installed.
 

@@ -74,7 +74,7 @@ class Judge:
 
     def __post_init__(self) -> None:
         if self.provider not in P.PROVIDERS:
-            raise ValueError(f"Unknown provider '{self.provider}'. Choose from: {', '.join(P.PROVIDERS)}")
+            raise ValueError(f"no provider {self.provider!r}; known are {', '.join(P.PROVIDERS)}")
 
     def request(self, prompt: str) -> tuple[str, dict, dict]:
         """Address, headers and payload."""
@@ -119,6 +119,24 @@ def judge_from_env(provider: str | None = None, model: str | None = None, key: s
     return Judge(provider, key, model or env.get("LLM_MODEL", ""), rate_limit) if key else None
 
 
+def requests(df: DataFrame, text_col: str, judge: Judge | None, out_col: str = "request") -> DataFrame:
+    """Adds what a judge would send about each text: struct<provider, url, headers (names only), payload (JSON)>; null without a judge or a text."""
+    kind = "struct<provider: string, url: string, headers: string, payload: string>"
+    if judge is None:
+        return df.withColumn(out_col, F.lit(None).cast(kind))
+
+    @F.pandas_udf(kind)
+    def run(prompts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p in prompts:
+            url, headers, payload = judge.request(p or "")
+            sent = (judge.provider, url, ",".join(sorted(headers)), json.dumps(payload, sort_keys=True, ensure_ascii=False))
+            rows.append(sent if p is not None else (None,) * 4)
+        return pd.DataFrame(rows, columns=["provider", "url", "headers", "payload"], index=prompts.index, dtype=object)
+
+    return df.withColumn(out_col, F.when(F.col(text_col).isNotNull(), run(text_col)))
+
+
 def in_turn(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """df with __turn, each row's number from 0: in the order of columns, or in that of partitions and rows. Rows are written once and the numbers
     of rows in each partition are counted, so none are gathered."""

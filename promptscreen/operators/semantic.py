@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import string
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,6 +94,41 @@ def top_two(scores: dict[str, Column]) -> Column:
     return F.array_join(F.transform(F.slice(ranked, 1, 2), lambda e: F.concat(e["n"], F.lit("="), F.format_string("%.3f", -e["s"]))), ", ")
 
 
+def projection_embedder(dimensions: int = 16, seed: str = "projection") -> Callable[[list[str]], list[list[float]]]:
+    """An embedder that needs no model: a text's words (runs of ASCII letters and digits, in lower case) each have a direction by their SHA-256 digest,
+    seeded, and the sum of these is scaled to length 1. Texts that share words are near each other. A text without words is at 0. At most 32 dimensions.
+    """
+    lower = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+    known: dict[str, np.ndarray] = {}
+
+    def direction(word: str) -> np.ndarray:
+        if word not in known:
+            if len(known) > 100_000:
+                known.clear()
+            known[word] = np.frombuffer(hashlib.sha256(f"{seed}:{word}".encode()).digest()[:dimensions], np.uint8) - 127.5
+        return known[word]
+
+    def embedder(texts: list[str]) -> list[list[float]]:
+        out = []
+        for t in texts:
+            v = sum((n * direction(w) for w, n in Counter(re.findall("[a-z0-9]+", t.translate(lower))).items()), np.zeros(dimensions))
+            length = np.sqrt(v @ v)
+            out.append((v / length if length else v).tolist())
+        return out
+
+    return embedder
+
+
+def example_intents(embedder: Callable[[list[str]], list], examples: dict[str, dict[str, list[str]]]) -> dict[str, dict[str, list[float]]]:
+    """Each intent's centroid: the mean of its examples' embeddings, scaled to length 1. A few texts, so on the driver."""
+
+    def centroid(texts: list[str]) -> list[float]:
+        m = np.mean(np.array(embedder(texts), np.float64), axis=0)
+        return (m / (np.linalg.norm(m) or 1.0)).tolist()
+
+    return {d: {i: centroid(texts) for i, texts in own.items()} for d, own in examples.items()}
+
+
 def sentence_embedder(path: str) -> Callable[[list[str]], list] | None:
     """An embedder of a sentence model in a folder, scaled to length 1 and loaded once in each worker; None where its library is not installed."""
     try:

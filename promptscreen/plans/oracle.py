@@ -255,14 +255,6 @@ def report_sql() -> str:
     return f"SELECT CAST(i - 1 AS INTEGER) AS i, lines[i] AS line FROM (SELECT [{', '.join(lines)}] AS lines FROM {evaluated_sql(LABELLED)}), unnest(range(1, {len(lines) + 1})) AS u(i)"
 
 
-#: What each environment of the query gives, written out.
-JUDGES = """SELECT * FROM (VALUES (CAST(0 AS INTEGER), NULL, NULL, '', NULL),
- (1, 'openai', 'https://api.openai.com/v1/chat/completions', 'Authorization', '{"messages": [{"content": "hi", "role": "user"}], "model": "gpt-4o-mini", "temperature": 0.2}'),
- (2, 'google', 'https://generativelanguage.googleapis.com/v1beta/models/gemini-2.5-flash:generateContent', 'x-goog-api-key', '{"contents": [{"parts": [{"text": "hi"}]}]}'),
- (3, NULL, NULL, '', NULL),
- (4, 'anthropic', 'https://api.anthropic.com/v1/messages', 'anthropic-version,x-api-key', '{"max_tokens": 1024, "messages": [{"content": "hi", "role": "user"}], "model": "m"}')) AS v(i, provider, url, headers, payload)"""
-
-
 def build() -> dict[str, str]:
     prompts, secrets = corpus_sql(PROMPTS), corpus_sql(SECRETS)
     docs, analyzed = gated_sql("documents", "*"), analyzed_sql(prompts)
@@ -312,7 +304,7 @@ def build() -> dict[str, str]:
         "analyze_summary": f"SELECT verdict, sure_of AS confidence, count(*) AS n, CAST(sum(risk_score) AS BIGINT) AS risk FROM {analyzed} GROUP BY 1, 2",
         "screen_prompts": f"SELECT conv_id, turn, CAST(kk AS INTEGER) AS k, verdict, {action_sql(block=blocking)} FROM {gated_sql(f'(SELECT conv_id, turn, k AS kk, text, verdict FROM {screened})')}",
         "judge_parse": judged_sql(),
-        "judge_prompts": f"SELECT {KEYS}, CAST(length('Assess:' || chr(10) || chr(10) || 'PROMPT TO ANALYZE:' || chr(10) || text) AS INTEGER) AS n FROM {corpus_sql(PROMPTS[:3])}",
+        "judge_prompts": f"SELECT {KEYS}, sha256('Assess:' || chr(10) || chr(10) || 'PROMPT TO ANALYZE:' || chr(10) || text) AS prompt_sha256 FROM {prompts}",
         "judge_merge": f"SELECT {KEYS}, CASE WHEN {ask} THEN {judged} THEN 33 ELSE risk_score END ELSE risk_score END AS risk_score, CASE WHEN {ask} THEN {judged} THEN 'MEDIUM_RISK' ELSE verdict END ELSE verdict END AS verdict, sure_of AS confidence, {ask} AND ({judged} THEN TRUE ELSE FALSE END) AS llm_used FROM {analyzed}",
         "judge_budget": f"WITH t AS (SELECT {KEYS}, text, row_number() OVER (PARTITION BY k % 2 ORDER BY conv_id, turn, k) AS i FROM {prompts}) SELECT conv_id, turn, k, k % 2 = 0 AND i > 15 AS limited, k % 2 = 0 AND i <= 15 AND length('Assess:' || chr(10) || chr(10) || 'PROMPT TO ANALYZE:' || chr(10) || text) % 2 = 1 AS answered FROM t",
         "mask_keys": f"SELECT doc_id, CASE WHEN length({key}) = 0 THEN '<unset>' WHEN length({key}) <= 8 THEN repeat('*', length({key})) ELSE substr({key}, 1, 3) || '...' || right({key}, 4) END AS masked FROM documents",
@@ -330,7 +322,6 @@ def build() -> dict[str, str]:
     }
     found = f"list_transform(k, lambda x: {kinds}[x.o + 1] || ':' || x.s || ':' || x.e || ':' || sha256(substr(text, x.s + 1, x.e - x.s)) || ':HIGH')"
     audited = f"SELECT sha256(text) AS payload_sha256, {action_sql()}, sha256(redacted) AS redacted_sha256, array_to_string({found}, ',') AS findings, 'SAFE' AS intent_verdict, CAST(0 AS INTEGER) AS risk_score, FALSE AS llm_used FROM {docs}"
-    one = "(VALUES " + ", ".join(f"({q(p)})" for p in SECRETS[:2] + PROMPTS[:2]) + ") AS v(text)"
     best = lambda own: "(SELECT array_to_string(list_transform(list_sort([" + ", ".join(f"{{'s': -{c}, 'n': {q(n)}}}" for n, c in own.items()) + "])[1:2], lambda e: e.n || '=' || printf('%.3f', -e.s)), ', '))"
     dims, at = {}, 0
     for d, own in P.INTENTS.items():
@@ -353,9 +344,6 @@ def build() -> dict[str, str]:
         "stream_audit": audited,
         "findings_json": f"SELECT doc_id, CAST(to_json(list_transform(k, lambda x: {{'dtype': {kinds}[x.o + 1], 'start': x.s, 'end': x.e, 'snippet': substr(text, x.s + 1, x.e - x.s), 'confidence': 'HIGH'}})) AS VARCHAR) AS findings FROM {docs}",
         "metrics_report": report_sql(),
-        "single_prompts": f"SELECT text AS prompt, CAST(risk_score AS INTEGER) AS risk_score, verdict FROM {analyzed_sql(f'(SELECT * FROM {one})')}",
-        "judge_environments": JUDGES,
-        "sem_embed": "SELECT doc_id, " + ", ".join(f"CAST(length(text) - length(replace(text, '{c}', '')) AS BIGINT) AS e{i}" for i, c in enumerate("aeo")) + " FROM documents",
         "sem_top_two": f"{SCORED.replace(', 6), 0)', ', 9), 0)')} SELECT vec_id, " + ", ".join(f"{best(own)} AS {d}" for d, own in dims.items() if len(own) > 1) + " FROM s",
         "fusion_reasons": f"SELECT event_id, {fusion_reason_sql()} AS reason FROM {fused_sql(RISKS)}",
         "stream_screen": f"SELECT doc_id, verdict, {action_sql(block=blocking)} FROM {gated_sql('(SELECT doc_id, text, verdict FROM ' + analyzed_sql('documents') + ')')}",

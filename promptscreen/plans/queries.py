@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -239,7 +238,7 @@ def judge_parse(spark, sf_dir: str) -> DataFrame:
 
 
 def judge_prompts(spark, sf_dir: str) -> DataFrame:
-    return corpus(spark, sf_dir, PROMPTS[:3]).select(*KEY, F.char_length(judge.judge_prompt(F.col("text"), "Assess:")).alias("n"))
+    return corpus(spark, sf_dir, PROMPTS).select(*KEY, T.payload_digest(judge.judge_prompt(F.col("text"), "Assess:")).alias("prompt_sha256"))
 
 
 def judge_merge(spark, sf_dir: str) -> DataFrame:
@@ -380,12 +379,6 @@ def metrics_report(spark, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, x) for i, x in enumerate(E.report(row.asDict()).split("\n"))], "i int, line string")
 
 
-def single_prompts(spark, sf_dir: str) -> DataFrame:
-    """Prompts given one at a time."""
-    rows = [analyze(tables.single_prompt(spark, p), "prompt", explain=False).select("prompt", "risk_score", "verdict") for p in SECRETS[:2] + PROMPTS[:2]]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
-
-
 def _reported(spark, sf_dir: str) -> DataFrame:
     from .analyze import result
 
@@ -409,25 +402,6 @@ def metrics_html(spark, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(views.report_html(E.report(row.asDict())),)], "html string")
 
 
-ENVIRONMENTS = [{}, {"OPENAI_API_KEY": "a"}, {"OPENROUTER_API_KEY": "b", "GEMINI_API_KEY": "c"}, {"LLM_PROVIDER": "anthropic", "OPENAI_API_KEY": "a"}, {"LLM_PROVIDER": "anthropic", "ANTHROPIC_API_KEY": "d", "LLM_MODEL": "m"}]
-
-
-def judge_environments(spark, sf_dir: str) -> DataFrame:
-    """The judge that each of a few environments asks for, and what it would send."""
-    rows = []
-    for i, env in enumerate(ENVIRONMENTS):
-        j = judge.judge_from_env(env=env)
-        url, headers, payload = j.request("hi") if j else (None, {}, None)
-        rows.append((i, j and j.provider, url, ",".join(sorted(headers)), payload and json.dumps(payload, sort_keys=True)))
-    return spark.createDataFrame(rows, "i int, provider string, url string, headers string, payload string")
-
-
-def sem_embed(spark, sf_dir: str) -> DataFrame:
-    """Embeddings by a function of batches of texts: here a count of a few letters."""
-    seen = semantic.embed(documents(spark, sf_dir).select("doc_id", "text"), "text", lambda texts: [[t.count(c) for c in "aeo"] for t in texts], "e")
-    return seen.select("doc_id", *[F.col("e")[i].cast("long").alias(f"e{i}") for i in range(3)])
-
-
 def sem_top_two(spark, sf_dir: str) -> DataFrame:
     """The best two of each dimension's intents that has two."""
     rows, scores = _scored(spark, sf_dir, places=9)
@@ -499,6 +473,6 @@ QUERIES = {f"det_{n.lower()}": _detector(n) for n, _ in P.DETECTORS} | {
         beh_flags, beh_first_pattern, beh_score, sem_fallback, trf_fallback, trf_score, sem_centroid, sem_cosine, sem_rules, sem_confidence, fuse, triage, analyze_prompts,
         analyze_documents, analyze_summary, analyze_explained, screen_prompts, judge_parse, judge_prompts, judge_merge, judge_budget, mask_keys, provider_parse, rate_limit, rate_limit_hot, rate_status,
         verdict_normalize, verdict_correct, eval_metrics, eval_latency, prompt_truncate, results_rows, csv_roundtrip,
-        results_sink, audit_sink, findings_json, metrics_report, single_prompts, judge_environments, sem_embed, sem_top_two, fusion_reasons, stream_screen, stream_audit, stream_limit, view_html, view_trace, metrics_html,
+        results_sink, audit_sink, findings_json, metrics_report, sem_top_two, fusion_reasons, stream_screen, stream_audit, stream_limit, view_html, view_trace, metrics_html,
     )
 } | {f"obf_{n}": _technique(n) for n in normalize.TECHNIQUES}

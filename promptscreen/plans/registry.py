@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import oracle, queries, relations
+from . import models, oracle, queries, relations
 
-QUERIES = {**queries.QUERIES, **relations.QUERIES}
-SQL = {**oracle.SQL, **relations.SQL}
+QUERIES = {**queries.QUERIES, **relations.QUERIES, **models.QUERIES}
+SQL = {**oracle.SQL, **relations.SQL, **models.SQL}

@@ -16,16 +16,22 @@ def read_prompts(spark: SparkSession, path: str) -> DataFrame:
     """
     df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', emptyValue="")
     if not df.columns or df.isEmpty():
-        raise ValueError("CSV file is empty")
+        raise ValueError("no rows in the CSV file")
     if "prompt" not in df.columns:
-        raise ValueError("CSV must have 'prompt' column")
+        raise ValueError("the CSV file needs a column named prompt")
     expected = F.coalesce(F.col("expected_verdict"), F.lit("")) if "expected_verdict" in df.columns else F.lit("")
     return df.withColumns({"prompt": F.coalesce("prompt", F.lit("")), "expected_verdict": expected})
 
 
+def nonblank(df: DataFrame, col: str) -> DataFrame:
+    """Rows whose prompt has anything but white space; a null is blank."""
+    return df.where(F.coalesce(F.col(col).rlike(r"(?U)\S"), F.lit(False)))
+
+
 def single_prompt(spark: SparkSession, prompt: str) -> DataFrame:
+    """One prompt as a table; a blank one is an error."""
     if not (prompt or "").strip():
-        raise ValueError("Please enter a prompt")
+        raise ValueError("the prompt is blank")
     return spark.createDataFrame([(prompt,)], "prompt string")
 
 
