@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import catalog
 from ..functions import patterns as P
 from ..functions.text import payload_digest
 from ..operators import injection, semantic
+from ..operators.gate import gate
 from ..operators.judge import judge_from_env, requests
 from ..sources import tables
+from ..streaming.screening import audit_once, read_audit
 from .analyze import Screening, analyze
 from .corpus import PROMPTS, corpus, corpus_sql
 from .oracle import KEYS, RULE_1, RULE_2, analyzed_sql, q
-from .queries import KEY, documents
+from .oracle import SQL as BASE
+from .queries import AUDIT, KEY, _audited, _finished, _new_folder, _stream, documents
 
 DIMENSIONS, SEED = 16, "projection"
 
@@ -79,7 +85,23 @@ def judge_switched(spark, sf_dir: str) -> DataFrame:
     return first.unionByName(second).unionByName(third(2))
 
 
-QUERIES = {f.__name__: f for f in (sem_embed, sem_model, trf_classify, single_prompts, judge_environments, judge_switched)}
+def gate_sql(spark, sf_dir: str) -> DataFrame:
+    """The gate written as SQL text, with the functions of the session's catalogue."""
+    catalog.register(spark)
+    view = f"documents_{uuid.uuid4().hex}"
+    documents(spark, sf_dir).select("doc_id", "text").createTempView(view)
+    return spark.sql(catalog.GATE.format(documents=view))
+
+
+def stream_audit_once(spark, sf_dir: str) -> DataFrame:
+    """Documents as a stream, gated; of payloads that come again one audit record."""
+    out, ck = _new_folder(spark, "audit-once"), _new_folder(spark, "checkpoint")
+    rows = _stream(spark, sf_dir, "documents").select("text", F.timestamp_seconds(F.pmod("doc_id", F.lit(1000))).alias("at"))
+    _finished(audit_once(gate(rows), out, ck, "at", "1 day", snippets="sha256").trigger(availableNow=True).start())
+    return _audited(read_audit(spark, out, AUDIT))
+
+
+QUERIES = {f.__name__: f for f in (sem_embed, sem_model, trf_classify, single_prompts, judge_environments, judge_switched, gate_sql, stream_audit_once)}
 
 
 def _embedded_sql(rows: str, keys: str) -> str:
@@ -121,6 +143,8 @@ def _sql() -> dict[str, str]:
     pick = lambda n: "CASE env " + " ".join(f"WHEN {i} THEN {q(x[n])}" for i, x in sent.items()) + " END"
     asks = "NOT early AND NOT (risk >= 85 AND confidence = 'HIGH') AND conv_id % 3 < 2"
     return {
+        "gate_sql": BASE["gate_decision"],
+        "stream_audit_once": f"SELECT DISTINCT * FROM ({BASE['audit_sink']})",
         "sem_embed": f"SELECT doc_id, {', '.join(f'round(e{i}, 5) AS e{i}' for i in range(DIMENSIONS))} FROM {_embedded_sql('documents', 'doc_id')}",
         "sem_model": f"SELECT conv_id, turn, k, s0, s1, s2, s3, s4, CAST(CASE WHEN {RULE_1} THEN 95 WHEN {RULE_2} THEN 90 WHEN s1 > 0.75::DOUBLE THEN 60 WHEN s2 > 0.7::DOUBLE THEN 55 ELSE 0 END AS INTEGER) AS semantic_risk, array_to_string(list_filter([CASE WHEN {RULE_1} THEN 'Training Data Exfiltration' END, CASE WHEN {RULE_2} THEN 'Unfiltered PII Request' END], lambda x: x IS NOT NULL), ',') AS rules FROM (SELECT conv_id, turn, k, {scores} FROM {rows})",
         "trf_classify": f"SELECT conv_id, turn, k, x > 0.3::DOUBLE AS is_injection, round(c, 6) AS injection_confidence, CAST(CASE WHEN x > 0.3::DOUBLE AND c > 0.8::DOUBLE THEN 80 WHEN x > 0.3::DOUBLE THEN 60 ELSE 0 END AS INTEGER) AS injection_risk FROM (SELECT *, least(1, 0.5::DOUBLE + abs(x - 0.3::DOUBLE)) AS c FROM (SELECT conv_id, turn, k, {near} AS x FROM {exact}))",

@@ -100,3 +100,23 @@ def admit_stream(stream: DataFrame, key_col: str, ts_col: str, id_col: str, limi
     """
     rows = stream.withWatermark(ts_col, delay).select(F.col(key_col).cast("string").alias("key"), F.col(id_col).cast("long").alias("id"), F.unix_micros(F.col(ts_col).cast("timestamp")).alias("t"))
     return rows.groupBy("key").transformWithStateInPandas(Limiter(limit, seconds, slice_seconds), LIMITED, "append", "EventTime")
+
+
+def audit_once(decided: DataFrame, path: str, checkpoint: str, ts_col: str, delay: str, text_col: str = "text", snippets: str = "mask"):
+    """Audit records of a stream, each payload once within the delay, however often it comes and however often a batch is replayed.
+
+    Payloads are told apart by their digest, in state that goes as the watermark passes. Each batch has a folder of its own by its number, which a
+    replay of that batch writes anew: so a query that died between writing and noting it leaves nothing twice, and half a batch is not kept.
+    """
+    rows = decided.withWatermark(ts_col, delay)
+    once = rows.withColumn("payload_sha256", F.sha2(F.col(text_col), 256)).dropDuplicatesWithinWatermark(["payload_sha256"]).drop("payload_sha256")
+
+    def write(batch: DataFrame, number: int) -> None:
+        audit_rows(batch, text_col, snippets).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/batch={number}")
+
+    return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def read_audit(spark, path: str, schema: str) -> DataFrame:
+    """Records that audit_once has written, in whatever batches."""
+    return spark.read.schema(schema).json(f"{path}/batch=*")
