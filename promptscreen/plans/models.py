@@ -96,7 +96,7 @@ def gate_sql(spark, sf_dir: str) -> DataFrame:
 def stream_audit_once(spark, sf_dir: str) -> DataFrame:
     """Documents as a stream, gated; of payloads that come again one audit record."""
     out, ck = _new_folder(spark, "audit-once"), _new_folder(spark, "checkpoint")
-    rows = _stream(spark, sf_dir, "documents").select("text", F.timestamp_seconds(F.pmod("doc_id", F.lit(1000))).alias("at"))
+    rows = _stream(spark, sf_dir, "documents").select("text", F.timestamp_seconds(F.pmod("doc_id", F.lit(1000)) + 1_700_000_000).alias("at"))
     _finished(audit_once(gate(rows), out, ck, "at", "1 day", snippets="sha256").trigger(availableNow=True).start())
     return _audited(read_audit(spark, out, AUDIT))
 
