@@ -18,7 +18,7 @@ def test_read_prompts(spark, tmp_path):
     with pytest.raises(ValueError, match="prompt"):
         tables.read_prompts(spark, str(tmp_path / "q.csv"))
     (tmp_path / "e.csv").write_text("prompt\n")
-    with pytest.raises(ValueError, match="empty"):
+    with pytest.raises(ValueError, match="no rows"):
         tables.read_prompts(spark, str(tmp_path / "e.csv"))
     with pytest.raises(ValueError):
         tables.single_prompt(spark, "  ")
