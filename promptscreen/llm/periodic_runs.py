@@ -130,11 +130,12 @@ class Runs:
             ps = ps[z[ps] >= np.maximum(ps, 3 - ps)]
             while len(ps := ps[self.new(mid, ps, backwards)]):
                 q = int(ps[0])
-                self.extend(int(mid) - 2 * q if backwards else int(mid), q)
-                ps = ps[1:]
+                begin, end = self.extend(int(mid) - 2 * q if backwards else int(mid), q)
+                # Longer squares in this stretch give it again, also where a longer stretch keeps it out of what is known.
+                ps = ps[(mid - 2 * ps < begin) if backwards else (mid + 2 * ps > end)]
 
-    def extend(self, at: int, q: int) -> None:
-        """Takes the square of period q at a place as far as the period holds."""
+    def extend(self, at: int, q: int) -> tuple[int, int]:
+        """Takes the square of period q at a place as far as the period holds: the stretch's ends."""
         end = at + q + same(self.ahead, at, at + q)
         begin = at - same(self.back, self.n - at - q, self.n - at)
         begin, end = max(begin, 0), min(end, self.n)
@@ -144,6 +145,7 @@ class Runs:
             known[part][longer] = value
         if end - begin >= max(LEAST, EXPONENT * q):
             self.found[begin, end] = min(q, self.found.get((begin, end), q))
+        return begin, end
 
 
 def runs_of(texts: list[list[bytes]]) -> list[list[tuple[int, int, int]]]:
