@@ -10,7 +10,8 @@ from window to window.
 
 Ids are those of the tokenizer file. Where that file is a plain byte-level BPE
 whose ids follow its merges, they are made with the same vocabulary as ranks,
-about four times as fast; the two ways are compared once in each worker.
+about four times as fast; the two ways are compared once in each worker. Strings of
+added tokens inside a text are those tokens, as the library has it by default.
 
 Defined results. A null text is an empty one; an empty text is one piece of
 length 1, the closing id. Rows that repeat are packed as rows of their own. A
@@ -87,11 +88,10 @@ def _byte_chars() -> dict[str, int]:
 
 @functools.cache
 def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """Texts to ids by the tokenizer file; no special tokens are added, and their strings are ordinary text."""
+    """Texts to ids by the tokenizer file; no special tokens are added, and their strings inside texts are what the library makes of them."""
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
 
     def slow(texts: list[str]) -> list[list[int]]:
         return [x.ids for x in exact.encode_batch(texts, add_special_tokens=False)]
@@ -103,15 +103,15 @@ def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
         return slow
     import tiktoken
 
-    chars, special = _byte_chars(), {x["content"] for x in spec.get("added_tokens", [])}
+    chars, special = _byte_chars(), {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
     ranks = {bytes(chars[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-    ranked = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    ranked = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
     def fast(texts: list[str]) -> list[list[int]]:
         out = []
         for text in texts:
             try:
-                out.append(ranked.encode_ordinary(text))
+                out.append(ranked.encode(text, allowed_special="all") if any(x in text for x in special) else ranked.encode_ordinary(text))
             except BaseException as e:
                 # Its regex engine gives up on some very long runs, by a panic, which is no Exception; anything else is an error.
                 if type(e).__name__ != "PanicException":
@@ -119,7 +119,8 @@ def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
                 out += slow([text])
         return out
 
-    return fast if fast(PROBE) == slow(PROBE) else slow
+    probe = PROBE + [f"{a}{x}{b}" for x in special for a in ("", "a ", "b\n") for b in ("", " c", "d", x)]
+    return fast if fast(probe) == slow(probe) else slow
 
 
 def pieces_of(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:

@@ -14,7 +14,6 @@ def plain(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(str(public_tokenizers.path(packing.TOKENIZER)))
-    t.encode_special_tokens = True
     return [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -39,3 +38,11 @@ def test_errors_are_not_hidden():
     encode = packing.encoder(str(public_tokenizers.path(packing.TOKENIZER)))
     with pytest.raises(TypeError):
         encode([None])
+
+
+def test_strings_of_added_tokens():
+    """As the library has it: ids of their own, and what stands around them is split apart."""
+    encode = packing.encoder(str(public_tokenizers.path(packing.TOKENIZER)))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", "x<|endoftext|>y", "<|endoftext", "a  <|endoftext|>\n\n'll " * 300]
+    assert encode(texts) == plain(texts)
+    assert encode.__name__ == "fast" and encode(texts)[0] == [64, 220, 50256, 275]
