@@ -7,16 +7,17 @@ go together, and what kind of file the text is. The best path is found by Viterb
 may have several tokens (parts joined by dots, the lines of a key), and what is found
 beyond the base is added.
 
-Tokens are tagged within WINDOW characters of a trigger: a word that speaks of secrets
-(CUES), or a run of 12 or more characters with letters and digits. All tokens there may get
-any tag, short ones and those of letters or digits alone too. Everything farther from
-any trigger is outside: that is the scan's assumption, for such a text gives no hint.
-A window begins with the move out of OUTSIDE, so decoding windows one by one is
-decoding the whole text with the rest of it held outside.
+Every token of a text may get any tag, wherever it stands. The best path of the whole text is
+found in two steps, exactly: for each token a bound, from sums over the text in arrays, says
+what a path that leaves OUTSIDE around it can gain at most. Where that is nothing the token
+is outside on the best path, and Viterbi decodes the stretches between such tokens.
+
+What of a secret a base span leaves over (a tail behind a mark that its pattern does not
+know) is a span of the field beside it.
 
 The field is trained here: on texts made by a seeded generator (assignments, headers,
-connection strings, keys of common forms, keys of several lines; prose, values that are none, numbers,
-dates, paths, addresses without secrets) by gradient steps on the exact likelihood.
+connection strings, keys of common forms, keys of several lines, passwords with marks inside, of letters alone
+or on a line of their own; prose, values that are none, numbers, dates, paths, addresses without secrets) by gradient steps on the exact likelihood.
 
 Defined results. A null text is an empty one: no spans. Offsets are code points, the
 end exclusive. Base spans may overlap those of another kind; a span of the field
@@ -26,6 +27,7 @@ An empty table gives no rows. Columns not named are not read.
 
 from __future__ import annotations
 
+import collections
 import functools
 import random
 import re
@@ -47,19 +49,19 @@ KINDS = ("assign", "access", "hex", "crf")
 
 #: A token: a run of word and key characters with its padding, a line end, or a mark, repeated or not.
 TOKEN = re.compile(r"\n|\w[\w+/~\-]*(?:==?(?![\w=]))?|([^\w\s])\1*")
-#: Words that speak of secrets, in lower case, and runs of 12 or more key characters with a letter and a digit.
-CUES = ("pass", "pwd", "secret", "token", "key", "auth", "cred", "bearer", "login", "private", "cookie", "signature", "pin ", "pin:", "pin=", " -u ", "://")
-CUE = re.compile("|".join(map(re.escape, CUES[:-1])) + r"|://[^\s/:@]*+:(?=[^\s/@]++@)")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z0-9+/_=\-]{12})(?=[A-Za-z+/_=\-]*+[0-9])(?=[0-9+/_=\-]*+[A-Za-z])[A-Za-z0-9+/_=\-]++")
-WINDOW = 96
+#: Words that speak of secrets, in lower case.
+CUES = ("pass", "pwd", "secret", "token", "key", "auth", "cred", "bearer", "login", "private", "cookie", "signature", "pin:")
+CUE = re.compile("|".join(map(re.escape, CUES)))
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
-#: Hashed features, and those of how a token's class, the mark before it and a cue nearby go together.
-BITS, CLASSES, BEFORE = 15, 16, 6
-FEATURES = (1 << BITS) + CLASSES * BEFORE * 2
+#: Hashed features, and those of how a token's class goes together with the mark before it and a cue nearby, and with what it touches, quotes around it and a cue.
+BITS, CLASSES, BEFORE = 15, 17, 6
+MARKED, TOUCHING = CLASSES * BEFORE * 2, CLASSES * 16
+FEATURES = (1 << BITS) + MARKED + TOUCHING
 #: Places of words around a token that are features, and in how many tokens before it a cue is near.
 PLACES, NEAR = (-3, -2, -1, 1, 2), 6
-EDGE = ""
-SPACE, WHOLE = re.compile(r"\s"), re.compile(r"\S*")
+EDGE, NEVER, RARE = "", -1e6, "<rare>"
+DIGIT, DATE = re.compile("[0-9]"), re.compile(r"(19|20)[0-9][0-9][-_/]?[01][0-9]")
+NO_QUOTE, QUOTES = 0, {'"': 1, "'": 2, "`": 3}
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -71,6 +73,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+@functools.lru_cache(1 << 16)
 def index(feature: str) -> int:
     return (zlib.crc32(feature.encode("utf-8", "surrogatepass")) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - BITS)
 
@@ -82,36 +85,41 @@ def file_features(text: str) -> list[int]:
     return [index(x) for x in (f"file:assign{rate('=')}", f"file:brace{rate('{')}", f"file:colon{rate(': ')}", f"file:line{rate(chr(10))}")]
 
 
-def shape(token: str) -> list[str]:
-    """Features of a token by itself."""
+def shape(token: str, vocabulary: frozenset[str] | None = None) -> list[str]:
+    """Features of a token by itself; as a word only if it is in the vocabulary."""
     n, low = len(token), token.lower()
     if not (token[:1].isalnum() or "_" in token[:1]):
         return [f"mark:{token[:3]}", "bias"]
-    digits, upper = sum(map(str.isdigit, token)), sum(map(str.isupper, token))
-    letters = sum(map(str.isalpha, token))
+    plain = token.isalpha() and token.islower()
+    digits, upper, letters = (0, 0, n) if plain else tuple(sum(map(f, token)) for f in (str.isdigit, str.isupper, str.isalpha))
     kinds = "".join(k for k, has in zip("luds", (letters > upper, upper, digits, letters + digits < n)) if has)
-    out = [f"len:{min(n, 8) if n < 9 else 9 + min(n // 4, 12)}", f"kinds:{kinds}", f"kinds:{kinds}:{min(n // 6, 5)}", f"head:{re.sub('[0-9]', '9', token[:4])}", "bias"]
-    if letters and n <= 16:
+    out = [f"ascii:{token.isascii()}", f"len:{min(n, 8) if n < 9 else 9 + min(n // 4, 12)}", f"kinds:{kinds}", f"kinds:{kinds}:{min(n // 6, 5)}", "bias"]
+    if not plain:
+        out.append(f"head:{DIGIT.sub('9', token[:4])}")
+    if letters and n <= 16 and (vocabulary is None or low in vocabulary):
         out.append(f"word:{low}")
     if n >= 6:
-        turns = sum(a.isdigit() != b.isdigit() or a.isupper() != b.isupper() for a, b in zip(token, token[1:])) / n
-        vowels = sum(c in "aeiouy" for c in low) / max(1, letters)
+        turns = 0 if plain else sum(a.isdigit() != b.isdigit() or a.isupper() != b.isupper() for a, b in zip(token, token[1:])) / n
+        vowels = sum(map(low.count, "aeiouy")) / max(1, letters)
         out += [f"digit:{int(5 * digits / n)}", f"upper:{int(5 * upper / n)}", f"distinct:{int(5 * len(set(token)) / n)}", f"turns:{int(8 * turns)}", f"vowels:{int(8 * vowels)}"]
         out += [f"hex:{not low.strip('0123456789abcdef')}", f"slash:{min(token.count('/'), 3)}", f"dash:{min(token.count('-'), 5)}", f"under:{min(token.count('_'), 3)}"]
-        if re.match(r"(19|20)[0-9][0-9][-_/]?[01][0-9]", token):
+        if not plain and DATE.match(token):
             out.append("date")
     return out
 
 
-def word(token: str) -> str:
+def word(token: str, vocabulary: frozenset[str] | None = None) -> str:
     """What a token is to its neighbours."""
     if token.isalpha() and len(token) <= 16 or not token[:1].isalnum():
-        return token.lower()[:16]
+        low = token.lower()[:16]
+        return low if vocabulary is None or low in vocabulary else RARE
     return f"<{'9' if token.isdigit() else 'x'}{min(len(token) // 8, 4)}>"
 
 
 def kind(token: str) -> int:
-    """Class of a token, below CLASSES: its length and what it is made of."""
+    """Class of a token, below CLASSES: its length and what it is made of, or that it is a mark."""
+    if not (token[:1].isalnum() or token[:1] == "_"):
+        return CLASSES - 1
     size = min(3, len(token) // 6)
     made = 0 if token.islower() and token.isalpha() else 1 if token.isdigit() else 2 if token.isalpha() else 3
     return 4 * size + made
@@ -125,59 +133,85 @@ def mark(token: str) -> int:
 class Tokens:
     """What is known of each distinct token: its features' indices, class, mark and whether it is a cue."""
 
-    def __init__(self) -> None:
+    def __init__(self, vocabulary: frozenset[str] | None = None) -> None:
+        self.vocabulary = vocabulary
         self.known: dict[str, int] = {}
+        self.alike: dict[tuple, tuple] = {}
         self.shapes: list[list[int]] = []
         self.around: list[list[int]] = []  # index for each of PLACES
         self.facts: list[tuple[int, int, bool]] = []
 
-    def add(self, token: str) -> int:
-        self.known[token] = at = len(self.shapes)
-        self.shapes.append([index(f) for f in shape(token)] if token else [])
-        self.around.append([index(f"at{p}:{word(token)}") for p in PLACES])
-        self.facts.append((kind(token), mark(token), bool(CUE.search(f"{token.lower()}:"))))
-        return at
+    def add(self, token: str) -> None:
+        """Unknown words in lower case differ by a few numbers only, so what is made for one serves all that agree in them."""
+        self.known[token] = len(self.shapes)
+        key = None
+        if self.vocabulary is not None and token.isalpha() and token.islower() and token not in self.vocabulary and not CUE.search(token):
+            n = len(token)
+            key = (n, token.isascii()) if n < 6 else (n, token.isascii(), len(set(token)), sum(map(token.count, "aeiouy")), not token.strip("abcdef"))
+            if key in self.alike:
+                row = self.alike[key]
+                self.shapes.append(row[0])
+                self.around.append(row[1])
+                self.facts.append(row[2])
+                return
+        shapes = [index(f) for f in shape(token, self.vocabulary)] if token else []
+        name = word(token, self.vocabulary)
+        around = [index(f"at{p}:{name}") for p in PLACES]
+        facts = (kind(token), mark(token), bool(CUE.search(f"{token.lower()}:")))
+        self.shapes.append(shapes)
+        self.around.append(around)
+        self.facts.append(facts)
+        if key is not None:
+            self.alike[key] = (shapes, around, facts)
 
     def ids(self, tokens: list[str]) -> np.ndarray:
-        known = self.known
-        return np.fromiter((known[t] if t in known else self.add(t) for t in tokens), np.int64, len(tokens))
+        for t in {t: None for t in tokens if t not in self.known}:
+            self.add(t)
+        return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
 
-    def together(self, ids: np.ndarray, facts: np.ndarray) -> np.ndarray:
-        """For each token of a window the index of the feature of its class, the mark before it and a cue nearby."""
+    def together(self, ids: np.ndarray, facts: np.ndarray, touch: np.ndarray, quoted: np.ndarray) -> np.ndarray:
+        """For each token of a text the indices of the two features that join its class with what is around it."""
         own = facts[ids]
         places = np.arange(len(ids))
         last = np.maximum.accumulate(np.where(own[:, 2] > 0, places, -NEAR - 1))
         near = np.concatenate([[False], places[1:] - last[:-1] <= NEAR])
         before = np.concatenate([[0], own[:-1, 1]])
-        return (1 << BITS) + (own[:, 0] * BEFORE + before) * 2 + near
-
-
-def windows(text: str) -> list[tuple[int, int]]:
-    """Where tokens are tagged: around triggers, from one white space to another where there is one near."""
-    low = text.lower()
-    found = [m.span() for m in RUN.finditer(text)]
-    if any(c in low for c in CUES):
-        # Lower case of a few letters is longer; then letters outside ASCII are left as they are.
-        low = low if len(low) == len(text) else re.sub("[A-Z]+", lambda m: m[0].lower(), text)
-        found = sorted(found + [m.span() for m in CUE.finditer(low)])
-    out: list[list[int]] = []
-    for s, e in found:
-        lo, hi = max(0, s - WINDOW), min(len(text), e + WINDOW)
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(hi, out[-1][1])
-        else:
-            out.append([lo, hi])
-    edges: list[tuple[int, int]] = []
-    for lo, hi in out:
-        if lo and (m := SPACE.search(text, lo, lo + WINDOW)):
-            lo = m.end()
-        if hi < len(text):
-            hi = WHOLE.match(text, hi, hi + WINDOW).end()
-        if edges and lo < edges[-1][1]:
-            edges[-1] = (edges[-1][0], max(hi, edges[-1][1]))
-        else:
-            edges.append((lo, hi))
-    return edges
+        after = np.concatenate([touch[1:], [False]])
+        first = (1 << BITS) + (own[:, 0] * BEFORE + before) * 2 + near
+        return np.stack([first, (1 << BITS) + MARKED + own[:, 0] * 16 + touch * 8 + after * 4 + quoted * 2 + near], axis=1)
+
+
+def cut(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Tokens, their starts and ends."""
+    spans = [m.span() for m in TOKEN.finditer(text)]
+    at = np.array(spans, np.int64).reshape(-1, 2)
+    return [text[s:e] for s, e in spans], at[:, 0], at[:, 1]
+
+
+def surroundings(tokens: list[str], starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token whether it touches the one before, and whether it stands in quotes that its line opens.
+
+    A quote opens where no word touches it from the left; the next one of its kind closes it, and a line's end does.
+    """
+    touch = np.concatenate([[False], starts[1:] == ends[:-1]]) if len(tokens) else np.zeros(0, bool)
+    quoted, now, since = np.zeros(len(tokens), bool), NO_QUOTE, 0
+    for i, token in enumerate(tokens):
+        if token == "\n":
+            now = NO_QUOTE
+        elif token in QUOTES:
+            if now == QUOTES[token]:
+                quoted[since:i], now = True, NO_QUOTE
+            elif now == NO_QUOTE and not (touch[i] and tokens[i - 1][:1].isalnum()):
+                now, since = QUOTES[token], i + 1
+    return touch, quoted
+
+
+def barred(classes: np.ndarray, touch: np.ndarray) -> np.ndarray:
+    """What no secret does: it has no white space inside but line ends, and no mark that stands off what follows begins it."""
+    out = np.zeros((len(classes), 3))
+    out[~touch, INSIDE] = NEVER
+    out[(classes == CLASSES - 1) & ~np.concatenate([touch[1:], [False]]), BEGIN] = NEVER
+    return out
 
 
 class Field:
@@ -186,14 +220,16 @@ class Field:
     def __init__(self) -> None:
         self.emit = np.zeros((FEATURES, 3))
         self.move = np.zeros((3, 3))
+        self.vocabulary: frozenset[str] = frozenset()
         self.reset()
 
     def reset(self) -> None:
         """Forgets what was derived from the weights."""
-        self.tokens, self.table, self.facts = Tokens(), np.zeros((0, 3 + 3 * len(PLACES))), np.zeros((0, 3), np.int64)
+        self.tokens, self.size = Tokens(self.vocabulary), 0
+        self.table, self.facts = np.zeros((4096, 3 + 3 * len(PLACES))), np.zeros((4096, 3), np.int64)
 
     def __getstate__(self) -> dict:
-        return {"emit": self.emit, "move": self.move}
+        return {"emit": self.emit, "move": self.move, "vocabulary": self.vocabulary}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -204,23 +240,32 @@ class Field:
         move[OUTSIDE, INSIDE] = -1e9
         return move
 
-    def scores(self, tokens: list[str], file: list[int]) -> np.ndarray:
-        """Score of each tag at each token of a window. Sums over distinct tokens are made once and looked up."""
-        if len(self.tokens.known) > 100_000:
+    def scores(self, tokens: list[str], file: list[int], touch: np.ndarray, quoted: np.ndarray) -> np.ndarray:
+        """Score of each tag at each token of a text. Sums over distinct tokens are made once and looked up."""
+        if len(self.tokens.known) > 200_000:
             self.reset()
         own = self.tokens
         ids = own.ids([EDGE, *tokens])
-        if len(own.shapes) > len(self.table):
-            new = range(len(self.table), len(own.shapes))
-            rows = [np.concatenate([self.emit[own.shapes[i]].sum(axis=0), self.emit[own.around[i]].ravel()]) for i in new]
-            self.table = np.concatenate([self.table, rows])
-            self.facts = np.concatenate([self.facts, np.array([own.facts[i] for i in new], np.int64)])
+        if (size := len(own.shapes)) > self.size:
+            if size > len(self.table):  # twice the room, so that rows are copied a few times only
+                room = np.zeros(2 * size - self.size, np.int64)
+                self.table, self.facts = np.concatenate([self.table[: self.size], np.zeros((len(room), self.table.shape[1]))]), np.concatenate([self.facts[: self.size], np.stack([room] * 3, axis=1)])
+            new = slice(self.size, size)
+            counts = np.array([len(x) for x in own.shapes[new]])
+            flat = self.emit[np.array([i for x in own.shapes[new] for i in x], np.int64)]
+            sums = np.concatenate([np.zeros((1, 3)), np.cumsum(flat, axis=0)])
+            ends = np.cumsum(counts)
+            self.table[new, :3] = sums[ends] - sums[ends - counts]
+            self.table[new, 3:] = self.emit[np.array(own.around[new], np.int64)].reshape(size - self.size, -1)
+            self.facts[self.size : size] = own.facts[self.size :]
+            self.size = size
         edge, ids = ids[0], ids[1:]
-        out = self.table[ids, :3] + self.emit[file].sum(axis=0) + self.emit[own.together(ids, self.facts)]
+        both = own.together(ids, self.facts, touch, quoted)
+        out = self.table[ids, :3] + self.emit[file].sum(axis=0) + self.emit[both[:, 0]] + self.emit[both[:, 1]]
         wide = np.concatenate([np.full(3, edge), ids, np.full(2, edge)])
         for k, p in enumerate(PLACES):
             out += self.table[wide[3 + p : 3 + p + len(ids)], 3 + 3 * k : 6 + 3 * k]
-        return out
+        return out + barred(self.facts[ids, 0], touch)
 
     def viterbi(self, scores: np.ndarray) -> list[int]:
         """The best path. Plain numbers: for three tags that is faster than arrays."""
@@ -243,58 +288,97 @@ class Field:
             path.append(step[path[-1]])
         return path[::-1]
 
+    def stretches(self, scores: np.ndarray) -> list[tuple[int, int]]:
+        """Where the best path may leave OUTSIDE; everywhere else it does not.
+
+        Against a path that stays outside, one that leaves gains at each token what its tag scores more and its move costs less.
+        From below, gains are summed up to a token from the best beginning (so_far) and from it to the best end (to_come).
+        """
+        move, n = self.legal(), len(scores)
+        gain = scores[:, 1:] - scores[:, :1] - move[OUTSIDE, OUTSIDE]
+        begin = gain[:, 0] + move[OUTSIDE, BEGIN]
+        going = np.maximum(gain[:, 0] + max(move[BEGIN, BEGIN], move[INSIDE, BEGIN]), gain[:, 1] + max(move[BEGIN, INSIDE], move[INSIDE, INSIDE]))
+        leave = np.full(n, max(move[BEGIN, OUTSIDE], move[INSIDE, OUTSIDE]) - move[OUTSIDE, OUTSIDE])
+        leave[-1] = 0.0
+        total = np.cumsum(going)
+        so_far = total + np.maximum.accumulate(begin - total)
+        to_come = np.maximum.accumulate((total + leave)[::-1])[::-1] - total
+        maybe = np.concatenate([[False], so_far + to_come > -1e-6, [False]])
+        edges = np.flatnonzero(maybe[1:] != maybe[:-1])
+        return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+
+    def decode(self, scores: np.ndarray) -> list[tuple[int, int]]:
+        """The best path of a text as its secrets: first and last token of each."""
+        out: list[list[int]] = []
+        end = np.array([[0.0, -1e18, -1e18]])
+        for a, b in self.stretches(scores) if len(scores) else ():
+            # A stretch inside the text is followed by a token that is outside.
+            path = self.viterbi(scores[a:b] if b == len(scores) else np.concatenate([scores[a:b], end]))
+            for i, tag in enumerate(path, a):
+                if tag == BEGIN:
+                    out.append([i, i])
+                elif tag == INSIDE:
+                    out[-1][1] = i
+        return [(a, b) for a, b in out]
+
     def gradient(self, scores: np.ndarray, tags: np.ndarray, length: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Loss, and expected less observed of each place's tags and of moves, by forward and backward sums over chains side by side.
 
         scores: chains x places x 3, tags: chains x places, length: of each chain.
         """
-        move = self.legal()
-        n, t, _ = scores.shape
-        a, b = np.full((n, t, 3), -1e9), np.zeros((n, t, 3))
-        a[:, 0] = move[OUTSIDE] + scores[:, 0]
-        for k in range(1, t):
-            a[:, k] = scores[:, k] + np.logaddexp.reduce(a[:, k - 1, :, None] + move[None], axis=1)
+        move, (n, t, _) = self.legal(), scores.shape
+        step, top = np.exp(move), scores.max(axis=2)
+        odds = np.exp(scores - top[..., None])
+        # Sums are kept as shares of each place's whole, so that they neither grow nor vanish along a chain.
+        alive = np.arange(t)[None] < length[:, None]
+        a, b, whole = np.zeros((n, t, 3)), np.ones((n, t, 3)), np.ones((n, t))
+        for k in range(t):
+            on = np.flatnonzero(alive[:, k])
+            now = (a[on, k - 1] @ step if k else step[OUTSIDE]) * odds[on, k]
+            whole[on, k] = now.sum(axis=1)
+            a[on, k] = now / whole[on, k, None]
         for k in range(t - 2, -1, -1):
-            more = np.logaddexp.reduce(move[None] + (scores[:, k + 1] + b[:, k + 1])[:, None, :], axis=2)
-            b[:, k] = np.where((k + 1 < length)[:, None], more, 0.0)
-        every, alive = np.arange(n), np.arange(t)[None] < length[:, None]
-        z = np.logaddexp.reduce(a[every, length - 1], axis=1)
-        at = np.where(alive[..., None], np.exp(a + b - z[:, None, None]), 0.0)
-        moves = np.zeros((3, 3))
+            on = np.flatnonzero(alive[:, k + 1])
+            b[on, k] = (odds[on, k + 1] * b[on, k + 1] / whole[on, k + 1, None]) @ step.T
+        z = (np.where(alive, np.log(whole) + top, 0.0)).sum(axis=1)
+        at = np.where(alive[..., None], a * b, 0.0)
+        came = np.where(alive[..., None], odds * b / whole[..., None], 0.0)
+        moves = step * (a[:, :-1].reshape(-1, 3).T @ came[:, 1:].reshape(-1, 3))
         moves[OUTSIDE] += at[:, 0].sum(axis=0)
         before = np.concatenate([np.zeros((n, 1), np.int64), tags[:, :-1]], axis=1)
-        for k in range(1, t):
-            on = alive[:, k]
-            moves += np.exp(a[on, k - 1, :, None] + move[None] + (scores[on, k] + b[on, k])[:, None, :] - z[on, None, None]).sum(axis=0)
         np.subtract.at(moves, (before[alive], tags[alive]), 1)
         true = np.where(alive, np.take_along_axis(scores, tags[..., None], 2)[..., 0] + move[before, tags], 0.0).sum()
         chain, place = np.nonzero(alive)
         at[chain, place, tags[alive]] -= 1
         return float(z.sum() - true), at, moves
 
-    def fit(self, data: list[tuple[list[str], list[int], list[int]]], steps: int = 70, rate: float = 0.25, ridge: float = 0.02) -> "Field":
-        """data: tokens, tags and file features of each chain. Steps along the gradient, scaled by its running size in each weight."""
-        own = Tokens()
-        length = np.array([len(t) for t, _, _ in data])
+    def fit(self, data: list[tuple[list[str], list[int], list[int], tuple[np.ndarray, np.ndarray]]], steps: int = 50, rate: float = 0.25, ridge: float = 0.02) -> "Field":
+        """data: tokens, tags, file features and surroundings of each chain. Steps along the gradient, scaled by its running size in each weight."""
+        # Words of one text only are as good as unknown.
+        often = collections.Counter(w for x in data for w in {y for t in x[0] for y in (t.lower(), word(t))})
+        self.vocabulary = frozenset(w for w, k in often.items() if k > 1)
+        own = Tokens(self.vocabulary)
+        length = np.array([len(x[0]) for x in data])
         n, t = len(data), int(length.max())
-        tags = np.zeros((n, t), np.int64)
+        tags, never = np.zeros((n, t), np.int64), np.zeros((n, t, 3))
         features, place = [], []
-        for k, (tokens, tag, file) in enumerate(data):
+        for k, (tokens, tag, file, around) in enumerate(data):
             tags[k, : len(tag)] = tag
             ids = own.ids([EDGE, *tokens])
             edge, ids = int(ids[0]), ids[1:]
-            both = own.together(ids, np.array(own.facts, np.int64)) if len(tokens) else []
+            both = own.together(ids, np.array(own.facts, np.int64), *around).tolist()
             wide = [edge] * 3 + ids.tolist() + [edge] * 2
             for j, i in enumerate(ids.tolist()):
-                f = own.shapes[i] + [own.around[wide[3 + j + p]][q] for q, p in enumerate(PLACES)] + file + [int(both[j])]
+                f = own.shapes[i] + [own.around[wide[3 + j + p]][q] for q, p in enumerate(PLACES)] + file + both[j]
                 features += f
                 place += [k * t + j] * len(f)
+            never[k, : len(tokens)] = barred(np.array([own.facts[i][0] for i in ids.tolist()]), around[0])
         features, place = np.array(features), np.array(place)
         first, second = np.zeros((2, FEATURES, 3)), np.zeros((2, FEATURES, 3))
         first, second = first[0], second[0]
         m1, m2 = np.zeros((3, 3)), np.zeros((3, 3))
         for step in range(1, steps + 1):
-            s = np.stack([np.bincount(place, self.emit[features, c], n * t) for c in range(3)], axis=1).reshape(n, t, 3)
+            s = np.stack([np.bincount(place, self.emit[features, c], n * t) for c in range(3)], axis=1).reshape(n, t, 3) + never
             _, at, moves = self.gradient(s, tags, length)
             flat = at.reshape(n * t, 3)
             g = np.stack([np.bincount(features, flat[place, c], FEATURES) for c in range(3)], axis=1) + ridge * self.emit
@@ -308,7 +392,7 @@ class Field:
         return self
 
 
-def examples(n: int = 1800, seed: int = 11) -> list[tuple[str, list[tuple[int, int]]]]:
+def examples(n: int = 2000, seed: int = 11) -> list[tuple[str, list[tuple[int, int]]]]:
     """Made texts and the spans of their secrets."""
     rng = random.Random(seed)
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -322,14 +406,37 @@ def examples(n: int = 1800, seed: int = 11) -> list[tuple[str, list[tuple[int, i
     def word() -> str:
         return "".join(one(syllables) for _ in range(rng.randint(1, 4)))
 
+    def spoken() -> str:
+        """A word of running text."""
+        return word() if rng.random() < 0.75 else one([
+            lambda: word().capitalize(), lambda: word().upper(), lambda: "".join(one(syllables) for _ in range(rng.randint(5, 9))), lambda: f"{word()}-{word()}", lambda: str(rng.randint(0, 10 ** rng.randint(1, 6))), lambda: f"{word()}/{word()}",
+            lambda: word() + one("éüñßçа語の한") + word(), lambda: "".join(chr(rng.randint(0x4E00, 0x5FFF)) for _ in range(rng.randint(3, 40))), lambda: f'"{word()} {word()}"', lambda: f"{word()}'{one('stm')} {word()}", lambda: f"({word()}, {word()})", lambda: word().capitalize() + word().capitalize(), lambda: f"{rng.randint(1, 99)}.{rng.randint(1, 99)}%", lambda: word() + one(["!", "?", ";", ":", "..."]), lambda: f"{word()}{rng.randint(1, 99)}",
+        ])()
+
     def prose(k: int) -> str:
-        return " ".join(w + one(["", "", "", ",", "."]) for w in (word() for _ in range(k)))
+        return " ".join(w + one(["", "", "", ",", "."]) for w in (spoken() for _ in range(k)))
+
+    def told(k: int) -> str:
+        """Running text with marks between its words, in capitals or not."""
+        between, last = one(["!! ", "! ", "?! ", " - ", "... ", ", ", " ** ", " | ", "? ", "; ", "!!! ", " & ", "\n", ".\n- "]), one(["", "!!", ".", "?", "..."])
+        text = between.join(" ".join(word() + one(["", "", one("éüñß") + word()]) for _ in range(one([1, 1, 1, 2, 5]))) for _ in range(k)) + last
+        return one([text, text.upper(), text.upper(), text.title()])
+
+    def marked() -> str:
+        """A password with marks inside; the last is no mark that ends a sentence or a string."""
+        body = [one(lower + upper + digits) for _ in range(rng.randint(2, 8))]
+        for _ in range(rng.randint(1, 5)):
+            body += [one("!@#$%^&*?+-_~:.") * one([1, 1, 1, 2]), *(one(lower + upper + digits) for _ in range(rng.randint(1, 6)))]
+        return "".join(body) + one(["", "", "", "!", "#", "&", "$", "*"])
+
+    def letters(size: int) -> str:
+        return "".join(one(lower) for _ in range(size))
 
     def short() -> str:
         """Passwords as people choose them."""
         return one([
             lambda: word() + str(rng.randint(1, 9999)), lambda: word().capitalize() + str(rng.randint(1, 99)) + one("xyz"), lambda: word() + one(["-", "_"]) + word() + str(rng.randint(1, 99)),
-            lambda: run("b62", rng.randint(7, 12)), lambda: str(rng.randint(10**5, 10**8)), lambda: word() + word().upper() + one(digits), lambda: "".join(one(lower) for _ in range(rng.randint(7, 12))),
+            lambda: marked(), lambda: marked(), lambda: "".join(word() for _ in range(rng.randint(3, 5))), lambda: word().capitalize() + str(rng.randint(1990, 2030)), lambda: run("b62", rng.randint(7, 12)), lambda: str(rng.randint(10**5, 10**8)), lambda: word() + word().upper() + one(digits), lambda: "".join(one(lower) for _ in range(rng.randint(7, 12))),
         ])()
 
     def key() -> str:
@@ -351,13 +458,17 @@ def examples(n: int = 1800, seed: int = 11) -> list[tuple[str, list[tuple[int, i
 
     def secret() -> list[tuple[str, bool]]:
         """Parts of a line, and which are the secret."""
-        name, value = one(names), key() if rng.random() < 0.6 else short()
+        name, value = one(names), key() if rng.random() < 0.5 else short()
         a, z = one([("", ""), ("", ""), ('"', '"'), ("'", "'")])
         return one([
             lambda: [(f"{name} = {a}", False), (value, True), (z, False)], lambda: [(f"{name}: {a}", False), (value, True), (z, False)], lambda: [(f"{name}={a}", False), (value, True), (z, False)],
             lambda: [(f"export {name.upper()}={a}", False), (value, True), (z, False)], lambda: [(f'"{name}": "', False), (value, True), (one(['",', '"']), False)], lambda: [(f"{name} => '", False), (value, True), ("'", False)],
             lambda: [(f"{one(['the', 'my', 'your', 'our', ''])} {name} is {a}", False), (value, True), (z, False)], lambda: [(f"{one(['Authorization: Bearer', 'Authorization: Basic', 'bearer', 'Authorization: token'])} ", False), (key(), True)],
             lambda: [(f"{one(['https', 'postgres', 'mysql', 'amqp', 'redis', 'mongodb'])}://{word()}:", False), (value, True), (f"@{word()}.example/{word()}", False)], lambda: [(f"curl -H 'X-Auth-Token: ", False), (key(), True), ("' host", False)],
+            lambda: [(f"{name}{one([':', ' =', ':', ' is:'])}{one([chr(10), chr(10), chr(10) * 2 + '  '])}", False), (value, True)],
+            lambda: [(f"{one(['my', 'the', 'das', 'mein', 'su', 'le', ''])} {one([*names, 'passwort', 'Passwort', 'kennwort Passwort', 'passe', 'password', 'passwd', 'passcode'])} {one(['is', 'lautet', 'ist', 'est', 'es', 'was', 'now is', 'changed to'])} ", False), (one([short, marked])(), True)],
+            lambda: [(f"{one(['Authorization: Bearer', 'Authorization: Basic', 'bearer', 'Bearer', 'token:'])} ", False), (one([letters, letters, lambda n: run("b62", n)])(rng.choice([24, 40, 80, 200, 400])), True)],
+            lambda: [(f"{one(['db_pass', 'pwd', 'DB_PASSWORD', 'smtp_pass', name])}{one([' = ', '=', ': '])}{(q := one(chr(34) + chr(39)))}", False), (marked(), True), (q, False)],
             lambda: [(f"curl -u {word()}:", False), (value, True), (" host", False)], lambda: [(one(["", "see ", "use ", one(names) + " "]), False), (one(["ghp_", "gho_", "sk-", "sk_live_", "xoxb-", "glpat-", "AIza", "npm_"]) + run("b62", rng.randint(20, 40)), True)],
             lambda: [(f"{one(['Authorization: Bearer ', 'token: ', 'id_token=', 'cookie: session=', ''])}", False), (".".join(["eyJ" + run("url", rng.randint(17, 30)), "eyJ" + run("url", rng.randint(20, 50)), run("url", rng.randint(20, 43))]), True)],
             lambda: [(f"{name}{one(['=', ': '])}", False), (".".join(run(one(["b62", "url"]), rng.randint(8, 24)) for _ in range(rng.randint(2, 3))), True)],
@@ -369,7 +480,7 @@ def examples(n: int = 1800, seed: int = 11) -> list[tuple[str, list[tuple[int, i
         return [(one([
             lambda: f"{one(['', 'see ', 'page = ', 'ref: ', 'id: ', 'call ', 'card ', 'from '])}{harmless()}", lambda: f"{name}{one([': ', ' = ', '='])}{one(nothing)}", lambda: f"the {name} {one(['is', 'was', 'must be', 'can be'])} {one(nothing)} {prose(3)}",
             lambda: f"{one(['a key', 'the author', 'passing', 'keyboard', 'a token of', 'secretary', 'authority', 'private', 'the password', 'monkey', 'login'])} {prose(5)}", lambda: f"{one(['key', 'keywords', 'author', 'passage'])}: {prose(4)}",
-            lambda: run(one(["b62", "b64", "up"]), rng.randint(16, 40)) if rng.random() < 0.3 else harmless(), lambda: f"-----BEGIN {one(['CERTIFICATE', 'PUBLIC KEY'])}-----\n" + "\n".join(run("b64", 64) for _ in range(2)) + "\n-----END", lambda: f"{name} {prose(4)} {harmless()}",
+            lambda: run(one(["b62", "b64", "up"]), rng.randint(16, 40)) if rng.random() < 0.3 else harmless(), lambda: f"-----BEGIN {one(['CERTIFICATE', 'PUBLIC KEY'])}-----\n" + "\n".join(run("b64", 64) for _ in range(2)) + "\n-----END", lambda: f"{name} {prose(4)} {harmless()}", lambda: prose(rng.randint(20, 40)), lambda: told(rng.randint(5, 30)), lambda: told(rng.randint(5, 30)),
             lambda: f"{one(['commit', 'build', 'version', 'uuid', 'sha1', 'etag'])} {run('hex', rng.choice([12, 16, 20]))}", lambda: f"def {word()}_{one(['key', 'token', 'auth'])}({word()}, {word()}=None): return {word()}",
         ])(), False)]
 
@@ -387,55 +498,45 @@ def examples(n: int = 1800, seed: int = 11) -> list[tuple[str, list[tuple[int, i
     return out
 
 
-def tagged(text: str, spans: list[tuple[int, int]]) -> list[tuple[list[str], list[int], list[int]]]:
-    """Tokens, tags and file features of each window of a text with known secrets."""
-    file, out = file_features(text), []
-    for lo, hi in windows(text):
-        tokens, tags = [], []
-        for m in TOKEN.finditer(text, lo, hi):
-            hit = next((s for s in spans if s[0] < m.end() and m.start() < s[1]), None)
-            tokens.append(m.group())
-            tags.append(OUTSIDE if hit is None else BEGIN if m.start() <= hit[0] or tags[-1:] in ([], [OUTSIDE]) else INSIDE)
-        if tokens:
-            out.append((tokens, tags, file))
-    return out
+def tagged(text: str, spans: list[tuple[int, int]]) -> tuple[list[str], list[int], list[int], tuple[np.ndarray, np.ndarray]]:
+    """Tokens, tags, file features and surroundings of a text with known secrets."""
+    tokens, starts, ends = cut(text)
+    tags: list[int] = []
+    for s, e in zip(starts.tolist(), ends.tolist()):
+        hit = next((x for x in spans if x[0] < e and s < x[1]), None)
+        tags.append(OUTSIDE if hit is None else BEGIN if s <= hit[0] or tags[-1:] in ([], [OUTSIDE]) else INSIDE)
+    return tokens, tags, file_features(text), surroundings(tokens, starts, ends)
 
 
 @functools.cache
 def trained() -> Field:
     """The field, fit on made texts; the same wherever it is made."""
-    return Field().fit([chain for text, spans in examples() for chain in tagged(text, spans)])
+    return Field().fit([x for x in (tagged(text, spans) for text, spans in examples()) if x[0]])
 
 
 def field_spans(text: str, field: Field) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what the field tags."""
-    file, out = None, []
-    for lo, hi in windows(text):
-        places = [m.span() for m in TOKEN.finditer(text, lo, hi)]
-        if not places:
-            continue
-        file = file or file_features(text)
-        tags = field.viterbi(field.scores([text[s:e] for s, e in places], file))
-        for (s, e), tag in zip(places, tags):
-            if tag == BEGIN:
-                out.append([s, 3, e])
-            elif tag == INSIDE:
-                out[-1][2] = e
-    return [tuple(x) for x in out]
+    tokens, starts, ends = cut(text)
+    if not tokens:
+        return []
+    found = field.decode(field.scores(tokens, file_features(text), *surroundings(tokens, starts, ends)))
+    return [(int(starts[a]), 3, int(ends[b])) for a, b in found]
 
 
 def spans_of(text: str | None, field: Field) -> list[tuple[int, int, int]]:
     """All spans, base ones first to stay; by start, then by kind."""
     text = text or ""
     base, new = base_spans(text), []
-    # Both lists are in order of their starts, so one sweep finds what of the field meets a base span.
-    at, reach = 0, 0
-    for x in field_spans(text, field):
-        while at < len(base) and base[at][0] < x[2]:
+    # Both lists are in order of their starts, so one sweep finds the base spans that meet one of the field; what these leave of it stays.
+    at = reach = 0
+    for s, kind, e in field_spans(text, field):
+        while at < len(base) and base[at][0] < e:
+            if base[at][0] > max(s, reach):
+                new.append((max(s, reach), kind, base[at][0]))
             reach = max(reach, base[at][2])
             at += 1
-        if reach <= x[0]:
-            new.append(x)
+        if max(s, reach) < e:
+            new.append((max(s, reach), kind, e))
     return sorted(base + new)
 
 

@@ -85,7 +85,7 @@ def test_within_long_text(field):
 
 
 def test_secrets_of_several_tokens(field):
-    tags = np.concatenate([c[1] for t, spans in S.examples(400, 5) for c in S.tagged(t, spans)])
+    tags = np.concatenate([S.tagged(t, spans)[1] for t, spans in S.examples(400, 5)])
     assert (tags == S.INSIDE).sum() > 100
     assert np.abs(field.move).max() > 0.3
     text = "refresh_key: aB3dE5fG7h.Jk9LmN0pQr.St4Uv5Wx6Y end"
@@ -96,11 +96,13 @@ def test_moves_decide(field):
     """Viterbi differs from the best tag of each token by itself in some places, and is right there more often."""
     right = wrong = 0
     for text, spans in S.examples(600, 77):
-        for tokens, tags, file in S.tagged(text, spans):
-            s = field.scores(tokens, file)
-            for v, a, true in zip(field.viterbi(s), s.argmax(axis=1).tolist(), tags):
-                right += v != a and v == true
-                wrong += v != a and a == true
+        tokens, tags, file, around = S.tagged(text, spans)
+        if not tokens:
+            continue
+        s = field.scores(tokens, file, *around)
+        for v, a, true in zip(field.viterbi(s), s.argmax(axis=1).tolist(), tags):
+            right += v != a and v == true
+            wrong += v != a and a == true
     assert right > 10 and right > 2 * wrong
 
 
@@ -133,18 +135,75 @@ def test_gradient():
 
 
 def test_scores_are_sums_of_features(field):
-    """Looked-up sums are those of the features themselves, for windows one after another."""
+    """Looked-up sums are those of the features themselves, for texts one after another."""
     for text, _ in S.examples(50, 3):
         file = S.file_features(text)
-        for lo, hi in S.windows(text):
-            tokens = [m.group() for m in S.TOKEN.finditer(text, lo, hi)]
-            wide = ["", "", "", *tokens, "", ""]
-            own = S.Tokens()
-            ids = own.ids(["", *tokens])[1:]
-            both = own.together(ids, np.array(own.facts))
-            for j, (token, got) in enumerate(zip(tokens, field.scores(tokens, file))):
-                names = [S.index(x) for x in S.shape(token)] + [S.index(f"at{p}:{S.word(wide[3 + j + p])}") for p in S.PLACES] + file + [int(both[j])]
-                assert np.allclose(got, field.emit[names].sum(axis=0))
+        tokens, starts, ends = S.cut(text)
+        touch, quoted = S.surroundings(tokens, starts, ends)
+        wide = ["", "", "", *tokens, "", ""]
+        own = S.Tokens(field.vocabulary)
+        ids = own.ids(["", *tokens])[1:]
+        facts = np.array(own.facts)
+        both, never = own.together(ids, facts, touch, quoted), S.barred(facts[ids, 0], touch)
+        for j, (token, got) in enumerate(zip(tokens, field.scores(tokens, file, touch, quoted))):
+            names = [S.index(x) for x in S.shape(token, field.vocabulary)] + [S.index(f"at{p}:{S.word(wide[3 + j + p], field.vocabulary)}") for p in S.PLACES] + file + both[j].tolist()
+            assert np.allclose(got, field.emit[names].sum(axis=0) + never[j])
+
+
+def test_whole_text_in_stretches(field):
+    """Decoding only where the bound leaves something open is decoding the whole text, on scores of texts and on random ones."""
+    rng = np.random.default_rng(8)
+    many = []
+    for text, _ in S.examples(200, 21):
+        tokens, starts, ends = S.cut(text)
+        if tokens:
+            many.append(field.scores(tokens, S.file_features(text), *S.surroundings(tokens, starts, ends)))
+    many = [np.concatenate(many[i : i + 4]) for i in range(0, len(many), 4)] + [rng.normal(size=(rng.integers(1, 40), 3)) * rng.integers(1, 9) - [0, shift, shift] for shift in (0, 2, 5) for _ in range(200)]
+    outside = 0
+    for s in many:
+        whole, tags = field.viterbi(s), [0] * len(s)
+        for a, b in field.decode(s):
+            tags[a : b + 1] = [1] + [2] * (b - a)
+        assert tags == whole
+        outside += len(s) - sum(b - a for a, b in field.stretches(s))
+    assert outside > sum(map(len, many)) / 4
+
+
+def test_surroundings():
+    text = "x = 'a!b c' it's \"q\n'z"
+    tokens, starts, ends = S.cut(text)
+    touch, quoted = S.surroundings(tokens, starts, ends)
+    assert tokens == ["x", "=", "'", "a", "!", "b", "c", "'", "it", "'", "s", '"', "q", "\n", "'", "z"]
+    assert [t for t, q in zip(tokens, quoted) if q] == ["a", "!", "b", "c"]
+    assert [t for t, q in zip(tokens, touch) if q] == ["a", "!", "b", "'", "'", "s", "q", "\n", "'", "z"]
+
+
+#: Secrets with marks inside, of letters alone, on the next line, or far from any word that speaks of them.
+HARD = [
+    ("my passphrase is correcthorsebatterystaple today", "correcthorsebatterystaple"),
+    ("password:\nhunter2secret9", "hunter2secret9"),
+    ("passwd is Tr0ub4dor&3", "Tr0ub4dor&3"),
+    ("Authorization: Bearer " + "abcdefghij" * 32, "abcdefghij" * 32),
+    ("Passwort lautet Sommer2024", "Sommer2024"),
+    ("db_pass = 'S3cr3t!pa$$w0rd#9'", "S3cr3t!pa$$w0rd#9"),
+    ("key: abcDEF12!x@y#zQ9 next", "abcDEF12!x@y#zQ9"),
+    ('pwd="aB3$dE5^fG7&"', "aB3$dE5^fG7&"),
+    ("token=abc123!def456", "abc123!def456"),
+]
+
+
+@pytest.mark.parametrize("text,secret", HARD)
+def test_no_tail_left(field, text, secret):
+    spans = S.spans_of(text, field)
+    shown = S.redacted(text, spans, "").strip()
+    assert secret not in shown and not any(part in shown for part in (secret[:4], secret[-3:]))
+    assert text.split()[-1] == "next" or len(shown) >= text.index(secret) - 12
+
+
+def test_long_prose_is_clean(field):
+    """Words that come again and again, capitals, marks between words: none of it is a secret."""
+    for text in ("or " * 300, "To To To to " * 100, "THE END!! OF ALL!! TO Y!! " * 50, "by%%% words%%% in%%% " * 50, "he was there. For all it was. " * 50):
+        assert not S.spans_of(text, field)
 
 
 def test_time(field):

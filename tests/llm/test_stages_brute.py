@@ -48,24 +48,31 @@ def test_jaccard(spark, sf, docs):
 def brute_field(text, field):
     """Spans of the field by sums of its features and the best path found from every tag of the token before, in plain loops."""
     out, file, move = [], secret_scan.file_features(text), field.legal()
-    for lo, hi in secret_scan.windows(text):
-        found = [(m.start(), m.end()) for m in secret_scan.TOKEN.finditer(text, lo, hi)]
-        tokens = [text[s:e] for s, e in found]
-        if not tokens:
-            continue
-        own = secret_scan.Tokens()
-        ids = own.ids(["", *tokens])[1:]
-        both = own.together(ids, np.array(own.facts))
-        wide, best = ["", "", "", *tokens, "", ""], {0: (0.0, [])}
-        for j, token in enumerate(tokens):
-            names = [secret_scan.index(x) for x in secret_scan.shape(token)] + [secret_scan.index(f"at{p}:{secret_scan.word(wide[3 + j + p])}") for p in secret_scan.PLACES] + file + [int(both[j])]
-            score = field.emit[names].sum(axis=0)
-            best = {t: max(((b + move[k, t] + score[t], path + [t]) for k, (b, path) in best.items()), key=lambda x: x[0]) for t in range(3)}
-        for (s, e), tag in zip(found, max(best.values(), key=lambda x: x[0])[1]):
-            if tag == 1:
-                out.append([s, 3, e])
-            elif tag == 2:
-                out[-1][2] = e
+    found = [(m.start(), m.end()) for m in secret_scan.TOKEN.finditer(text)]
+    if not found:
+        return []
+    tokens = [text[s:e] for s, e in found]
+    touch, quoted = secret_scan.surroundings(tokens, *np.array(found).T)
+    own = secret_scan.Tokens(field.vocabulary)
+    ids = own.ids(["", *tokens])[1:]
+    facts = np.array(own.facts)
+    both, never = own.together(ids, facts, touch, quoted), secret_scan.barred(facts[ids, 0], touch)
+    wide, best = ["", "", "", *tokens, "", ""], {0: (0.0, [])}
+    back = []
+    for j, token in enumerate(tokens):
+        names = [secret_scan.index(x) for x in secret_scan.shape(token, field.vocabulary)] + [secret_scan.index(f"at{p}:{secret_scan.word(wide[3 + j + p], field.vocabulary)}") for p in secret_scan.PLACES] + file + both[j].tolist()
+        score = field.emit[names].sum(axis=0) + never[j]
+        best = {t: max(((b + move[k, t] + score[t], k) for k, (b, _) in best.items()), key=lambda x: x[0]) for t in range(3)}
+        back.append({t: k for t, (_, k) in best.items()})
+    tag, tags = max(best, key=lambda t: best[t][0]), []
+    for step in reversed(back):
+        tags.append(tag)
+        tag = step[tag]
+    for (s, e), tag in zip(found, reversed(tags)):
+        if tag == 1:
+            out.append([s, 3, e])
+        elif tag == 2:
+            out[-1][2] = e
     return [tuple(x) for x in out]
 
 
@@ -78,7 +85,12 @@ def test_secrets(spark, sf, docs):
     hidden = 0
     for i, text, _, n in rows_of(stages.secret_stage(spark, all_docs, sf)):
         base = brute_spans(texts[i])
-        spans = base + [x for x in brute_field(texts[i], field) if not any(x[0] < e and s < x[2] for s, _, e in base)]
+        taken = {k for s, _, e in base for k in range(s, e)}
+        spans = list(base)
+        for s, kind, e in brute_field(texts[i], field):
+            free = [k for k in range(s, e) if k not in taken]
+            firsts = [k for k in free if k - 1 not in free]
+            spans += [(k, kind, next(j for j in range(k, e + 1) if j not in free)) for k in firsts]
         marks = np.zeros(len(texts[i]) + 1, bool)
         starts = set()
         reach = 0
