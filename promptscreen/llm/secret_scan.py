@@ -21,7 +21,7 @@ or on a line of their own; prose, values that are none, numbers, dates, paths, a
 
 Defined results. A null text is an empty one: no spans. Offsets are code points, the
 end exclusive. Base spans may overlap those of another kind; a span of the field
-(kind crf) overlaps none. Rows that repeat are scanned each; a null doc_id is kept.
+(kind crf) overlaps none, and is what base spans leave of it. Rows that repeat are scanned each; a null doc_id is kept.
 An empty table gives no rows. Columns not named are not read.
 """
 
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import collections
 import functools
+import itertools
 import random
 import re
 import zlib
@@ -52,6 +53,7 @@ TOKEN = re.compile(r"\n|\w[\w+/~\-]*(?:==?(?![\w=]))?|([^\w\s])\1*")
 #: Words that speak of secrets, in lower case.
 CUES = ("pass", "pwd", "secret", "token", "key", "auth", "cred", "bearer", "login", "private", "cookie", "signature", "pin:")
 CUE = re.compile("|".join(map(re.escape, CUES)))
+CUE_WORDS = tuple(c for c in CUES if c.isalpha())
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 #: Hashed features, and those of how a token's class goes together with the mark before it and a cue nearby, and with what it touches, quotes around it and a cue.
 BITS, CLASSES, BEFORE = 15, 17, 6
@@ -60,6 +62,8 @@ FEATURES = (1 << BITS) + MARKED + TOUCHING
 #: Places of words around a token that are features, and in how many tokens before it a cue is near.
 PLACES, NEAR = (-3, -2, -1, 1, 2), 6
 EDGE, NEVER, RARE = "", -1e6, "<rare>"
+#: Tokens that are scored at once.
+BLOCK = 1 << 15
 DIGIT, DATE = re.compile("[0-9]"), re.compile(r"(19|20)[0-9][0-9][-_/]?[01][0-9]")
 NO_QUOTE, QUOTES = 0, {'"': 1, "'": 2, "`": 3}
 
@@ -145,7 +149,7 @@ class Tokens:
         """Unknown words in lower case differ by a few numbers only, so what is made for one serves all that agree in them."""
         self.known[token] = len(self.shapes)
         key = None
-        if self.vocabulary is not None and token.isalpha() and token.islower() and token not in self.vocabulary and not CUE.search(token):
+        if self.vocabulary is not None and token.isalpha() and token.islower() and token not in self.vocabulary and not any(map(token.__contains__, CUE_WORDS)):
             n = len(token)
             key = (n, token.isascii()) if n < 6 else (n, token.isascii(), len(set(token)), sum(map(token.count, "aeiouy")), not token.strip("abcdef"))
             if key in self.alike:
@@ -165,13 +169,13 @@ class Tokens:
             self.alike[key] = (shapes, around, facts)
 
     def ids(self, tokens: list[str]) -> np.ndarray:
-        for t in {t: None for t in tokens if t not in self.known}:
+        for t in dict.fromkeys(itertools.filterfalse(self.known.__contains__, tokens)):
             self.add(t)
         return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
 
     def together(self, ids: np.ndarray, facts: np.ndarray, touch: np.ndarray, quoted: np.ndarray) -> np.ndarray:
         """For each token of a text the indices of the two features that join its class with what is around it."""
-        own = facts[ids]
+        own = facts.take(ids, axis=0)
         places = np.arange(len(ids))
         last = np.maximum.accumulate(np.where(own[:, 2] > 0, places, -NEAR - 1))
         near = np.concatenate([[False], places[1:] - last[:-1] <= NEAR])
@@ -261,10 +265,16 @@ class Field:
             self.size = size
         edge, ids = ids[0], ids[1:]
         both = own.together(ids, self.facts, touch, quoted)
-        out = self.table[ids, :3] + self.emit[file].sum(axis=0) + self.emit[both[:, 0]] + self.emit[both[:, 1]]
+        out = self.emit[file].sum(axis=0) + self.emit.take(both[:, 0], axis=0)
+        out += self.emit.take(both[:, 1], axis=0)
         wide = np.concatenate([np.full(3, edge), ids, np.full(2, edge)])
-        for k, p in enumerate(PLACES):
-            out += self.table[wide[3 + p : 3 + p + len(ids)], 3 + 3 * k : 6 + 3 * k]
+        for lo in range(0, len(ids), BLOCK):
+            # A token's own sums and those of its neighbours lie in one row each, so rows are looked up once.
+            rows = self.table.take(wide[lo : lo + BLOCK + 5], axis=0)
+            part = out[lo : lo + BLOCK]
+            part += rows[3 : 3 + len(part), :3]
+            for k, p in enumerate(PLACES):
+                part += rows[3 + p : 3 + p + len(part), 3 + 3 * k : 6 + 3 * k]
         return out + barred(self.facts[ids, 0], touch)
 
     def viterbi(self, scores: np.ndarray) -> list[int]:
@@ -537,7 +547,7 @@ def spans_of(text: str | None, field: Field) -> list[tuple[int, int, int]]:
             at += 1
         if max(s, reach) < e:
             new.append((max(s, reach), kind, e))
-    return sorted(base + new)
+    return sorted(base + new) if new else base
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -565,9 +575,11 @@ def scan_secrets(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text_col:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
                 spans, texts = [], []
+                known: dict[str | None, list[tuple[int, int, int]]] = {}  # copies within a slice are scanned once
                 for t in part.column(len(keys)):
                     text = t.as_py()
-                    found = spans_of(text, field.value)
+                    if (found := known.get(text)) is None:
+                        found = known[text] = spans_of(text, field.value)
                     spans.append([{"start": s, "end": e, "kind": KINDS[k]} for s, k, e in found])
                     texts.append(None if text is None else redacted(text, found))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], pa.array(spans, kind), pa.array(texts, pa.string())], names=[*keys, "spans", "redacted"])
