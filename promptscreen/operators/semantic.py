@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import re
 import string
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -99,19 +98,26 @@ def projection_embedder(dimensions: int = 16, seed: str = "projection") -> Calla
     seeded, and the sum of these is scaled to length 1. Texts that share words are near each other. A text without words is at 0. At most 32 dimensions.
     """
     lower = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
-    known: dict[str, np.ndarray] = {}
+    places: dict[str, int] = {}
+    held = {"directions": np.empty((1024, dimensions))}  # in a dict: a pickled function's variables are each function's own
 
-    def direction(word: str) -> np.ndarray:
-        if word not in known:
-            if len(known) > 100_000:
-                known.clear()
-            known[word] = np.frombuffer(hashlib.sha256(f"{seed}:{word}".encode()).digest()[:dimensions], np.uint8) - 127.5
-        return known[word]
+    def place(word: str) -> int:
+        at = places[word] = len(places)
+        if at == len(held["directions"]):
+            held["directions"] = np.concatenate([held["directions"], np.empty_like(held["directions"])])
+        held["directions"][at] = np.frombuffer(hashlib.sha256(f"{seed}:{word}".encode()).digest()[:dimensions], np.uint8) - 127.5
+        return at
 
     def embedder(texts: list[str]) -> list[list[float]]:
         out = []
         for t in texts:
-            v = sum((n * direction(w) for w, n in Counter(re.findall("[a-z0-9]+", t.translate(lower))).items()), np.zeros(dimensions))
+            if len(places) > 100_000:
+                places.clear()
+            words = re.findall("[a-z0-9]+", t.lower() if t.isascii() else t.translate(lower))
+            own = [i if (i := places.get(w)) is not None else place(w) for w in words]
+            v = np.zeros(dimensions)
+            for k in range(0, len(own), 4096):  # a long text's directions are not held all at once
+                v += held["directions"][own[k : k + 4096]].sum(axis=0)  # halves of whole numbers: exact in any order
             length = np.sqrt(v @ v)
             out.append((v / length if length else v).tolist())
         return out
