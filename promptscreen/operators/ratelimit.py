@@ -28,6 +28,8 @@ from ..sources.shared import written
 
 #: A stretch is described to the driver by so many rows of limit + 2 numbers at most; and worked out in so many numbers.
 MOST_ROWS, MOST_CELLS = 1024, 1 << 25
+#: Requests of a stretch, about. A stretch is held by a Python worker, so its memory hangs on this, not on the table.
+PART_ROWS = 250_000
 NEVER = np.iinfo(np.int64).min
 
 
@@ -244,7 +246,9 @@ def admit(df: DataFrame, key_col: str, ts_col: str, order_col: str, limit: int,
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * b.num_rows, pa.int32())], names=[f.name for f in kinds])
 
-    numbered = written(timed.repartitionByRange(*own).sortWithinPartitions(*own).mapInArrow(number, kinds), "requests").withColumn("__k", F.col(key_col))
+    parts = -(-df.count() // PART_ROWS)
+    dealt = timed.repartitionByRange(*own) if parts <= 1 else timed.repartitionByRange(max(parts, df.sparkSession.sparkContext.defaultParallelism), *own)
+    numbered = written(dealt.sortWithinPartitions(*own).mapInArrow(number, kinds), "requests").withColumn("__k", F.col(key_col))
     states = _states(numbered, limit, window)
     columns = [*df.columns, "__t", "__part", "__k"]
     schema = T.StructType(df.schema.fields).add("admitted", T.BooleanType()).add("used", T.IntegerType())

@@ -1,7 +1,9 @@
 """What one task gets does not grow with the table."""
 
 import os
+from collections import deque
 
+from promptscreen.operators import ratelimit as R
 from promptscreen.plans import corpus as C
 from promptscreen.plans import queries as Q
 
@@ -26,3 +28,15 @@ def test_csv_files_are_bounded(spark, tmp_path, monkeypatch):
     out = Q.csv_roundtrip(spark, _folder(spark, tmp_path, 500))
     sizes = [os.path.getsize(f"{tmp_path}/csv/{f}") for f in os.listdir(f"{tmp_path}/csv") if f.endswith(".csv")]
     assert out.count() == 500 * len(C.PROMPTS) and max(sizes) < 2 * (1 << 18)
+
+
+def test_stretches_of_the_limiter_are_bounded(spark, monkeypatch):
+    seen = []
+    keep = R.written
+    monkeypatch.setattr(R, "written", lambda df, label: seen.append(keep(df, label)) or seen[-1])
+    monkeypatch.setattr(R, "PART_ROWS", 500)
+    events = spark.range(10_000).selectExpr("id", "'all' AS key", "timestamp_seconds(1000000 + id DIV 3) AS ts")
+    got = {r["id"]: r["admitted"] for r in R.admit(events, "key", "ts", "id", 15, 60).select("id", "admitted").collect()}
+    assert max(r["count"] for r in seen[0].groupBy("__part").count().collect()) < 3 * 500
+    want = R.decide([(1_000_000 + i // 3) * 1_000_000 for i in range(10_000)], 15, 60_000_000, deque())
+    assert [got[i] for i in range(10_000)] == [a for a, _ in want]
