@@ -6,11 +6,11 @@ structs is by start, then the longer, then the order of detection.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .text import may_match
+from .text import contains_any, fence, may_match
 
 SPAN = "struct<start: int, neg_len: int, ord: int, end: int, dtype: string, snippet: string>"
 
@@ -51,13 +51,14 @@ def _scan(items: Column, advance, collect) -> Column:
     return _once(_once(items, _parts), all_parts)
 
 
-def _cut(text: Column, name: str, pattern: str, low: Column) -> Column:
+def _cut(text: Column, name: str, pattern: str, low: Column, folds: Column | None) -> Column:
     """The gap before each match of a detector and the match, left to right, and the gap at the end; null where there is none.
 
     Most texts have no match: a literal, or else one search, decides that, and nothing else is computed. low: text in lower case.
     """
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    return F.when(may_match(low, name) & text.rlike(pattern), F.arrays_zip(gaps.alias("gap"), found.alias("m")))
+    may = may_match(low, name, folds) & text.rlike(P.GATES[name]) if name in P.GATES else may_match(low, name, folds)
+    return F.when(may & text.rlike(pattern), F.arrays_zip(gaps.alias("gap"), found.alias("m")))
 
 
 def _spans(cut: Column) -> Column:
@@ -73,10 +74,10 @@ def _spans(cut: Column) -> Column:
     return _scan(cut["parts"], end, add)
 
 
-def matches(text: Column, detectors: list[tuple[str, str]], low: Column) -> Column:
+def matches(text: Column, detectors: list[tuple[str, str]], low: Column, folds: Column | None = None) -> Column:
     """All matches of detectors (name, pattern), one detector after another."""
     order = [n for n, _ in P.DETECTORS]
-    cuts = F.array(*[F.struct(F.lit(order.index(n)).alias("ord"), F.lit(n).alias("dtype"), _cut(text, n, pattern, low).alias("parts")) for n, pattern in detectors])
+    cuts = F.array(*[F.struct(F.lit(order.index(n)).alias("ord"), F.lit(n).alias("dtype"), _cut(text, n, pattern, low, folds).alias("parts")) for n, pattern in detectors])
     # One function for all detectors: an expression for each would take longer to plan than most texts to search.
     return F.when(text.isNotNull(), F.flatten(F.transform(F.filter(cuts, lambda c: c["parts"].isNotNull()), _spans)))
 
@@ -97,9 +98,16 @@ def detector(text: Column, name: str, low: Column | None = None) -> Column:
     return _checked(matches(text, [(n, p) for n, p in P.DETECTORS if n == name], F.lower(text) if low is None else low))
 
 
-def all_spans(text: Column, low: Column | None = None) -> Column:
-    """Spans of all detectors, in order. low: text in lower case, if that is at hand."""
-    return F.array_sort(_checked(matches(text, P.DETECTORS, F.lower(text) if low is None else low)))
+def all_spans(text: Column, low: Column | None = None, folds: Column | None = None) -> Column:
+    """Spans of all detectors, in order. low: text in lower case, if that is at hand; folds: whether it has letters that fold to others."""
+    return F.array_sort(_checked(matches(text, P.DETECTORS, F.lower(text) if low is None else low, folds)))
+
+
+def with_spans(df: DataFrame, text_col: str = "text", out_col: str = "spans") -> DataFrame:
+    """df with the spans of all detectors. The text in lower case and the spans are columns of their own and fenced: each search for a literal would else
+    make the lower case anew, and the filter that explode() brings along would find all spans a second time."""
+    low = df.withColumn("__low", fence(F.lower(F.col(text_col)))).withColumn("__folds", fence(contains_any(F.col("__low"), P.FOLDED)))
+    return low.withColumn(out_col, fence(all_spans(F.col(text_col), F.col("__low"), F.col("__folds")))).drop("__low", "__folds")
 
 
 def resolved(spans: Column) -> Column:

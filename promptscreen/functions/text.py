@@ -20,10 +20,10 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
-def may_match(low: Column, name: str) -> Column:
-    """Whether a text, in lower case, can match a pattern: it holds what the pattern needs, or letters that fold to others."""
+def may_match(low: Column, name: str, folds: Column | None = None) -> Column:
+    """Whether a text, in lower case, can match a pattern: it holds what the pattern needs, or letters that fold to others (folds, if that is at hand)."""
     parts = [low.rlike(r"(?U)\d") if w == "digit" else low.contains(w) for w in P.NEEDED[name]]
-    return reduce(lambda a, b: a | b, [*parts, *[low.contains(c) for c in P.FOLDED]])
+    return reduce(lambda a, b: a | b, [*parts, contains_any(low, P.FOLDED) if folds is None else folds])
 
 
 def truncated(prompt: Column) -> Column:

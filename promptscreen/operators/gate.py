@@ -22,7 +22,7 @@ def gate(
     verdict = F.col(verdict_col) if verdict_col else F.lit("SAFE")
     rules = policy or P.POLICY
     blocking = verdict.isin([v for v, a in rules.items() if a == "BLOCK"]) if any(a == "BLOCK" for a in rules.values()) else F.lit(False)
-    out = df.withColumn("__low", F.lower(F.col(text_col))).withColumn("__all", S.all_spans(F.col(text_col), F.col("__low"))).drop("__low")
+    out = S.with_spans(df, text_col, "__all")
     out = out.withColumn("spans", fence(S.resolved(F.col("__all")))).drop("__all")
     out = out.withColumn("redacted", S.redacted(F.col(text_col), F.col("spans")))
     n, key = F.size("spans"), F.exists("spans", lambda s: s["dtype"].isin(P.KEY_TYPES))

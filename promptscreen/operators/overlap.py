@@ -14,7 +14,9 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,51 +54,86 @@ def _sides(left: DataFrame, right: DataFrame, on: list[str], start: str, end: st
 ROW = ["__level", "__bin", "__width", "__home", "__side", "__s", "__e"]
 
 
-def _meetings(batches: Iterator[pa.RecordBatch], keys: int, payload) -> Iterator[tuple]:
-    """(keys, later row, rows of the other side that it begins in): rows are (home, payload). Only where the later begins in the bin."""
-    last, live, ends, n = None, ({}, {}), ([], []), 0
-    for b in batches:
-        columns = [b.column(i).to_pylist() for i in range(keys + len(ROW))]
-        for i, row in enumerate(zip(*columns)):
-            at, (level, place, width, home, side, s, e) = row[: keys + 2], row[keys:]
-            if at != last:
-                last, live, ends = at, ({}, {}), ([], [])
-            other = 1 - side
+def _new_bins(columns: list[pa.Array]) -> np.ndarray:
+    """For each row but the first whether it is of another text, level or bin than the row before."""
+    out = np.zeros(len(columns[0]) - 1, bool)
+    for c in columns:
+        out |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    return out
+
+
+class Sweep:
+    """The spans of a bin in the order of their starts, batch by batch. Rows are known by their place in the pool: the rows of the batch
+    before that have not ended, as they were, and those of the batch. So what rows hold is never made into Python objects."""
+
+    def __init__(self, keys: int) -> None:
+        self.keys, self.pool, self.last = keys, None, None
+        self.live: tuple[dict, dict] = ({}, {})  # number to (home, place)
+        self.ends: tuple[list, list] = ([], [])
+        self.n = 0
+
+    def meetings(self, b: pa.RecordBatch) -> Iterator[tuple]:
+        """(side, later row, rows of the other side that it begins in): rows are (home, place). Only where the later begins in the bin."""
+        if not b.num_rows:
+            return
+        at, kept = self.keys + 2, 0
+        rows = pa.Table.from_batches([b])
+        if self.pool is not None:
+            held = [(side, n, home, place) for side in (0, 1) for n, (home, place) in self.live[side].items()]
+            for i, (side, n, home, _) in enumerate(held):
+                self.live[side][n] = (home, i)
+            kept = len(held)
+            rows = pa.concat_tables([self.pool.take(pa.array([x[3] for x in held], pa.int64())), rows])
+        self.pool = rows.combine_chunks()
+        first = tuple(b.column(i)[0].as_py() for i in range(at))
+        new = [first != self.last, *_new_bins(b.columns[:at]).tolist()]
+        self.last = tuple(b.column(i)[b.num_rows - 1].as_py() for i in range(at))
+        place = b.column(self.keys + 1).to_pylist()
+        width, home, side, start, end = (b.column(self.keys + i).to_pylist() for i in range(2, 7))
+        live, ends = self.live, self.ends
+        for i, s in enumerate(start):
+            if new[i]:
+                for k in (0, 1):
+                    live[k].clear()
+                    ends[k].clear()
+            mine, other = side[i], 1 - side[i]
             while ends[other] and ends[other][0][0] <= s:
                 live[other].pop(heapq.heappop(ends[other])[1], None)
-            own = (home, payload(b, i))
-            if s // width == place and live[other]:
-                yield row[:keys], side, own, live[other]
-            n += 1
-            live[side][n] = own
-            heapq.heappush(ends[side], (e, n))
+            own = (home[i], kept + i)
+            if live[other] and s // width[i] == place[i]:
+                yield mine, own, live[other]
+            self.n += 1
+            live[mine][self.n] = own
+            heapq.heappush(ends[mine], (end[i], self.n))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, on: list[str], start: str = "start", end: str = "end", width: int = WIDTH) -> DataFrame:
     """Each pair of overlapping spans of the same keys once: the keys, and left and right, the two rows as structs."""
     binned = _levels(_sides(left, right, on, start, end), width)
     schema = T.StructType([*[binned.schema[k] for k in on], binned.schema["left"], binned.schema["right"]])
+    at = len(on) + len(ROW)
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        kinds = to_arrow_schema(schema)
-        held: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            columns = [pa.array(c, f.type) for c, f in zip(zip(*held), kinds)]
-            held.clear()
-            return pa.RecordBatch.from_arrays(columns, names=kinds.names)
-
-        at = len(on) + len(ROW)
-        for keys, side, (home, own), others in _meetings(batches, len(on), lambda b, i: (b.column(at)[i].as_py(), b.column(at + 1)[i].as_py())):
-            for other_home, other in others.values():
-                if home or other_home:  # two visitors meet at a level below
-                    held.append((*keys, own[0] if side == 0 else other[0], own[1] if side == 1 else other[1]))
-                    if len(held) >= 10_000:
-                        yield flush()
-        if held:
-            yield flush()
+        kinds, state = to_arrow_schema(schema), Sweep(len(on))
+
+        def made(pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+            a, z = (pa.array(x, pa.int64()) for x in zip(*pairs))
+            columns = [*[state.pool.column(i).take(a) for i in range(len(on))], state.pool.column(at).take(a), state.pool.column(at + 1).take(z)]
+            yield from pa.table([c.cast(f.type) for c, f in zip(columns, kinds)], names=kinds.names).to_batches()
+
+        for b in batches:
+            pairs: list[tuple[int, int]] = []
+            for side, (home, own), others in state.meetings(b):
+                for other_home, other in others.values():
+                    if home or other_home:  # two visitors meet at a level below
+                        pairs.append((own, other) if side == 0 else (other, own))
+                        if len(pairs) >= 10_000:
+                            yield from made(pairs)
+                            pairs = []
+            if pairs:
+                yield from made(pairs)
 
     dealt = binned.select(*on, *ROW, "left", "right").repartition(*on, "__level", "__bin").sortWithinPartitions(*on, "__level", "__bin", "__s", "__e")
     return dealt.mapInArrow(sweep, schema)
@@ -109,23 +146,22 @@ def overlap_hits(left: DataFrame, right: DataFrame, on: list[str], start: str =
     binned = _levels(_sides(numbered.select(*on, start, end, "__id"), only, on, start, end).select(*on, "__side", "__s", "__e", F.col("left.__id").alias("__id")), width)
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[int] = []
-        at = len(on) + len(ROW)
-        for keys, side, (home, own), others in _meetings(batches, len(on), lambda b, i: b.column(at)[i].as_py()):
-            if side == 0:
-                # Any at home will do, or any at all for one at home.
-                if home or any(h for h, _ in others.values()):
-                    found.append(own)
-            else:
-                hit = [k for k, (h, i) in others.items() if h or home]
-                found += [others[k][1] for k in hit]
-                for k in hit:
-                    del others[k]  # told: it need not be met again here
-            if len(found) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["__id"])
-                found.clear()
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["__id"])
+        state, at = Sweep(len(on)), len(on) + len(ROW)
+        for b in batches:
+            found: list[int] = []
+            for side, (home, own), others in state.meetings(b):
+                if side == 0:
+                    # Any at home will do, or any at all for one at home.
+                    if home or any(h for h, _ in others.values()):
+                        found.append(own)
+                else:
+                    hit = [k for k, (h, i) in others.items() if h or home]
+                    found += [others[k][1] for k in hit]
+                    for k in hit:
+                        del others[k]  # told: it need not be met again here
+            if found:
+                ids = state.pool.column(at).take(pa.array(found, pa.int64())).combine_chunks()
+                yield from pa.table([ids], names=["__id"]).to_batches()
 
     dealt = binned.select(*on, *ROW, "__id").repartition(*on, "__level", "__bin").sortWithinPartitions(*on, "__level", "__bin", "__s", "__e")
     ids = dealt.mapInArrow(sweep, "__id bigint").distinct().withColumn("hit", F.lit(True))

@@ -31,7 +31,7 @@ def _exploded(df: DataFrame, spans: str) -> DataFrame:
 
 def overlap_detectors(spark, sf_dir: str) -> DataFrame:
     """How often spans of two detectors overlap, and in how many characters, before overlaps are resolved."""
-    found = written(_exploded(corpus(spark, sf_dir, SECRETS).withColumn("every", S.all_spans(F.col("text"))), "every"), "found")
+    found = written(_exploded(S.with_spans(corpus(spark, sf_dir, SECRETS), out_col="every"), "every"), "found")
     pairs = overlap_join(found, found, KEY).where("left.dtype < right.dtype")
     shared = F.least("left.end", "right.end") - F.greatest("left.start", "right.start")
     return pairs.groupBy(F.col("left.dtype").alias("a"), F.col("right.dtype").alias("b")).agg(F.count(F.lit(1)).alias("pairs"), F.sum(shared).cast("long").alias("characters"))
