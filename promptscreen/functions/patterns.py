@@ -47,11 +47,18 @@ GATES = {"CREDIT_CARD": "[0-9](?:[ -]?[0-9]){12}", "SSN": UNICODE + r"-\d{2}-",
 #: Letters that a pattern takes for ASCII ones when it ignores case, and that lower() leaves as they are.
 FOLDED = ["\u017f", "\u0131"]
 
+#: Letters by how often they begin something, the rarest first: a search for a literal stops at each place that begins as it does.
+LETTERS = "zqxjkwvyfgbhpmudclornstaie"
+
 KEY_TYPES = ["AWS_KEY", "OPENAI_KEY", "GITHUB_KEY", "GOOGLE_KEY", "SLACK_TOKEN", "SECRET_ASSIGN"]
 LUHN_DIGITS = (12, 19)
 
 #: Obfuscation.
 SYMBOLS_BETWEEN_LETTERS = r"([a-zA-Z])([$#@!&*\-_+=|\\:/;~`^]+)(?=[a-zA-Z])"
+#: Searches that find no less than those above and below, and take less: they begin at what is rare. Aids of our own, as NEEDED.
+SYMBOLS_GATE = r"[$#@!&*\-_+=|\\:/;~`^](?<=[a-zA-Z].)[$#@!&*\-_+=|\\:/;~`^]*[a-zA-Z]"
+SPACED_GATE, SPACED_PART = UNICODE + r"\s[a-zA-Z]\s+[a-zA-Z]\s", UNICODE + r"\s[a-zA-Z]\s+[a-zA-Z]"
+QUOTE_MARKS, LATEX_HEAD = ["`", "'", '"'], "$\\text{"
 QUOTED_GATE = UNICODE + r"([`'\"][a-zA-Z][`'\"]\s+){2,}"
 QUOTED_LETTER = UNICODE + r"[`'\"]([a-zA-Z])[`'\"]\s*"
 QUOTED_RUN = UNICODE + r"([`'\"][a-zA-Z][`'\"]\s*){3,}"

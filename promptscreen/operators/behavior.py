@@ -8,41 +8,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import contains_any, fence, may_match
+from ..functions.text import fence, may_match, text_bits, words_in
 
 #: Short names of the groups, in order.
 SIGNALS = ["training", "pii", "unfiltered", "jailbreak", "role", "disclosure"]
 
 
-def first_pattern(text: Column, low: Column, bodies: list[tuple[str, str]]) -> Column:
-    """Id of the first pattern that matches, null if none does. low: text in lower case."""
+def first_pattern(text: Column, low: Column, bodies: list[tuple[str, str]], bits: Column | None = None) -> Column:
+    """Id of the first pattern that matches, null if none does. low: text in lower case; bits: its text_bits()."""
     out = None
     for name, body in bodies:
-        hit = may_match(low, name) & text.rlike(P.ANY_CASE + body)
+        hit = may_match(low, name, bits=bits) & text.rlike(P.ANY_CASE + body)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out
 
 
-def flag(text: Column, low: Column, bodies: list[tuple[str, str]]) -> Column:
+def flag(text: Column, low: Column, bodies: list[tuple[str, str]], bits: Column | None = None) -> Column:
     """Whether any pattern matches."""
-    return reduce(lambda a, b: a | b, [may_match(low, name) & text.rlike(P.ANY_CASE + body) for name, body in bodies])
+    return reduce(lambda a, b: a | b, [may_match(low, name, bits=bits) & text.rlike(P.ANY_CASE + body) for name, body in bodies])
 
 
-def behave(df: DataFrame, text_col: str = "normalized", patterns: bool = True) -> DataFrame:
+def behave(df: DataFrame, text_col: str = "normalized", patterns: bool = True, low_col: str | None = None, bits_col: str | None = None) -> DataFrame:
     """Adds has_<signal>, has_retrieval, has_target, has_combination, behavior_risk, behavior_branch, behaviors and matched_patterns.
 
-    With patterns off only flags are searched for.
+    With patterns off only flags are searched for. low_col, bits_col: columns of the text in lower case and of its text_bits(), if there are such.
     """
-    t, low = F.col(text_col), F.col("__low")
-    df = df.withColumn("__low", F.lower(t))
+    t, low = F.col(text_col), F.col(low_col or "__low")
+    df = df if low_col else df.withColumn("__low", fence(F.lower(t)))
+    df = df if bits_col else df.withColumn("__bits", fence(text_bits(t, low)))
+    bits = F.col(bits_col or "__bits")
     if patterns:
-        out = df.withColumns({f"__p_{s}": first_pattern(t, low, bodies) for s, (_, _, bodies) in zip(SIGNALS, P.BEHAVIOURS)})
+        out = df.withColumns({f"__p_{s}": first_pattern(t, low, bodies, bits) for s, (_, _, bodies) in zip(SIGNALS, P.BEHAVIOURS)})
         out = out.withColumns({f"has_{s}": F.when(t.isNotNull(), F.col(f"__p_{s}").isNotNull()) for s in SIGNALS})
     else:
-        out = df.withColumns({f"has_{s}": flag(t, low, bodies) for s, (_, _, bodies) in zip(SIGNALS, P.BEHAVIOURS)})
-    out = out.withColumns({"has_retrieval": may_match(low, "RETRIEVAL") & low.rlike(P.RETRIEVAL), "has_target": may_match(low, "TARGET") & low.rlike(P.TARGET)})
+        out = df.withColumns({f"has_{s}": flag(t, low, bodies, bits) for s, (_, _, bodies) in zip(SIGNALS, P.BEHAVIOURS)})
+    out = out.withColumns({"has_retrieval": may_match(low, "RETRIEVAL", bits=bits) & low.rlike(P.RETRIEVAL), "has_target": may_match(low, "TARGET", bits=bits) & low.rlike(P.TARGET)})
     has = {s: F.col(f"has_{s}") for s in [*SIGNALS, "retrieval", "target"]}
-    strong = contains_any(F.col("__low"), P.STRONG_TARGETS)
+    strong = words_in(low, P.STRONG_TARGETS, bits)
     # Ordered: the first that holds. Nothing counts without a retrieval, role, disclosure or jailbreak signal.
     idle = ~has["retrieval"] & ~has["role"] & ~has["disclosure"] & ~has["jailbreak"]
     cascade = [
@@ -69,4 +71,4 @@ def behave(df: DataFrame, text_col: str = "normalized", patterns: bool = True) -
         entries = [F.when(has[s], F.struct(F.lit(b).alias("key"), F.col(f"__p_{s}").alias("value"))) for s, (_, b, _) in zip(SIGNALS, P.BEHAVIOURS)]
         out = out.withColumn("matched_patterns", F.when(t.isNotNull(), F.map_from_entries(F.array_compact(F.array(*entries)))))
         out = out.drop(*[f"__p_{s}" for s in SIGNALS])
-    return out.drop("__low")
+    return out.drop(*[c for c, given in (("__low", low_col), ("__bits", bits_col)) if not given])

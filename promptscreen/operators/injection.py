@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.text import words_in
 
 
-def keyword_confidence(text: Column) -> Column:
-    """0.15 for each word, added in order, at most 1."""
-    low = F.lower(text)
-    total = reduce(lambda a, w: F.when(low.contains(w), a + P.INJECTION_STEP).otherwise(a), P.INJECTION_WORDS, F.lit(0.0))
+def keyword_confidence(text: Column, low: Column | None = None, bits: Column | None = None) -> Column:
+    """0.15 for each word, added in order, at most 1. low, bits: text in lower case and its text_bits(), if these are at hand."""
+    low = F.lower(text) if low is None else low
+    total = reduce(lambda a, w: F.when(words_in(low, [w], bits), a + P.INJECTION_STEP).otherwise(a), P.INJECTION_WORDS, F.lit(0.0))
     return F.when(text.isNotNull(), F.least(total, F.lit(1.0)))
 
 

@@ -14,15 +14,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import contains_any
+from ..functions.text import words_in
 
 DIMENSIONS = {d: list(i) for d, i in P.INTENTS.items()}
 
 
-def keyword_risk(text: Column) -> Column:
-    low = F.lower(text)
-    training, pii = contains_any(low, P.FALLBACK_TRAINING), contains_any(low, P.FALLBACK_PII)
-    return F.when(text.isNull(), None).when(training & pii, 90).when(training, 55).otherwise(0).cast("int")
+def keyword_risk(text: Column, low: Column | None = None, bits: Column | None = None) -> Column:
+    """low, bits: text in lower case and its text_bits(), if these are at hand."""
+    low = F.lower(text) if low is None else low
+    training, pii = words_in(low, P.FALLBACK_TRAINING, bits), words_in(low, P.FALLBACK_PII, bits)
+    return F.when(text.isNull(), None).when(training, F.when(pii, 90).otherwise(55)).otherwise(0).cast("int")
 
 
 def cosine(a: Column, b: Column) -> Column:
