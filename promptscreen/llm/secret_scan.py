@@ -29,11 +29,10 @@ from __future__ import annotations
 
 import collections
 import functools
-import itertools
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,12 +47,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so shorter ones need no match of their own
 KINDS = ("assign", "access", "hex", "crf")
 
-#: A token: a run of word and key characters with its padding, a line end, or a mark, repeated or not.
-TOKEN = re.compile(r"\n|\w[\w+/~\-]*(?:==?(?![\w=]))?|([^\w\s])\1*")
+#: A token: a run of word and key characters with its padding, a line end, or a mark, repeated or not. The second group is the mark.
+TOKEN = re.compile(r"(\w[\w+/~\-]*(?:==?(?![\w=]))?|\n|([^\w\s])\2*)")
 #: Words that speak of secrets, in lower case.
 CUES = ("pass", "pwd", "secret", "token", "key", "auth", "cred", "bearer", "login", "private", "cookie", "signature", "pin:")
 CUE = re.compile("|".join(map(re.escape, CUES)))
-CUE_WORDS = tuple(c for c in CUES if c.isalpha())
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 #: Hashed features, and those of how a token's class goes together with the mark before it and a cue nearby, and with what it touches, quotes around it and a cue.
 BITS, CLASSES, BEFORE = 15, 17, 6
@@ -66,6 +64,8 @@ EDGE, NEVER, RARE = "", -1e6, "<rare>"
 BLOCK = 1 << 15
 DIGIT, DATE = re.compile("[0-9]"), re.compile(r"(19|20)[0-9][0-9][-_/]?[01][0-9]")
 NO_QUOTE, QUOTES = 0, {'"': 1, "'": 2, "`": 3}
+#: Place of a token's head among its features, where it has one, and its length. Tokens and rows that are kept.
+HEAD, HEADED, KEPT = 5, 4, 200_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -99,7 +99,7 @@ def shape(token: str, vocabulary: frozenset[str] | None = None) -> list[str]:
     kinds = "".join(k for k, has in zip("luds", (letters > upper, upper, digits, letters + digits < n)) if has)
     out = [f"ascii:{token.isascii()}", f"len:{min(n, 8) if n < 9 else 9 + min(n // 4, 12)}", f"kinds:{kinds}", f"kinds:{kinds}:{min(n // 6, 5)}", "bias"]
     if not plain:
-        out.append(f"head:{DIGIT.sub('9', token[:4])}")
+        out.append(f"head:{DIGIT.sub('9', token[:HEADED])}")
     if letters and n <= 16 and (vocabulary is None or low in vocabulary):
         out.append(f"word:{low}")
     if n >= 6:
@@ -134,43 +134,56 @@ def mark(token: str) -> int:
     return {EDGE: 0, "\n": 0, "=": 1, ":": 2, '"': 3, "'": 3}.get(token, 5 if token[:1].isalnum() else 4)
 
 
+class Ids(dict):
+    """Ids by token; one that is missing is made."""
+
+    def __init__(self, make: Callable[[str], int]) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, token: str) -> int:
+        self[token] = made = self.make(token)
+        return made
+
+
 class Tokens:
-    """What is known of each distinct token: its features' indices, class, mark and whether it is a cue."""
+    """What is known of tokens: their features' indices, class, mark and whether they are a cue. Tokens that agree in all of it have one id."""
 
     def __init__(self, vocabulary: frozenset[str] | None = None) -> None:
         self.vocabulary = vocabulary
-        self.known: dict[str, int] = {}
-        self.alike: dict[tuple, tuple] = {}
+        self.known = Ids(self.add)
+        self.alike: dict[tuple, int] = {}
         self.shapes: list[list[int]] = []
         self.around: list[list[int]] = []  # index for each of PLACES
         self.facts: list[tuple[int, int, bool]] = []
 
-    def add(self, token: str) -> None:
-        """Unknown words in lower case differ by a few numbers only, so what is made for one serves all that agree in them."""
-        self.known[token] = len(self.shapes)
-        key = None
-        if self.vocabulary is not None and token.isalpha() and token.islower() and token not in self.vocabulary and not any(map(token.__contains__, CUE_WORDS)):
-            n = len(token)
-            key = (n, token.isascii()) if n < 6 else (n, token.isascii(), len(set(token)), sum(map(token.count, "aeiouy")), not token.strip("abcdef"))
-            if key in self.alike:
-                row = self.alike[key]
-                self.shapes.append(row[0])
-                self.around.append(row[1])
-                self.facts.append(row[2])
-                return
-        shapes = [index(f) for f in shape(token, self.vocabulary)] if token else []
-        name = word(token, self.vocabulary)
-        around = [index(f"at{p}:{name}") for p in PLACES]
-        facts = (kind(token), mark(token), bool(CUE.search(f"{token.lower()}:")))
+    def add(self, token: str) -> int:
+        """Id of a token. Unknown words in lower case differ by a few numbers only, those with a capital by their head beside; so what is made for one serves all that agree in them."""
+        n, low, key = len(token), token.lower(), None
+        if self.vocabulary is not None and token.isalpha() and low not in self.vocabulary and len(low) == n and ((plain := token.islower()) or token[0].isupper() and token[1:].islower()):
+            key = (n, token.isascii(), plain, CUE.search(f"{low}:") is not None)
+            if n >= 6:
+                key += (len(set(token)), sum(map(low.count, "aeiouy")), not low.strip("abcdef"))
+            own = key if plain else (*key, token[:HEADED])
+            if (same := self.alike.get(own)) is not None:
+                return same
+        new = len(self.shapes)
+        if key is not None and (like := self.alike.setdefault(key, new)) != new:
+            shapes, around, facts = self.shapes[like].copy(), self.around[like], self.facts[like]
+            shapes[HEAD] = index(f"head:{token[:HEADED]}")
+        else:
+            shapes = [index(f) for f in shape(token, self.vocabulary)] if token else []
+            name = word(token, self.vocabulary)
+            around = [index(f"at{p}:{name}") for p in PLACES]
+            facts = (kind(token), mark(token), bool(CUE.search(f"{low}:")))
+        if key is not None:
+            self.alike[own] = new
         self.shapes.append(shapes)
         self.around.append(around)
         self.facts.append(facts)
-        if key is not None:
-            self.alike[key] = (shapes, around, facts)
+        return new
 
     def ids(self, tokens: list[str]) -> np.ndarray:
-        for t in dict.fromkeys(itertools.filterfalse(self.known.__contains__, tokens)):
-            self.add(t)
         return np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
 
     def together(self, ids: np.ndarray, facts: np.ndarray, touch: np.ndarray, quoted: np.ndarray) -> np.ndarray:
@@ -187,9 +200,12 @@ class Tokens:
 
 def cut(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Tokens, their starts and ends."""
-    spans = [m.span() for m in TOKEN.finditer(text)]
-    at = np.array(spans, np.int64).reshape(-1, 2)
-    return [text[s:e] for s, e in spans], at[:, 0], at[:, 1]
+    parts = TOKEN.split(text)  # what is before a token, the token, its mark, and so on
+    tokens = parts[1::3]
+    n = len(tokens)
+    own = np.fromiter(map(len, tokens), np.int64, n)
+    ends = np.cumsum(np.fromiter(map(len, parts[:-1:3]), np.int64, n) + own)
+    return tokens, ends - own, ends
 
 
 def surroundings(tokens: list[str], starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,6 +215,8 @@ def surroundings(tokens: list[str], starts: np.ndarray, ends: np.ndarray) -> tup
     """
     touch = np.concatenate([[False], starts[1:] == ends[:-1]]) if len(tokens) else np.zeros(0, bool)
     quoted, now, since = np.zeros(len(tokens), bool), NO_QUOTE, 0
+    if QUOTES.keys().isdisjoint(tokens):
+        return touch, quoted
     for i, token in enumerate(tokens):
         if token == "\n":
             now = NO_QUOTE
@@ -246,8 +264,10 @@ class Field:
 
     def scores(self, tokens: list[str], file: list[int], touch: np.ndarray, quoted: np.ndarray) -> np.ndarray:
         """Score of each tag at each token of a text. Sums over distinct tokens are made once and looked up."""
-        if len(self.tokens.known) > 200_000:
+        if len(self.tokens.shapes) > KEPT:
             self.reset()
+        if len(self.tokens.known) > KEPT:
+            self.tokens.known.clear()  # rows stay, and are found again by what tokens agree in
         own = self.tokens
         ids = own.ids([EDGE, *tokens])
         if (size := len(own.shapes)) > self.size:

@@ -150,6 +150,42 @@ def test_scores_are_sums_of_features(field):
             assert np.allclose(got, field.emit[names].sum(axis=0) + never[j])
 
 
+def test_tokens_of_one_id_agree(field):
+    """Whatever came before, a token's row is its own features; and rows do not grow with the tokens."""
+    rng = np.random.default_rng(17)
+    odd = ["qzkapin", "qzkapon", "Qzkapin", "Qzkapon", "İstanbulzq", "ŉzqzqzq", "ǅzqzqzq", "ßzqzqzqz", "Ωzqzqz", "語zqzqzq", "Zq語zqzq", "zq_zqzq", "_Zqzqzq", "Zqpassword", "Zqzqzqzqzqzqzqzqz", "Zqzqzqzqzqzqzqzqzq", "ZQZQZQ", "Zq", "Z", "z", "é", "É", "²zqzqzq", "٣zqzqz", "zqzqzq==", "2024-01-02zq"]
+    words = ["".join(rng.choice(list("qxzvaeoéß"), rng.integers(1, 20))) for _ in range(4000)]
+    tokens = [*odd, *words, *(w.capitalize() for w in words), *(w.upper() for w in words[:50]), *odd[::-1]]
+    own = S.Tokens(field.vocabulary)
+    ids = own.ids(tokens).tolist()
+    for t, i in zip(tokens, ids):
+        assert own.shapes[i] == [S.index(x) for x in S.shape(t, field.vocabulary)], t
+        assert own.around[i] == [S.index(f"at{p}:{S.word(t, field.vocabulary)}") for p in S.PLACES], t
+        assert own.facts[i] == (S.kind(t), S.mark(t), bool(S.CUE.search(f"{t.lower()}:"))), t
+    assert len(own.shapes) == len(set(ids)) < 0.8 * len(set(tokens))
+
+
+def test_forgotten_tokens(field, monkeypatch):
+    """Tokens and rows that are dropped on the way change no score."""
+    texts = [t for t, _ in S.examples(60, 9) if t]
+    scored = lambda t: (lambda tokens, s, e: field.scores(tokens, S.file_features(t), *S.surroundings(tokens, s, e)))(*S.cut(t))
+    want = [scored(t) for t in texts]
+    for kept in (0, 40, 400):
+        monkeypatch.setattr(S, "KEPT", kept)
+        field.reset()
+        for t, w in zip(texts, want):
+            assert np.allclose(scored(t), w)
+    field.reset()
+
+
+@pytest.mark.parametrize("text", ["", " ", "a", "  a  ", "\n\n a==b= \n", "!!!a!?\"\"' ", "x=='y'==\n", "aé語+/~-=== $$$ \x00\x1f_", "`a` 'b' \"c\"\n'"])
+def test_cut(text):
+    """Tokens are the matches of the pattern, with their places."""
+    found = [(m.group(), *m.span()) for m in S.TOKEN.finditer(text)]
+    tokens, starts, ends = S.cut(text)
+    assert list(zip(tokens, starts.tolist(), ends.tolist())) == found
+
+
 def test_whole_text_in_stretches(field):
     """Decoding only where the bound leaves something open is decoding the whole text, on scores of texts and on random ones."""
     rng = np.random.default_rng(8)
