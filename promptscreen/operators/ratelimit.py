@@ -34,14 +34,17 @@ NEVER = np.iinfo(np.int64).min
 
 
 def decide(times: list[int], limit: int, window: int, held: deque) -> list[tuple[bool, int]]:
-    """(admitted, requests then in the window) of sorted times; held carries the admitted times of the window."""
-    out = []
-    for t in times:
+    """(admitted, requests then in the window) of sorted times; held carries the admitted times of the window. From a full window it jumps to the next request after it."""
+    out: list[tuple[bool, int]] = []
+    while (i := len(out)) < len(times):
+        t = times[i]
         while held and t - held[0] > window:
             held.popleft()
-        if admitted := len(held) < limit:
+        if len(held) < limit:
             held.append(t)
-        out.append((admitted, len(held)))
+            out.append((True, len(held)))
+        else:
+            out += [(False, len(held))] * ((bisect_right(times, held[0] + window, i) if held else len(times)) - i)
     return out
 
 

@@ -440,21 +440,28 @@ def stream_audit(spark, sf_dir: str) -> DataFrame:
 
 
 def stream_limit(spark, sf_dir: str) -> DataFrame:
-    """Events as a stream through the limiter with state. They come in four batches, a tenth of each with the batch after, and a last one far ahead moves the watermark past all."""
+    """Events as a stream through the limiter with state. They come in four batches, a tenth of each with the batch after, and a last one far ahead moves the watermark past all.
+
+    Each batch is the same number of files, of 10,000 rows at least where it is more than one, and the stream takes so many at a time.
+    """
     source, out, ck = _new_folder(spark, "events"), _new_folder(spark, "stream-limit"), _new_folder(spark, "checkpoint")
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     t = F.unix_micros("ts")
     first, last = events.agg(F.min(t), F.max(t)).head()
     step = (last - first) // 4 + 1
-    place = F.floor((t - first) / step) + (F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0).cast("int")
-    ahead = [spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit("ahead").alias("event_type"), F.timestamp_micros(F.lit(last + 20 * step * k)).alias("ts")) for k in (1, 2)]
-    for batch in [events.where(place == k) for k in range(5)] + ahead:
-        batch.coalesce(1).write.mode("append").parquet(source)
+    place = F.coalesce(F.floor((t - first) / step) + (F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0).cast("int"), F.lit(0))
+    fewest = min(events.agg(*[F.count_if(place == k) for k in range(5)]).head())
+    files = max(1, min(spark.sparkContext.defaultParallelism, fewest // 10_000))
+    ahead = [spark.range(0, files, 1, files).select(F.lit(-1).cast("long").alias("event_id"), F.lit("ahead").alias("event_type"), F.timestamp_micros(F.lit(last + 20 * step * k)).alias("ts")) for k in (1, 2)]
+    for n, batch in enumerate([events.where(place == k).repartition(files) for k in range(5)] + ahead, 1):
+        batch.write.mode("append").parquet(source)
+        if (found := len(spark.read.schema(events.schema).parquet(source).inputFiles())) != n * files:
+            raise RuntimeError(f"{found} files after {n} batches of {files}")
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(source)
         seen = admit_stream(stream, "event_type", "ts", "event_id", 15, 6 * 3600, f"{step // 900 + 1} milliseconds", 6 * 3600)
         _finished(seen.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start())
     finally:

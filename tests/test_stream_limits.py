@@ -67,3 +67,114 @@ def test_frames_are_never_joined():
     from promptscreen.streaming.screening import Limiter
 
     assert "concat" not in inspect.getsource(Limiter) and pd.DataFrame is not None
+
+
+class Memory:
+    """A state of one key in memory, which counts the requests written to it."""
+
+    def __init__(self):
+        self.kept, self.timers, self.written = {}, [], 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def getMapState(self, name, key_schema, schema):  # noqa: N802
+        own = Memory()
+        self.kept[name] = own
+        return own
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def exists(self):
+        return False
+
+    def clear(self):
+        pass
+
+    def update(self, value):
+        pass
+
+    def containsKey(self, key):  # noqa: N802
+        return key in self.kept
+
+    def getValue(self, key):  # noqa: N802
+        return self.kept[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.kept[key] = value
+        self.written += len(value[-1]) // 8 if isinstance(value[-1], bytes) else 0
+
+    def removeKey(self, key):  # noqa: N802
+        del self.kept[key]
+
+    def keys(self):
+        return list(self.kept)
+
+
+def test_requests_are_written_to_the_state_once(monkeypatch):
+    """However many frames and calls a slice comes in, each request goes to the state once; before, each frame wrote all of its slice anew."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from promptscreen.streaming import screening
+
+    monkeypatch.setattr(screening, "HELD", 700)
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(10**9)) for i in range(20_000)]
+    limiter, handle = screening.Limiter(40, 60, 100), Memory()
+    limiter.init(handle)
+    now = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+    out = []
+    for lo in range(0, 20_000, 2000):
+        tables = [pa.table({"key": ["k"] * 100, "id": [i for i, _ in some], "t": [t for _, t in some]}) for some in (rows[at : at + 100] for at in range(lo, lo + 2000, 100))]
+        out += limiter.handleInputRows(("k",), iter([screening.pack(t, 10**8).to_pandas() for t in tables]), now)
+    assert not out and limiter.waiting.written == 20_000
+    assert len(handle.timers) == 10 and len(limiter.waiting.kept) <= 10 * (20_000 // 700 + 10)
+    at = max(handle.timers)
+    got = pd.concat(limiter.handleExpiredTimer(("k",), now, SimpleNamespace(getExpiryTimeInMs=lambda: at)))
+    rows.sort(key=lambda r: (r[1], r[0]))
+    held, want = [], []
+    for _, t in rows:
+        held = [x for x in held if t - x <= 60_000_000]
+        want.append(len(held) < 40)
+        held += [t] * want[-1]
+    assert got["id"].tolist() == [i for i, _ in rows] and got["admitted"].tolist() == want
+    assert not limiter.waiting.kept and not limiter.slices.kept
+
+
+def test_packs():
+    """Every request is in one pack, with its key, its slice or none, and its own time; null keys and times before 1970 too."""
+    import pyarrow as pa
+
+    from promptscreen.streaming.screening import numbers, pack
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None, ""]), i, rng.choice([None, rng.randrange(-500, 500)])) for i in range(1000)]
+    got = []
+    packs = pack(pa.table({"key": pa.array([r[0] for r in rows], pa.string()), "id": [r[1] for r in rows], "t": pa.array([r[2] for r in rows], pa.int64())}), 100).to_pylist()
+    for p in packs:
+        for t, i in zip(numbers([p["ts"]]).tolist(), numbers([p["ids"]]).tolist()):
+            got.append((p["key"], i, t if p["timed"] else None))
+            assert not p["timed"] or p["slice"] == t // 100
+    assert sorted(got, key=lambda r: r[1]) == rows
+    assert len(packs) == len({(p["key"], p["timed"], p["slice"]) for p in packs}) <= 4 * 11
+
+
+@pytest.mark.parametrize("limit", [0, 1, 3, 50])
+def test_decide_is_the_plain_walk(limit):
+    from collections import deque
+
+    from promptscreen.operators.ratelimit import decide
+
+    rng = random.Random(limit)
+    for n in (0, 1, 5, 400):
+        times, held, plain, want = sorted(rng.randrange(300) for _ in range(n)), deque(), [], []
+        for t in times:
+            plain = [x for x in plain if t - x <= 20]
+            ok = len(plain) < limit
+            plain += [t] * ok
+            want.append((ok, len(plain)))
+        cut = n // 3
+        assert decide(times[:cut], limit, 20, held) + decide(times[cut:], limit, 20, held) == want
